@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenforge.llm.common import RollingCache, held_out_column, materialise, ship_package
 
 #: Prior weight of the base distribution in every context.
-PRIOR = 30.0
+PRIOR = 1000.0
 #: Tokens of a block; what a task holds follows from it, whatever the corpus' size.
 BLOCK_TOKENS = 1 << 20
 #: Bytes of text for each shard of counts.
