@@ -75,9 +75,9 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ).select("fp", "half", "step", (F.col("cell") + F.col("step")).alias("cell"))
     differ = F.col("fp").bitwiseXOR(F.col("q"))
     near = (F.bit_count(differ) <= distance) & ((F.col("step") != 0) | (F.col("fp") < F.col("q")))
-    # within one step in the low half as well: the low half reports the pair
-    low_differ = differ.bitwiseAND(F.lit(0xFFFFFFFF))
-    once = (F.col("half") == 0) | (F.bit_count(low_differ) > 1)
+    # a half reports pairs that differ in at most one of its bits; where both do, the low half reports the pair
+    low, high = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned(differ, 32))
+    once = F.when(F.col("half") == 0, low <= 1).otherwise((high <= 1) & (low > 1))
     pairs = left.join(right, (left.half == right.qh) & (left.cell == right.qc) & near & once)
     return pairs.select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
 
