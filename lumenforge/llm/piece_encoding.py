@@ -37,7 +37,8 @@ class PieceCodec:
         self.table = RollingCache(self._segment, limit)
 
     def _segment(self, chunk: str) -> str:
-        ids = self.sp.encode(chunk[1:], num_threads=1)
+        # a marker alone at a text's end; the library adds a marker to nothing but an empty text
+        ids = self.sp.encode(chunk[1:], num_threads=1) if chunk != " " else [self.sp.piece_to_id(MARK)]
         if self.sp.decode([self.anchor, *ids])[1:] != chunk:
             self.changed.add(chunk)
         return " ".join(map(str, ids))
@@ -56,7 +57,10 @@ class PieceCodec:
             chunks = re.findall(r" +[^ ]*", marked)
         else:
             chunks = [" " + p for p in marked[1:].split(" ")]
-        return " ".join(map(self.table.__getitem__, chunks)) + f" {self.eos}", chunks
+        ids = " ".join(map(self.table.__getitem__, chunks)) + f" {self.eos}"
+        if ids[0] == " " or "  " in ids:  # a chunk without ids: leave the text to the library
+            return " ".join(map(str, [*self.sp.encode(text, num_threads=1), self.eos])), None
+        return ids, chunks
 
     def decode(self, ids: str, chunks: list[str] | None) -> str:
         """The library's decoding: of the chunks, where it gives each back, else of all ids."""
