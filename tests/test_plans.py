@@ -25,7 +25,7 @@ def duck():
 def plain(x):
     if isinstance(x, (list, np.ndarray)):
         return "[" + ",".join(map(plain, x)) + "]"
-    if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
         return "NULL"
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
