@@ -1,6 +1,6 @@
 """All reference queries and their SQL."""
 
-from lumenforge.plans import aggregates, domain, filters, joins, merges, search_plans, series  # noqa: F401
+from lumenforge.plans import aggregates, domain, filters, joins, merges, search_plans, series, streams  # noqa: F401
 from lumenforge.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -10,12 +10,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+class Tables:
+    """The driver's tables: ``t("orders")`` reads one, ``t.stream("events")`` follows it as a stream."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+    def stream(self, name: str, files_per_batch: int = 64) -> DataFrame:
+        reader = self._spark.readStream.schema(self(name).schema).option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(f"{self._dir}/{name}.parque[t]")  # a pattern, as a stream's source is a directory or a glob
+
+
 def query(sql: str | None = None):
-    """Register a function of (spark, tables) under its name; ``t("orders")`` reads a table."""
+    """Register a function of (spark, tables) under its name."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
