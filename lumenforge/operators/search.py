@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ PREFIX_WEIGHT, PREFIX_TERMS = 0.6, 24
 FUZZY_WEIGHTS = (1.0, 0.55, 0.3)
 FUZZY_TERMS = 6
 SEMANTIC_WEIGHT = 12.0
+CODE_BOOST = 250.0
+GROUPS = 32
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -74,6 +79,55 @@ def fuzzy_terms(vocabulary: DataFrame, word: str) -> DataFrame:
     return near.orderBy("distance", F.desc("df"), "term").limit(FUZZY_TERMS).select("term", "df", F.col("distance").cast("long").alias("distance"), weight.alias("weight"))
 
 
+@dataclass(frozen=True)
+class Group:
+    """One word of a query: (term, weight) variants, the literal one first, and how it may widen."""
+
+    variants: Sequence[tuple[str, float]]
+    prefix: bool = False
+    fuzzy: bool = False
+
+
+def resolved_terms(vocabulary: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """(grp, term, df, weight): variants the vocabulary (term, df) has, then prefix terms, and fuzzy ones where neither literal nor prefix is found.
+
+    A term named twice in a group keeps its first weight. The result has a bounded number of terms a group, whatever the vocabulary's size.
+    """
+    spark, groups = vocabulary.sparkSession, list(groups)[:GROUPS]
+    named = spark.createDataFrame([(g, i, t, float(w)) for g, x in enumerate(groups) for i, (t, w) in enumerate(x.variants)], "grp int, place int, term string, weight double")
+    out = vocabulary.join(F.broadcast(named), "term").select("grp", "place", "term", "df", "weight")
+    place = max((len(x.variants) for x in groups), default=0)
+    for g, x in enumerate(groups):
+        if x.prefix:
+            out = out.unionByName(prefix_terms(vocabulary, x.variants[0][0]).select(F.lit(g).alias("grp"), F.lit(place).alias("place"), "term", "df", "weight"))
+    found = out.where((F.col("place") == 0) | (F.col("place") == place)).select("grp").distinct()
+    for g, x in enumerate(groups):
+        if x.fuzzy:
+            near = fuzzy_terms(vocabulary, x.variants[0][0]).select(F.lit(g).alias("grp"), F.lit(place + 1).alias("place"), "term", "df", "weight")
+            out = out.unionByName(near.join(F.broadcast(found), "grp", "left_anti"))
+    return out.groupBy("grp", "term").agg(F.min_by(F.struct("df", "weight"), "place").alias("_b")).select("grp", "term", "_b.*")
+
+
+def ranked(post: DataFrame, groups: Sequence[Group], codes: Sequence[str] = ()) -> DataFrame:
+    """(doc, score) of an index of postings: BM25 over the groups' terms, plus CODE_BOOST for each code a document has.
+
+    Every group whose literal weighs 1 and that found a term must hit, unless a code does; a query that finds nothing has no rows. The index is
+    read for its term counts, its lengths and the hits; only resolved terms and two totals are broadcast.
+    """
+    groups = list(groups)[:GROUPS]
+    vocabulary = post.groupBy("term").agg(F.count("*").alias("df"))
+    terms = resolved_terms(vocabulary, groups)
+    totals = post.groupBy("doc").agg(F.first("doc_length").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
+    bit = F.expr("shiftleft(1L, grp)")
+    one = idf(F.col("n_docs"), F.col("df")) * F.col("weight") * tf_part(F.col("tf"), F.col("doc_length"), F.col("avg_length"))
+    hits = post.join(F.broadcast(terms), "term").join(F.broadcast(totals)).select("doc", one.alias("score"), bit.alias("mask"))
+    exact = post.where(F.col("term").isin(*codes) if codes else F.lit(False)).select("doc", F.lit(CODE_BOOST).alias("score"), F.lit(-1).cast("long").alias("mask"))
+    needed = [g for g, x in enumerate(groups) if x.variants[0][1] >= 1]
+    need = terms.where(F.col("grp").isin(*needed) if needed else F.lit(False)).agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("need"))
+    scored = hits.unionByName(exact).groupBy("doc").agg(F.sum("score").alias("score"), F.bit_or("mask").alias("mask"))
+    return scored.join(F.broadcast(need)).where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need")).select("doc", "score")
+
+
 def title_boost(title: Column, query: str) -> Column:
     """60 where the title has all of the query's words (half of the share else), and 35 where it starts with the query."""
     words = [w for w in query.split(" ") if w]

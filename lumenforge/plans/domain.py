@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenforge.operators import graph, relational
+from lumenforge.operators import audits, graph, relational
 from lumenforge.plans.registry import query
 
 _EDGES = "(select distinct p_partkey as src, p_partkey + p_size as dst from part where p_partkey + p_size < 2000 and p_partkey % 3 = 0)"
@@ -110,3 +110,22 @@ def g27_review_cues(spark, t):
     d = t("documents").select("doc_id", (hit("(?i)(^|\\s)(the|der|le|el)(\\s|$)") + hit("(?i)(^|\\s)(and|und|et|y)(\\s|$)")).alias("positive"), (hit("!!") + hit("\\*\\*\\*")).alias("negative"))
     e = F.col("positive") + F.col("negative")
     return d.withColumn("sentiment", F.when(e == 0, 0.0).otherwise(F.round((F.col("positive") - F.col("negative")) / e * e / (e + 1), 6)))
+
+
+_GROUPS = "(values (1, 1, 3, 0), (1, 2, 2, 1), (1, 3, 1, 2), (1, 4, 1, 9)) g(program, grp, need, other)"
+_MEMBERS = "(select distinct 1 as program, 1 as grp, p_partkey as course from part where p_type = 'PROMO' union select 1, 2, p_partkey from part where p_size <= 20 union select 1, 3, p_partkey from part where p_retailprice > 1000 union select 1, 4, p_partkey from part where p_brand like '%2')"
+
+
+@query(f"""
+with g as (select * from {_GROUPS}), m as {_MEMBERS}, t as (select distinct o_custkey, l_partkey as course from orders join lineitem on l_orderkey = o_orderkey),
+f as (select o_custkey, program, grp, course from t join m using (course)), s as (select distinct f.o_custkey, g.program, g.grp, f.course from f join g on g.program = f.program and g.other = f.grp),
+x as (select f.o_custkey, f.program, f.grp, count(*) - count(s.course) as matched, count(s.course) as spent from f left join s on s.o_custkey = f.o_custkey and s.program = f.program and s.grp = f.grp and s.course = f.course group by all)
+select o_custkey, program::bigint as program, grp::bigint as grp, matched, spent, case when matched >= need then 'met' when matched > 0 then 'partial' else 'unmet' end as status from x join g using (program, grp)
+""")
+def g11_exclusion_audit(spark, t):
+    g = spark.createDataFrame([(1, 1, 3, 0), (1, 2, 2, 1), (1, 3, 1, 2), (1, 4, 1, 9)], "program long, grp long, need long, other long")
+    tests = {1: F.col("p_type") == "PROMO", 2: F.col("p_size") <= 20, 3: F.col("p_retailprice") > 1000, 4: F.col("p_brand").endswith("2")}
+    fits = F.array_compact(F.array(*[F.when(test, F.lit(k).cast("long")) for k, test in tests.items()]))
+    members = t("part").select(F.lit(1).cast("long").alias("program"), F.explode(fits).alias("grp"), F.col("p_partkey").alias("course"))
+    taken = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_partkey").alias("course"))
+    return audits.audit(taken, members, g.select("program", "grp", "need"), g.select("program", "grp", "other"), "o_custkey")

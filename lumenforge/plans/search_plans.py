@@ -102,3 +102,19 @@ def x21_onboarding_search(spark, t):
     n = F.col("p_name")
     rank = F.when(n == "small ring", 0).when(n.startswith("small"), 1).otherwise(2)
     return t("part").where(n.contains("small") | n.contains("ring")).select("p_partkey", rank.cast("long").alias("rank"), F.length(n).cast("long").alias("len")).orderBy("rank", "len", "p_partkey").limit(20)
+
+
+@query(f"""
+with d as (select p_partkey as doc, {_WORDS} as w from part), c as (select count(*) as n, avg(len(w)) as avgdl from d where len(w) > 0),
+tf as (select doc, term, count(*) as tf, dl from (select doc, len(w) as dl, unnest(w) as term from d) group by all), f as (select term, count(*) as df from tf group by 1),
+r as (select term, df, 1.0 as wt, 1 as bit from f where term = 'red' union all select term, df, 0.85, 1 from f where term = 'green'
+  union all (select term, df, 0.6, 2 from f where starts_with(term, 'widg') order by df desc, term limit 24)
+  union all (select term, df, [1.0, 0.55, 0.3][levenshtein(term, 'golb') + 1], 4 from f where abs(length(term) - 4) <= 1 and levenshtein(term, 'golb') = 1 order by df desc, term limit 6)),
+need as (select coalesce(bit_or(bit), 0) as need from r where bit in (1, 2)),
+h as (select doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * wt * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s, bit from tf join r using (term), c union all select doc, 250.0, 7 from tf where term = '12')
+select doc, round(sum(s), 6) as score from h group by doc having bit_or(bit) & (select need from need) = (select need from need)
+""")
+def x9_ranked(spark, t):
+    docs = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    groups = [search.Group([("red", 1.0), ("green", 0.85)]), search.Group([("widg", 1.0)], prefix=True, fuzzy=True), search.Group([("golb", 0.25)], fuzzy=True), search.Group([("zzzzzzzz", 1.0)], prefix=True, fuzzy=True)]
+    return search.ranked(search.postings(docs, "p_partkey", "text"), groups, ["12"]).select("doc", F.round("score", 6).alias("score"))
