@@ -217,7 +217,7 @@ def evaluate(pairs: DataFrame, tree: DataFrame, completed: DataFrame, person: st
 
     ``outstanding`` lists the choices still open, each an array of courses. An item without a tree is met. Leaves are looked up by one join;
     each level is one aggregation in the partitions of (person, item), so only that join and the first grouping shuffle. A tree is as deep
-    as its text's brackets: deeper levels than ``max_depth`` take further calls' worth of depth, so they raise.
+    as its text's brackets; one deeper than ``max_depth`` raises an error rather than a wrong status.
     """
     ask = pairs.select(person, item).distinct()
     done = completed.select(person, F.col(course).alias("value")).distinct().withColumn("_done", F.lit(True))
@@ -256,7 +256,7 @@ def gate(evaluated: DataFrame, parsed: DataFrame, item: str) -> DataFrame:
     return evaluated.join(told, item, "left").withColumn("status", ruled).drop("permission", "_told")
 
 
-def newly_unlocked(adds: DataFrame, parsed: DataFrame, completed: DataFrame, person: str, item: str, course: str) -> DataFrame:
+def newly_unlocked(adds: DataFrame, parsed: DataFrame, completed: DataFrame, person: str, item: str, course: str, max_depth: int = 6) -> DataFrame:
     """(person, added, item): items a person has not completed, not met before adding a course and not unmet after it.
 
     ``adds`` has (person, added); only items whose tree names the added course are looked at.
@@ -264,9 +264,9 @@ def newly_unlocked(adds: DataFrame, parsed: DataFrame, completed: DataFrame, per
     tree = nodes(parsed, item)
     named = tree.where("kind = 'course'").select(item, F.col("value").alias("added")).distinct()
     ask = adds.select(person, "added").distinct().join(named, "added").join(completed.select(person, F.col(course).alias(item)).distinct(), [person, item], "left_anti")
-    before = gate(evaluate(ask, tree, completed, person, item, course), parsed, item).where(F.col("status") != MET).select(person, item)
+    before = gate(evaluate(ask, tree, completed, person, item, course, max_depth), parsed, item).where(F.col("status") != MET).select(person, item)
     open_ = ask.join(before, [person, item]).withColumn("_who", F.struct(person, "added"))
     after = completed.select(person, course).join(adds.select(person, "added").distinct(), person).select(F.struct(person, "added").alias("_who"), course)
     after = after.unionByName(adds.select(F.struct(person, "added").alias("_who"), F.col("added").alias(course)))
-    got = gate(evaluate(open_, tree, after, "_who", item, course), parsed, item).where(F.col("status") != UNMET)
+    got = gate(evaluate(open_, tree, after, "_who", item, course, max_depth), parsed, item).where(F.col("status") != UNMET)
     return got.select("_who.*", item)

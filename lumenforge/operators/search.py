@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions.scalar import fold, tokens
@@ -17,6 +17,7 @@ FUZZY_TERMS = 6
 SEMANTIC_WEIGHT = 12.0
 CODE_BOOST = 250.0
 GROUPS = 32
+FOLD_TERMS, FOLD_DOCS = 12, 2048
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -159,3 +160,23 @@ def cosine(a: Column, b: Column) -> Column:
 
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+
+
+def fold_in(post: DataFrame, vectors: DataFrame, id_col: str, vec: str, terms: Sequence[str]) -> DataFrame:
+    """(pos, value): the unit vector of a query, the sum of its terms' documents' vectors by term weight.
+
+    The first FOLD_TERMS terms count, those in over half the documents do not; of each the FOLD_DOCS smallest documents count, as defined.
+    Terms that nothing has, documents without a vector and a zero sum give nothing.
+    """
+    terms = list(dict.fromkeys(terms))[:FOLD_TERMS]
+    totals = post.groupBy("doc").agg(F.first("doc_length").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
+    mine = post.where(F.col("term").isin(*terms))
+    freq = mine.groupBy("term").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy("doc"))
+    kept = mine.withColumn("_place", place).where(F.col("_place") <= FOLD_DOCS).join(F.broadcast(freq), "term").join(F.broadcast(totals)).where("df * 2 <= n_docs")
+    one = idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("doc_length"), F.col("avg_length"))
+    weights = kept.groupBy("doc").agg(F.sum(one).alias("w"))  # at most FOLD_TERMS * FOLD_DOCS rows
+    parts = vectors.join(F.broadcast(weights), vectors[id_col] == weights.doc).select("w", F.posexplode(vec).alias("pos", "x"))
+    total = parts.groupBy("pos").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"))
+    norm = total.agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("_n"))
+    return total.join(F.broadcast(norm)).where("_n > 0").select("pos", (F.col("s") / F.col("_n")).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenforge.operators import audits
 from lumenforge.operators import prerequisites as pre
 from lumenforge.plans.registry import query
 
@@ -57,7 +58,7 @@ select o_custkey, p_partkey,
 def g8_evaluated(spark, t):
     p = _parsed(t)
     ask = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
-    got = pre.gate(pre.evaluate(ask, pre.nodes(p, "p_partkey"), _done(t), "o_custkey", "p_partkey", "code"), p, "p_partkey")
+    got = pre.gate(pre.evaluate(ask, pre.nodes(p, "p_partkey"), _done(t), "o_custkey", "p_partkey", "code", max_depth=2), p, "p_partkey")
     return got.select("o_custkey", "p_partkey", F.col("status").cast("long").alias("status"), F.size("outstanding").cast("long").alias("open_choices"))
 
 
@@ -71,7 +72,7 @@ and case k when 0 then (list_contains(more, a) or list_contains(more, b)) and li
 def g9_newly_unlocked(spark, t):
     adds = t("orders").select("o_custkey", F.format_string("COMS%dW", 1000 + (F.col("o_custkey") + 3) % 50).alias("added")).distinct()
     parsed = _parsed(t).withColumn("item", F.concat(F.lit("P"), "p_partkey"))
-    return pre.newly_unlocked(adds, parsed, _done(t), "o_custkey", "item", "code")
+    return pre.newly_unlocked(adds, parsed, _done(t), "o_custkey", "item", "code", max_depth=2)
 
 
 @query("""
@@ -85,3 +86,13 @@ def g3_equivalent_courses(spark, t):
     got = pre.equivalent_pairs(t("part").select(text.alias("text")), "text", F.lit("PART"))
     number = lambda c: (F.regexp_extract(c, r"(\d+)", 1).cast("long") - 3000)
     return got.select(number("course").alias("course"), number("group").alias("lowest"))
+
+
+@query()
+def g23_suggested_plan(spark, t):
+    """Every customer's parts planned over eight terms; sequential choices, so tests hold the operator against recomputation."""
+    facts = _parsed(t).join(t("part").select("p_partkey", (F.col("p_size") % 5 + 1).cast("double").alias("points"), (F.col("p_partkey") % 4).alias("depth"), F.col("p_retailprice").cast("int").alias("fan_out")), "p_partkey")
+    done = _done(t).groupBy("o_custkey").agg(F.array_sort(F.collect_list("code")).alias("completed"))
+    ask = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    wanted = ask.join(facts, "p_partkey").join(done, "o_custkey", "left").withColumn("course", F.concat(F.lit("P"), "p_partkey"))
+    return audits.suggest_plan(wanted.select("o_custkey", "course", "points", "depth", "fan_out", "nodes", "completed"), "o_custkey")

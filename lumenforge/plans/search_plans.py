@@ -118,3 +118,17 @@ def x9_ranked(spark, t):
     docs = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
     groups = [search.Group([("red", 1.0), ("green", 0.85)]), search.Group([("widg", 1.0)], prefix=True, fuzzy=True), search.Group([("golb", 0.25)], fuzzy=True), search.Group([("zzzzzzzz", 1.0)], prefix=True, fuzzy=True)]
     return search.ranked(search.postings(docs, "p_partkey", "text"), groups, ["12"]).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+with d as (select p_partkey as doc, {_WORDS} as w from part), c as (select count(*) as n, avg(len(w)) as avgdl from d where len(w) > 0),
+tf as (select doc, term, count(*) as tf, dl from (select doc, len(w) as dl, unnest(w) as term from d) group by all), f as (select term, count(*) as df from tf group by 1),
+k as (select *, row_number() over (partition by term order by doc) as place from tf where term in ('red', 'green', '12', 'brand')),
+w as (select doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as w from k join f using (term), c where place <= 2048 and df * 2 <= n group by 1),
+s as (select generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding)::double * w as x from embeddings join w on vec_id = doc), t as (select pos, sum(x) as s from s group by 1)
+select pos, round(s / (select sqrt(sum(s * s)) from t), 6) as value from t
+""")
+def x17_fold_in(spark, t):
+    docs = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    got = search.fold_in(search.postings(docs, "p_partkey", "text"), t("embeddings"), "vec_id", "embedding", ["red", "green", "12", "brand", "red", "zzzz"])
+    return got.select("pos", F.round("value", 6).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenforge.plans.registry import query
-from lumenforge.sources import payloads, transcripts
+from lumenforge.sources import html_tables, payloads, transcripts
 
 
 @query("""
@@ -65,3 +65,33 @@ def s17_transcripts(spark, t):
     line = F.concat(term, F.lit("\r\n  COMS   W"), 1000 + F.col("o_orderkey") % 300, F.lit("  Of Things  3 pts "), grade)
     texts = t("orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return transcripts.candidates(texts, "o_custkey", "text").select("o_custkey", "course_id", "term", "grade", "points", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""
+select o_orderkey, '20263PART' || (1000 + o_custkey % 9000) || 'W00' || (o_orderkey % 10) as section_key, 'PART' || (1000 + o_custkey % 9000) || 'W' as course_id, o_orderkey::varchar as call_number,
+case when o_orderkey % 3 = 0 then 0 else 2 end::bigint as n_instructors, 'Ann & Co' as first_name, o_custkey % 60 as enrollment_count,
+case when o_orderkey % 5 = 0 then 'waitlist' when o_custkey % 60 >= 40 then 'full' else 'open' end as status from orders where o_orderstatus <> 'P'
+""")
+def s11_section_details(spark, t):
+    row = lambda label, value: F.concat(F.lit(f"<tr valign=top><TH>{label}:</TH><td><b>"), value, F.lit("</b></td></tr>\n"))
+    key = F.concat(F.lit("20263PART"), 1000 + F.col("o_custkey") % 9000, F.lit("W00"), F.col("o_orderkey") % 10)
+    body = F.concat(
+        F.when(F.col("o_orderstatus") == "P", "<title> Section removed </title>").otherwise("<title>x</title>"), F.lit("<table>"),
+        row("Section key", key), row("Call Number", F.col("o_orderkey").cast("string")), row("Note", F.lit("Ann &amp; Co<!-- </b> -->")),
+        row("Instructors", F.when(F.col("o_orderkey") % 3 == 0, "TBA").otherwise("Ann Lee and<br>Bo&nbsp;Li")),
+        row("Enrollment", F.concat(F.col("o_custkey") % 60, F.lit(" students (40 max) as of 9:14AM Monday"))),
+        row("Status", F.when(F.col("o_orderkey") % 5 == 0, "Wait List").otherwise("")), F.lit("</table>"),
+    )
+    pages = t("orders").select("o_orderkey", body.alias("html"))
+    got = html_tables.section_details(pages, "o_orderkey", "html").join(html_tables.labelled_fields(pages, "o_orderkey", "html"), "o_orderkey")
+    return got.select("o_orderkey", "section_key", "course_id", "call_number", F.size("instructors").cast("long").alias("n_instructors"), F.col("fields")["note"].alias("first_name"), "enrollment_count", "status")
+
+
+@query("""
+with s as (select upper(replace(left(p_type, 4), ' ', '_')) as subject_code, 'Fall' || (2000 + p_size) as term, 'The ' || p_type || ' & more' as subject_name from part)
+select subject_code, min(subject_name) as subject_name, array_to_string(list_sort(list_distinct(list(term))), ',') as terms from s group by 1
+""")
+def s13_subject_index(spark, t):
+    code = F.upper(F.replace(F.left("p_type", F.lit(4)), F.lit(" "), F.lit("_")))
+    page = F.concat(F.lit("<table><tr><td>The "), "p_type", F.lit("  &amp; more</td><td><a class=x href='/cu/bulletin/uwb/sel/"), code, F.lit("_Fall"), 2000 + F.col("p_size"), F.lit(".html'>Fall</a><tr><td>no link</td><td>-</td></table>"))
+    return html_tables.subject_index(t("part").select(page.alias("html")), "html").withColumn("terms", F.array_join("terms", ","))

@@ -53,3 +53,12 @@ def test_course_codes(spark):
     codes = {"MATH UN1201": "MATH1201UN", "COMS4115W": "COMS4115W", "COMSW3157": "COMS3157W", "MATHUN1201": "MATH1201UN", "ECON3213": "ECON3213", "PE 1001": "PE__1001", "AWARDED 2019": None, "ABCDEFGHIJ1000": None, None: None}
     got = spark.createDataFrame([(c,) for c in codes], "c string").select("c", transcripts.course_code(F.col("c"))["course_id"].alias("id")).collect()
     assert {r.c: r.id for r in got} == codes
+
+
+def test_html_tables_with_odd_pages(spark):
+    from lumenforge.sources import html_tables
+
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<tr><td>a<td>b &lt;c&gt;<tr><th>a</th><td>later"), (4, "<table><tr></table>")], "k int, html string")
+    assert {r.k: r.fields for r in html_tables.labelled_fields(pages, "k", "html").collect()} == {3: {"a": "b <c>"}}
+    assert html_tables.section_details(pages, "k", "html").count() == 0
+    assert html_tables.subject_index(pages, "html").count() == 0
