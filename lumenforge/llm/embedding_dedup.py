@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,11 @@ THRESHOLD = 0.9
 SKETCH_WORDS = 4
 #: Neighbours a vector keeps while the graph is refined, orders that seed it, and neighbours taken in each order.
 NEIGHBOURS, ORDERS, STEP = 8, 24, 2
-ROUNDS, EXTRA_ROUNDS = 2, 3
-#: Vectors compared at once when a saturated neighbourhood is filled, and vectors that audit recall.
-BLOCK, AUDIT, AUDIT_RECALL = 512, 256, 0.99
+ROUNDS = 2
+#: Neighbours taken in each order of a sweep, chance that a pair at the threshold shares no order's prefix, and sweeps before giving up.
+SWEEP_STEP, SEED_MISS, SWEEPS = 4, 0.01, 12
+#: Vectors compared at once when a saturated neighbourhood is filled, linked vectors that audit recall, and those without a link for each of them.
+BLOCK, AUDIT, AUDIT_ALONE, AUDIT_RECALL = 512, 256, 4, 0.99
 SEED = 3
 
 
@@ -34,6 +38,12 @@ def bit_limit(threshold: float) -> int:
     return min(n, math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p))))
 
 
+def orders_for(bits: int, threshold: float) -> int:
+    """Orders in which a pair at the threshold shares a prefix of ``bits`` bits at least once, but for a chance of SEED_MISS."""
+    shared = (1 - math.acos(threshold) / math.pi) ** bits
+    return ORDERS if shared >= 1 else max(ORDERS, math.ceil(math.log(SEED_MISS) / math.log1p(-shared)))
+
+
 def _sketched(orders: int, round_no: int):
     """Adds the sketch's words and, for each order, a code of 32 sketch bits chosen at random."""
     rng = np.random.default_rng(1000 + 97 * round_no)
@@ -70,13 +80,13 @@ def _differ(a: str, b: str) -> Column:
     return out.cast("int")
 
 
-def _seeds(sketches: DataFrame, bits: int) -> DataFrame:
+def _seeds(sketches: DataFrame, bits: int, step: int = STEP) -> DataFrame:
     """(u, v, su, sv): vectors near each other in one of the orders."""
     me = F.struct("rep", *_WORDS).alias("me")
     rows = sketches.select(me, F.posexplode("codes").alias("order", "code"))
     w = Window.partitionBy("order", F.shiftright("code", 32 - bits)).orderBy("code", "me.rep")
-    near = rows.select("me", *(F.lead("me", k).over(w).alias(f"n{k}") for k in range(1, STEP + 1)))
-    pairs = near.select("me", F.explode(F.array(*(f"n{k}" for k in range(1, STEP + 1)))).alias("to")).where("to is not null")
+    near = rows.select("me", *(F.lead("me", k).over(w).alias(f"n{k}") for k in range(1, step + 1)))
+    pairs = near.select("me", F.explode(F.array(*(f"n{k}" for k in range(1, step + 1)))).alias("to")).where("to is not null")
     return pairs.select(F.col("me.rep").alias("u"), F.col("to.rep").alias("v"), F.struct(*(F.col(f"me.{w}") for w in _WORDS)).alias("su"), F.struct(*(F.col(f"to.{w}") for w in _WORDS)).alias("sv"))
 
 
@@ -94,6 +104,27 @@ def _descend(graph: DataFrame) -> DataFrame:
     return _best(graph.select("u", "v", "su", "sv").union(far))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame, limit: int) -> DataFrame:
+    """Pairs of different components whose sketches do not rule a link out."""
+    own = comp.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    pairs = pairs.where((F.col("u") != F.col("v")) & (_differ("su", "sv") <= limit))
+    pairs = pairs.join(own, "u", "left").join(own.toDF("v", "cv"), "v", "left")
+    return pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "su", "sv")
+
+
+def _swept(sketches: DataFrame, graph: DataFrame, comp: DataFrame, bits: int, limit: int) -> list[DataFrame]:
+    """Pairs (u, v, su, sv) between components, from fresh orders and then through ``graph``.
+
+    All of them are to be checked; only the nearest of each vector lead on.
+    """
+    found = [materialise(_apart(_seeds(sketches, bits, SWEEP_STEP), comp, limit), "nn-far")]
+    hop = graph.where(F.col("d") <= limit).select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("sv").alias("sw"))
+    for _ in range(ROUNDS):
+        step = _best(found[-1]).join(hop, F.col("v") == F.col("m")).select("u", F.col("w").alias("v"), "su", F.col("sw").alias("sv"))
+        found.append(materialise(_apart(step, comp, limit), "nn-far"))
+    return found
+
+
 def _compared(threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between two blocks of one neighbourhood, counted for every vector."""
@@ -135,10 +166,10 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
 
     Equal vectors are one class. Lists of neighbours are seeded from random orders of 256-bit
     sketches and refined through joins with neighbours' neighbours; edges under the sketch's bound of the threshold are checked
-    on the vectors, and kept edges make components. A list that is saturated with links cannot hold them all: it is enlarged to
-    its whole component, whose vectors are compared block by block, so every link within a component counts.
-    Links that no path of found edges joins are missed; the share found is audited against all vectors on AUDIT of them, and more rounds follow
-    while it is under AUDIT_RECALL.
+    on the vectors, and kept edges make components. A list that is saturated with links cannot hold them all. So sweeps follow, with
+    fresh orders, that check every pair of different components the sketches do not rule out, however many a vector has. They go on until one finds no link between components and the audit meets AUDIT_RECALL; if SWEEPS of them do not
+    get there, an error is raised. The number of orders grows with the table. The vectors of a component are compared block by
+    block, so every link within it counts; links that no path of found edges joins are missed.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different sizes do
     not link. Repeated ids count as vectors of their own; the smallest id of a component, null last, names it. Empty input gives no rows.
@@ -157,20 +188,43 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
 
     sketch_fields = "rep long, " + ", ".join(f"{w} long" for w in _WORDS) + ", codes array<long>"
     only = classes.select("rep", "vec")
-    graph = edges = comp = None
-    for turn in range(1 + EXTRA_ROUNDS):
-        sketches = materialise(only.mapInPandas(_sketched(ORDERS, turn), sketch_fields), "nn-sketches")
-        start = _seeds(sketches, bits)
-        graph = materialise(_best(start if graph is None else start.union(graph.select("u", "v", "su", "sv"))), "nn-graph")
-        for _ in range(ROUNDS):
-            graph = materialise(_descend(graph), "nn-graph")
-        discard(sketches)
-        close = graph.where(F.col("d") <= limit).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    orders = orders_for(bits, threshold)
+
+    def sketched(turn: int) -> DataFrame:
+        return materialise(only.mapInPandas(_sketched(orders, turn), sketch_fields), "nn-sketches")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = pairs.where(_differ("su", "sv") <= limit).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         va, vb = (only.select(F.col("rep").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
-        edges = close.join(va, "a").join(vb, "b").where(_cosine("va", "vb") >= threshold).select("a", "b")
-        comp = materialise(connected_components(edges), "nn-components")
-        if _audited(classes, comp, threshold) >= AUDIT_RECALL:
+        return materialise(close.join(va, "a").join(vb, "b").where(_cosine("va", "vb") >= threshold).select("a", "b"), "nn-links")
+
+    sketches = sketched(0)
+    graph = materialise(_best(_seeds(sketches, bits)), "nn-graph")
+    for _ in range(ROUNDS):
+        nxt = materialise(_descend(graph), "nn-graph")
+        discard(graph)
+        graph = nxt
+    discard(sketches)
+    comp = materialise(connected_components(verified(graph)), "nn-components")
+    recall = 0.0
+    for turn in range(1, 1 + SWEEPS):
+        sketches = sketched(turn)
+        far = _swept(sketches, graph, comp, bits, limit)
+        links = verified(reduce(DataFrame.union, far))
+        for x in (sketches, *far):
+            discard(x)
+        # the stars of the components stand for the links found before
+        joined = links.count()
+        if joined:
+            stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = materialise(connected_components(stars.union(links)), "nn-components")
+        elif (recall := _audited(classes, comp, threshold)) >= AUDIT_RECALL:
             break
+    else:
+        recall = _audited(classes, comp, threshold)
+        if recall < AUDIT_RECALL:
+            raise RuntimeError(f"{recall:.4f} of links found after {SWEEPS} sweeps, less than {AUDIT_RECALL}")
+    print(f"near_duplicate_embeddings: {n} vectors, {orders} orders, {turn} sweeps, audited recall {recall:.4f}", file=sys.stderr)
 
     members = classes.join(comp, classes.rep == comp.node).select("rep", "component", "copies", "vec")
     sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -189,8 +243,18 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
 
 
 def _audited(classes: DataFrame, comp: DataFrame, threshold: float) -> float:
-    """The share of the links of AUDIT vectors, sought among all vectors, that lie within a component."""
-    asked = classes.orderBy(F.xxhash64(F.lit(7), "rep"), "rep").limit(AUDIT).select("rep", "vec").collect()
+    """The estimated share of links that lie within a component, a mean over vectors that have links.
+
+    AUDIT vectors in a component and AUDIT_ALONE times as many outside of any are compared with all vectors; those outside stand
+    for all that were left out, so a missed pair weighs as much as it would in the whole table.
+    """
+    placed = classes.join(comp, classes.rep == comp.node, "left").select("rep", "vec", "component")
+    size = {True: comp.count()}
+    size[False] = classes.count() - size[True]
+    asked = []
+    for linked, most in ((True, AUDIT), (False, AUDIT * AUDIT_ALONE)):
+        part = placed.where(F.col("component").isNotNull() == linked)
+        asked += part.orderBy(F.xxhash64(F.lit(7), "rep"), "rep").limit(most).collect()
     if not asked:
         return 1.0
     queries = [(r[0], np.asarray(r[1], float)) for r in asked]
@@ -199,7 +263,7 @@ def _audited(classes: DataFrame, comp: DataFrame, threshold: float) -> float:
         for b in batches:
             out = []
             x = [np.asarray(v, float) for v in b["vec"]]
-            rep = b["rep"].to_numpy()
+            rep, component = b["rep"].to_numpy(), b["home"].to_numpy()
             for d in {len(v) for v in x}:
                 at = np.array([i for i, v in enumerate(x) if len(v) == d])
                 mine = np.stack([x[i] / np.abs(x[i]).max() for i in at])
@@ -207,12 +271,22 @@ def _audited(classes: DataFrame, comp: DataFrame, threshold: float) -> float:
                 own = [(r, q / np.abs(q).max()) for r, q in queries if len(q) == d]
                 if own:
                     near = np.stack([q / np.linalg.norm(q) for _, q in own]) @ mine.T >= threshold
-                    for i, j in zip(*np.nonzero(near), strict=True):
-                        if own[i][0] != rep[at[j]]:
-                            out.append((own[i][0], rep[at[j]]))
-            yield pd.DataFrame(out, columns=["q", "v"])
-
-    links = classes.select("rep", "vec").mapInPandas(run, "q long, v long")
-    a, b = comp.select(F.col("node").alias("q"), F.col("component").alias("cq")), comp.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    found, total = links.join(a, "q", "left").join(b, "v", "left").agg(F.count_if(F.col("cq") == F.col("cv")), F.count("*")).first()
-    return found / total if total else 1.0
+                    i, j = np.nonzero(near)
+                    asks = np.array([r for r, _ in own], np.int64)[i]
+                    other = asks != rep[at[j]]
+                    out.append(pd.DataFrame({"q": asks[other], "c": component[at[j]][other]}).groupby(["q", "c"]).size().reset_index(name="n"))
+            yield pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "n": []}, dtype="int64")
+
+    met = placed.select("rep", "vec", F.coalesce("component", "rep").alias("home")).mapInPandas(run, "q long, c long, n long")
+    home = {r["rep"]: r["component"] for r in asked}
+    total, found = dict.fromkeys(home, 0), dict.fromkeys(home, 0)
+    for q, c, k in met.groupBy("q", "c").agg(F.sum("n")).collect():
+        total[q] += k
+        found[q] += k * (c == home[q])
+    vectors = share = 0.0
+    for linked in (True, False):
+        mine = [q for q, c in home.items() if (c is not None) == linked]
+        scale = size[linked] / max(1, len(mine))
+        vectors += scale * sum(total[q] > 0 for q in mine)
+        share += scale * sum(found[q] / total[q] for q in mine if total[q])
+    return share / vectors if vectors else 1.0

@@ -99,6 +99,34 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_embeddings(df.where("false")).count() == 0
 
 
+def test_embeddings_join_tight_groups(spark):
+    rng = np.random.default_rng(5)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    rows = [unit(rng.normal(size=(600, 64)))]
+    for _ in range(8):  # groups of more vectors than a list holds, joined only by links between them
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        for centre in (a, 0.93 * a + np.sqrt(1 - 0.93**2) * b):
+            rows.append(unit(centre + rng.normal(scale=0.004, size=(20, 64))))
+    vectors = list(enumerate(np.concatenate(rows).tolist()))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert got(embedding_dedup.near_duplicate_embeddings(df), "vec_id", "n_links", "component_id", "kept") == brute.cosine_links(vectors)
+
+
+def test_embeddings_audit_counts_vectors_with_links(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 64))
+    x[:100] = x[0] + rng.normal(scale=0.01, size=(100, 64))  # a large group, found
+    x[101] = x[100] + rng.normal(scale=0.01, size=64)  # a lone pair, not found
+    classes = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "rep long, vec array<double>")
+    comp = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    assert abs(embedding_dedup._audited(classes, comp, 0.9) - 100 / 102) < 1e-9
+    assert embedding_dedup._audited(classes, comp.union(spark.createDataFrame([(100, 100), (101, 100)], comp.schema)), 0.9) == 1
+    assert embedding_dedup.orders_for(20, 0.9) > embedding_dedup.orders_for(14, 0.9) > embedding_dedup.ORDERS
+
+
 def test_language_model(docs, empty):
     cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     for blocks in (1 << 20, 7):
