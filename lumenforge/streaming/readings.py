@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,9 +49,21 @@ def opened(readings: DataFrame, key: str, ts: str, tie: str, is_open: str) -> Da
     return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def captured(readings: DataFrame, key: str, ts: str, value: str, within: str = "1 hour") -> DataFrame:
-    """Append-mode stream with one row a key and instant: rows without a value go, repeats within ``within`` go."""
+def opened_in_order(readings: DataFrame, key: str, ts: str, tie: str, is_open: str) -> DataFrame:
+    """As ``opened``, of a table of drained readings in whatever order they came: each key's history is read in event order."""
+    rows = readings.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_open", F.coalesce(F.col(is_open), F.lit(False)))
+    seen = rows.withColumn("_was", F.lag("_open").over(Window.partitionBy(key).orderBy(ts, tie)))
+    return seen.where("_open and not _was").select(key, tie, ts)
+
+
+def captured(readings: DataFrame, key: str, ts: str, value: str, within: str | None = "1 hour") -> DataFrame:
+    """Append-mode stream with one row a key and instant: rows without a value go, repeats within ``within`` go.
+
+    Rows that come later than ``within`` are lost; with None no row is late, and the state keeps every key and instant.
+    """
     timed = readings.where(F.col(value).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    if within is None:
+        return timed.dropDuplicates([key, ts])
     return timed.withWatermark(ts, within).dropDuplicatesWithinWatermark([key, ts])
 
 
