@@ -15,6 +15,13 @@ def _edges(t):
     return t("part").where("p_partkey + p_size < 2000 and p_partkey % 3 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")).distinct()
 
 
+_ALL_EDGES = "(select distinct p_partkey as src, p_partkey + p_size as dst from part where p_size is not null)"
+
+
+def _all_edges(t):
+    return t("part").where("p_size is not null").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")).distinct()
+
+
 @query(f"""
 with recursive r as (select p_partkey as root, p_partkey as node, 0 as distance from part where p_partkey % 50 = 0 union select root, dst, distance + 1 from r join {_EDGES} e on e.src = r.node where distance < 3)
 select root, node, min(distance)::bigint as distance from r group by all
@@ -37,6 +44,31 @@ def g4_unlock_counts(spark, t):
     return _edges(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"), F.log1p(F.count("*")).alias("gain"))
 
 
+@query(f"""
+with recursive r as (select p_partkey as root, p_partkey as node, 0 as distance from part where p_partkey % 50 = 0 union select root, dst, distance + 1 from r join {_ALL_EDGES} e on e.src = r.node where distance < 3)
+select root, node, min(distance)::bigint as distance from r group by all
+""")
+def g7_neighbourhood_all(spark, t):
+    """``g7_neighbourhood`` over the edges of all parts."""
+    roots = t("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("root"))
+    return graph.reach(_all_edges(t), roots, "src", "dst", 3)
+
+
+@query(f"""
+with recursive e as (select * from {_ALL_EDGES}), r as (select n as node, 0 as depth from (select src as n from e union select dst from e) union select dst, depth + 1 from r join e on e.src = r.node where depth < 60)
+select node, max(depth)::bigint as depth from r group by 1
+""")
+def g5_depths_all(spark, t):
+    """``g5_depths`` over the edges of all parts; as there, depths end at 60."""
+    return graph.depths(_all_edges(t), "src", "dst", 60)
+
+
+@query(f"with e as (select * from {_ALL_EDGES}) select src as node, count(*) as unlocks, ln(1 + count(*)) as gain from e group by 1")
+def g4_unlock_counts_all(spark, t):
+    """``g4_unlock_counts`` over the edges of all parts."""
+    return _all_edges(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"), F.log1p(F.count("*")).alias("gain"))
+
+
 @query("""
 with g as (select * from (values (1, 'PROMO', 3), (2, 'SMALL', 2), (3, 'ECONOMY', 10)) v(gid, kind, need)),
 have as (select o_custkey, p_type, count(distinct p_partkey) as n from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey group by all)
