@@ -100,6 +100,12 @@ def x1_fold(spark, t):
     return t("documents").select("doc_id", scalar.fold(F.left("text", F.lit(200))).alias("folded"))
 
 
+@query("select doc_id, trim(regexp_replace(lower(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
+def x1_fold_all(spark, t):
+    """Whole texts folded."""
+    return t("documents").select("doc_id", scalar.fold(F.col("text")).alias("folded"))
+
+
 @query("select p_partkey, replace(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')), ' ', '-') as slug from part")
 def p_slugs(spark, t):
     return t("part").select("p_partkey", scalar.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
