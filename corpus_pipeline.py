@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences for training."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), added=packing.added_tokens(tokenizer_path("byte_bpe_50k.json")))
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -29,14 +30,24 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The tokens of a ``tokenizers`` file that are cut out of texts before they are encoded, with their ids."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class ByteEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, from a rank file of the vocabulary.
 
     Texts without neighbouring white space are cut before each space and line break. No token
     crosses such a cut, so the ids of the distinct pieces are joined; other texts are encoded whole.
+    Texts are first split at ``added`` tokens, which get their own ids.
     """
 
-    def __init__(self, ranks_path: str, limit: int = CACHE_LIMIT):
+    def __init__(self, ranks_path: str, limit: int = CACHE_LIMIT, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -46,11 +57,18 @@ class ByteEncoder:
         for token, i in ranks.items():
             self.ends[i] = token[-1:] in (b".", b"!", b"?", b"\n")
         self.table = RollingCache(self.whole, limit)
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.split.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if "\x00" in text or _SPACES.search(text):
@@ -93,9 +111,9 @@ def choose_cuts(cuts: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> li
     return out[::-1]
 
 
-def _pack(ranks_path: str, end_id: int, window: int):
+def _pack(ranks_path: str, end_id: int, window: int, added: dict[str, int] | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = ByteEncoder(ranks_path)
+        enc = ByteEncoder(ranks_path, added=added)
         end = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         sequence, offset = part << 40, 0  # the open window and how far it is filled
@@ -150,7 +168,7 @@ def _pack(ranks_path: str, end_id: int, window: int):
     return run
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
     """Pack all documents, in the order of the input's partitions, into sequences of at most ``window`` ids.
 
     Cuts lie at documents' or sentences' ends, a full window behind one of them, or every
@@ -158,11 +176,12 @@ def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     packs its own stream, so one sequence a task is left open. Returns a row for
     each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    Texts are split at ``added`` tokens (``added_tokens``), which get their ids; without them they are encoded as any other text.
     Null and empty texts are the end id alone; repeated ids are packed as documents of
     their own; a text longer than a window gives several pieces. Empty input gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInPandas(_pack(ranks_path, end_id, window), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = rows.mapInPandas(_pack(ranks_path, end_id, window, added), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

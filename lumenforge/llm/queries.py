@@ -28,7 +28,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), added=packing.added_tokens(tokenizer_path("byte_bpe_50k.json")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

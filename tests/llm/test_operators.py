@@ -179,6 +179,23 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, queries.tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_packing_query_gives_the_tokenizers_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a <|endoftext|>", "one\n<|endoftext|><|endoftext|>  two.", "<|endoftext|", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    for out in (queries.op4_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert got(out, "doc_id", "doc_tokens", "ids_crc32") == want
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(60):
