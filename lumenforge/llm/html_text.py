@@ -27,6 +27,8 @@ INFER_BLOCKS = 4096
 #: How HTML treats elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("script style template noscript iframe svg math head title textarea select option object canvas audio video".split())
+#: What may stand in a head; any other element, or text, ends one that is still open.
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = set("script style template noscript iframe title textarea".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -80,6 +82,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         stop = m.start() if m else len(page)
+        if stop > at and stack and stack[-1] == "head" and not page[at:stop].isspace():
+            close_to(len(stack) - 1)
         if stop > at and not skip:
             parts.append(page[at:stop])
             if "a" in stack:
@@ -101,6 +105,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
+        if stack and stack[-1] == "head" and name not in IN_HEAD:
+            close_to(len(stack) - 1)
         if name in CLOSES_P and "p" in stack:
             close_to(len(stack) - 1 - stack[::-1].index("p"))
         if name in ("li", "dt", "dd", "tr", "td", "th") and name in stack:
@@ -152,16 +158,16 @@ def _hashed(word: str, dim: int) -> np.ndarray:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed first and last words, lengths, links, place."""
+    """A row for each block: hashed tag path, hashed words, lengths, links, place."""
     out = np.zeros((len(blocks), INPUT), np.float32)
     paths: dict[tuple[str, ...], np.ndarray] = {}
     for i, b in enumerate(blocks):
         p = paths.get(b.path)
         if p is None:
             p = paths[b.path] = np.sum([_hashed(s, PATH_DIM) for s in b.path], axis=0) if b.path else np.zeros(PATH_DIM, np.float32)
-        words = b.text[:200].split()[:6] + b.text[-60:].split()[-3:]
+        words = b.text.lower().split()
         out[i, :PATH_DIM] = p
-        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sum([_hashed(w.lower(), WORD_DIM) for w in words], axis=0) / (4 * len(words))
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sum([_hashed(w, WORD_DIM) for w in words], axis=0) / (4 * len(words))
         n = len(b.text)
         out[i, -NUMBERS:] = (np.log1p(n) / 8, min(1, b.linked / n), b.text[-1] in ".!?", len(b.path) / 10, i / len(blocks), np.log1p(len(blocks)) / 8)
     return out

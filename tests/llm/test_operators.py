@@ -247,6 +247,16 @@ def test_html(spark):
     assert out[900004].text == "T & U\none two three\nlast"
 
 
+def test_html_reads_whole_blocks_and_open_heads():
+    blocks = [html_text.Block(("p",), " ".join(["word"] * 60 + [x] + ["word"] * 60), 0) for x in ("cookies", "article")]
+    a, b = html_text.features(blocks)
+    words = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    assert (a[words] != b[words]).any()
+    for page in ("<html><head><title>t</title><body><p>x</p></body>", "<head><meta charset=utf8><p>x</p>", "<head><style>s</style> x"):
+        assert [z.text for z in html_text.leaf_blocks(page)] == ["x"]
+    assert html_text.leaf_blocks("<html><head>\n<title>t</title> <link href=x><script>s</script></head><body></body></html>") == []
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     m = html_text.BlockLabeller()
