@@ -8,53 +8,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenforge.llm.blocks import by_shard, mixed, pack, steps, unpack, written_blocks
 from lumenforge.llm.common import RollingCache, held_out_column, materialise, ship_package
 
-#: Prior weight of the base distribution in every context.
-PRIOR = 1000.0
-#: Tokens of a block; what a task holds follows from it, whatever the corpus' size.
-BLOCK_TOKENS = 1 << 20
-#: Bytes of text for each shard of counts.
-SHARD_BYTES = 24 << 20
-#: Shards are numbered by the top bits of a hash and tell pairs apart by LOW bits: as shards grow in
-#: number with the corpus, the share of pairs that collide (a few in a million) does not.
-LOW = 40
-
-_START = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
-_END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
-
+#: Words in the longest n-gram, prior weight of the lower order in every context, and occurrences that make a context a state.
+ORDER, PRIOR, MIN_CONTEXT = 3, 30.0, 2
+#: Tokens of a block, and of the corpus for each shard; what a task holds follows from them, whatever the corpus' size.
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays split into byte planes and compressed together."""
-    z = zstandard.ZstdCompressor(level=1)
-    parts = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
-        body = z.compress(np.ascontiguousarray(planes).tobytes())
-        parts.append(f"{a.dtype.str},{len(a)},{len(body)};".encode() + body)
-    return b"".join(parts)
-
-
-def _unpack(body: bytes) -> list[np.ndarray]:
-    z = zstandard.ZstdDecompressor()
-    out, at = [], 0
-    while at < len(body):
-        stop = body.index(b";", at)
-        kind, n, size = body[at:stop].decode().split(",")
-        at = stop + 1 + int(size)
-        dtype = np.dtype(kind)
-        raw = np.frombuffer(z.decompress(body[stop + 1 : at], max_output_size=max(1, int(n) * dtype.itemsize)), np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if int(n) else np.empty(0, dtype))
-    return out
+_END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 
 
 def _tokenised(block_tokens: int):
-    """Blocks of documents: ids, lengths and training marks of documents, words' hashes, tokens as places among them."""
+    """Blocks of documents: ids, lengths and training marks of documents, words' hashes by frequency, tokens as places among them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = RollingCache(xxhash.xxh64_intdigest, 200_000)
@@ -62,10 +32,14 @@ def _tokenised(block_tokens: int):
         rows, streams, size, seq = [], [], 0, 0
 
         def flush():
-            words, places = np.unique(np.concatenate(streams), return_inverse=True)
+            words, places, times = np.unique(np.concatenate(streams), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small places
+            at = np.empty(len(order), np.uint32)
+            at[order] = np.arange(len(order), dtype=np.uint32)
             lengths = np.array([len(s) for s in streams], np.int64)
             train = np.array([r[1] for r in rows], np.uint8)
-            return pd.DataFrame({"block": [(part << 32) + seq], "ids": [[r[0] for r in rows]], "body": [_pack(lengths, train, words, places.astype(np.uint32))]})
+            body = pack(lengths, train, words[order], at[places.ravel()])
+            return pd.DataFrame({"block": [(part << 32) + seq], "n_tokens": [size], "n_train": [int(train.sum())], "ids": [[r[0] for r in rows]], "body": [body]})
 
         for b in batches:
             for i, x, held in zip(b["id"], b["x"], b["held"], strict=True):
@@ -82,152 +56,268 @@ def _tokenised(block_tokens: int):
     return run
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(LOW)) * np.uint64(shards)) >> np.uint64(64 - LOW)
+class _Grams:
+    """The distinct n-grams of one order in a block: keys, each one's first place, and at every token its n-gram (or -1)."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, counted: np.ndarray):
+        self.keys, self.at = keys, at
+        there = at >= 0
+        self.mine = np.bincount(at[there & counted], minlength=len(keys)).astype(np.uint32)
+        self.first = np.zeros(len(keys), np.int64)
+        places = np.flatnonzero(there)[::-1]
+        self.first[at[places]] = places
+        self.count = np.zeros(len(keys), np.int64)
+        self.number = np.full(len(keys), -1, np.int64)
+
+    def asks(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        for s, p in by_shard(self.keys, shards):
+            order = p[np.argsort(self.keys[p], kind="stable")]
+            yield s, pack(steps(self.keys[order]), self.mine[order])
+
+    def take(self, shards: int, answers: dict[int, bytes]) -> None:
+        """Fill in corpus counts, and numbers of the n-grams that were given one."""
+        for s, p in by_shard(self.keys, shards):
+            order = p[np.argsort(self.keys[p], kind="stable")]
+            count, named, rank = unpack(answers[s])
+            self.count[order] = count
+            self.number[order[np.unpackbits(named, count=len(order)).astype(bool)]] = np.cumsum(rank).astype(np.int64) * shards + s
 
 
 class _Block:
-    """The n-grams of one block, in a fixed order: words, then pairs by their keys."""
+    """A block's n-grams, order by order, as far as the shards have answered."""
 
-    def __init__(self, body: bytes, shards: int):
-        self.lengths, train, words, places = _unpack(body)
+    def __init__(self, body: bytes, shards: int, starts: int, min_context: int):
+        self.shards, self.starts, self.min_context = shards, starts, min_context
+        self.lengths, train, words, places = unpack(body)
         self.train = train.astype(bool)
-        self.words = words
-        self.places = places.astype(np.int64)
-        n = len(words)
-        ends = np.cumsum(self.lengths)
-        before = np.empty_like(self.places)
-        before[1:] = self.places[:-1]
-        before[np.concatenate(([0], ends[:-1])).astype(np.int64)] = n  # the start state
-        self.before = before
+        self.begins = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
         self.counted = np.repeat(self.train, self.lengths)
-        named = np.append(words, _START)
-        k = named[before] * np.uint64(0x9E3779B97F4A7C15) ^ words[self.places]
-        k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        k = k ^ (k >> np.uint64(29))
-        low = np.uint64((1 << LOW) - 1)
-        pairs = (_shard(k, shards) << np.uint64(LOW)) | (k & low)
-        self.pairs, self.arc = np.unique(pairs, return_inverse=True)
-        self.word_count = np.bincount(self.places, weights=self.counted, minlength=n).astype(np.uint32)
-        self.pair_count = np.bincount(self.arc, weights=self.counted, minlength=len(self.pairs)).astype(np.uint32)
-        self.word_order = np.argsort(_shard(words, shards), kind="stable")
-        self.word_shards = _shard(words, shards)[self.word_order]
-        self.pair_shards = self.pairs >> np.uint64(LOW)
-
-    def slices(self, s: int) -> tuple[np.ndarray, slice]:
-        """Places of the words and of the pairs that shard ``s`` counts."""
-        a, b = np.searchsorted(self.word_shards, np.array([s, s + 1], np.uint64))
-        return self.word_order[a:b], slice(*np.searchsorted(self.pair_shards, np.array([s, s + 1], np.uint64)))
-
-
-def _asked(shards: int):
+        self.opens = np.zeros(len(places), bool)
+        self.opens[self.begins] = True
+        self.orders = [_Grams(words, places.astype(np.int64), self.counted)]
+
+    def grow(self) -> None:
+        """Add the next order: n-grams whose context is a state and whose last word, or suffix, occurs in training."""
+        top = self.orders[-1]
+        context = np.full(len(top.at), -1, np.int64)  # the start is 0, others their number plus 1
+        if len(top.keys):
+            state = np.where(top.count >= self.min_context, top.number + 1, -1)
+            context[1:] = np.where(top.at[:-1] >= 0, state[top.at[:-1]], -1)
+        context[self.opens] = 0 if len(self.orders) == 1 and self.starts >= self.min_context else -1
+        word = self.orders[0].number[self.orders[0].at]
+        suffix = (top.at >= 0) & (top.count[top.at] > 0) if len(top.keys) else np.zeros(len(top.at), bool)
+        there = np.flatnonzero((context >= 0) & (word >= 0) & suffix)
+        keys, where = np.unique(_joined(context[there], word[there]), return_inverse=True)
+        at = np.full(len(top.at), -1, np.int64)
+        at[there] = where.ravel()
+        self.orders.append(_Grams(keys, at, self.counted))
+
+    def replay(self, answers: dict[int, dict[int, bytes]]) -> None:
+        """Take the answers of each order in turn, growing the next from them."""
+        for n in sorted(answers):
+            if n > len(self.orders):
+                self.grow()
+            self.orders[n - 1].take(self.shards, answers[n])
+
+
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a context's and a word's numbers: exact while both fit in 32 bits, else mixed."""
+    c, w = context.astype(np.uint64), word.astype(np.uint64)
+    exact = (c < np.uint64(1 << 31)) & (w < np.uint64(1 << 32))
+    if exact.all():
+        return (c << np.uint64(32)) | w
+    return np.where(exact, (c << np.uint64(32)) | w, mixed(mixed(c) ^ w) | np.uint64(1 << 63))
+
+
+def _answers_of(rows: pd.DataFrame) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for n, s, body in zip(rows["n"], rows["shard"], rows["body"], strict=True):
+        out.setdefault(int(n), {})[int(s)] = body
+    return out
+
+
+def _asked(order: int, shards: int, starts: int, min_context: int):
+    """The keys of ``order`` that each block asks for, given the answers of the orders below."""
+
+    def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(blocks):
+            x = _Block(blocks["body"].iloc[0], shards, starts, min_context)
+            x.replay(_answers_of(answers))
+            if order > len(x.orders):
+                x.grow()
+            out = [(s, int(key[0]), body) for s, body in x.orders[-1].asks(shards)]
+        return pd.DataFrame(out, columns=["shard", "block", "body"])
+
+    return run
+
+
+def _first_asked(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, body in zip(b["block"], b["body"], strict=True):
-                x = _Block(body, shards)
-                out = []
-                for s in np.union1d(x.word_shards, x.pair_shards).tolist():
-                    w, p = x.slices(s)
-                    planes = x.pairs[p].view(np.uint8).reshape(-1, 8)[:, :5].T
-                    out.append((s, block, _pack(x.words[w], x.word_count[w], np.ascontiguousarray(planes).ravel(), x.pair_count[p])))
-                yield pd.DataFrame(out, columns=["shard", "block", "body"])
+                x = _Block(body, shards, 0, 1)
+                yield pd.DataFrame([(s, block, m) for s, m in x.orders[0].asks(shards)], columns=["shard", "block", "body"])
 
     return run
 
 
-def _answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of every block's words and pairs of one shard, in the order asked, and the shard's share of N and V."""
-    words, word_counts, pairs, pair_counts = [], [], [], []
-    for body in rows["body"]:
-        w, wc, planes, pc = _unpack(body)
-        wide = np.zeros((len(pc), 8), np.uint8)
-        wide[:, :5] = planes.reshape(5, -1).T
-        words.append(w)
-        word_counts.append(wc)
-        pairs.append(wide.view(np.uint64).ravel())
-        pair_counts.append(pc)
+def _answered(order: int, least: int):
+    """Corpus counts of every block's keys of one shard, and numbers of those that occur ``least`` times (their ranks in the shard)."""
 
-    def total(keys, counts):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = [], []
+        for body in rows["body"]:
+            k, c = unpack(body)
+            keys.append(np.cumsum(k, dtype=np.uint64))
+            counts.append(c)
         names, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(counts), minlength=len(names)).astype(np.uint64)
-        return names, sums, np.split(sums[place], np.cumsum([len(k) for k in keys])[:-1])
+        total = np.bincount(place.ravel(), weights=np.concatenate(counts), minlength=len(names)).astype(np.uint64)
+        named = total >= least
+        rank = np.cumsum(named) - 1
+        out, at = [], 0
+        for block, k in zip(rows["block"], keys, strict=True):
+            p = place.ravel()[at : at + len(k)]
+            at += len(k)
+            # a count of one byte where that is enough
+            c = total[p].astype(np.min_scalar_type(int(total[p].max(initial=0))))
+            out.append((int(block), order, int(key[0]), pack(c, np.packbits(named[p]), steps(rank[p][named[p]].astype(np.uint64))), 0, 0))
+        out.append((-1, order, int(key[0]), b"", int(total.sum()), int((total > 0).sum())))
+        return pd.DataFrame(out, columns=["block", "n", "shard", "body", "tokens", "distinct"])
 
-    _, w_sum, w_each = total(words, word_counts)
-    _, _, p_each = total(pairs, pair_counts)
-    out = [(int(b), int(key[0]), _pack(w, p.astype(np.uint32)), 0, 0) for b, w, p in zip(rows["block"], w_each, p_each, strict=True)]
-    out.append((-1, int(key[0]), b"", int(w_sum.sum()), int((w_sum > 0).sum())))
-    return pd.DataFrame(out, columns=["block", "shard", "body", "n", "v"])
+    return run
 
 
-def _traversed(shards: int, n: int, v: int, starts: int, prior: float):
+class Automaton:
+    """The part of the corpus' automaton that one block's texts can reach.
+
+    State 0 is the empty context: it has an arc for every word. Other states are contexts, the start among them; a
+    state's arcs carry smoothed log10 probabilities of the words seen after it, and its failure arc the weight of
+    leaving it for its longest proper suffix that is a state.
+    """
+
+    def __init__(self, x: _Block, tokens: int, distinct: int, prior: float, order: int):
+        uni = x.orders[0]
+        base = (uni.count + 1) / (tokens + 1.0 * (distinct + 1))
+        self.root = np.log10(base)
+        self.width = len(uni.keys)
+        n_states = [0, 1]  # of orders 0 and 1 on: where their states begin
+        for g in x.orders:
+            n_states.append(n_states[-1] + len(g.keys))
+        start = n_states[-1]
+        seen = np.concatenate([[0], *(g.count for g in x.orders), [x.starts]]).astype(float)
+        self.start = start if order > 1 and x.starts >= x.min_context else 0
+        self.leave = np.log10(prior / (seen + prior)).tolist()
+        # at each token, the longest context that is a state once it is read, by order
+        reached = [np.zeros(len(uni.at), np.int64)]
+        for k, g in enumerate(x.orders[: order - 1]):
+            state = np.where(g.count >= x.min_context, n_states[k + 1] + np.arange(len(g.keys)), -1)
+            mine = np.where(g.at >= 0, state[g.at] if len(state) else -1, -1)
+            reached.append(np.where(mine >= 0, mine, reached[-1]))
+        fail = [np.zeros(1, np.int64), np.zeros(len(uni.keys), np.int64)]
+        self.root_to = reached[min(1, order - 1)][uni.first].tolist()
+        arcs, weights, targets = [], [], []
+        below = base[uni.at]  # at each token, its probability in the order below
+        for k, g in enumerate(x.orders[1:], start=2):
+            source = np.where(x.opens[g.first], start, reached[k - 1][g.first - 1]) if k == 2 else reached[k - 1][g.first - 1]
+            here = g.count > 0
+            p = (g.count + prior * below[g.first]) / (seen[source] + prior)
+            arcs.append((source * self.width + uni.at[g.first])[here])
+            weights.append(np.log10(p)[here])
+            targets.append(reached[min(k, order - 1)][g.first][here])
+            fail.append(reached[k - 1][g.first])
+            below = np.where(g.at >= 0, p[g.at] if len(p) else 0.0, 0.0)
+        fail.append(np.zeros(1, np.int64))
+        self.fail = np.concatenate(fail).tolist()
+        self.arcs = dict(zip(np.concatenate(arcs).tolist() if arcs else [], zip(np.concatenate(weights).tolist() if arcs else [], np.concatenate(targets).tolist() if arcs else [], strict=True), strict=True))
+        self.root = self.root.tolist()
+
+    def score(self, words: list[int]) -> float:
+        """log10 probability of one text: a single traversal from left to right."""
+        arcs, width, leave, fail = self.arcs, self.width, self.leave, self.fail
+        state, total = self.start, 0.0
+        for w in words:
+            while state:
+                arc = arcs.get(state * width + w)
+                if arc is not None:
+                    total += arc[0]
+                    state = arc[1]
+                    break
+                total += leave[state]
+                state = fail[state]
+            else:
+                total += self.root[w]
+                state = self.root_to[w]
+        return total
+
+
+def _traversed(shards: int, starts: int, min_context: int, tokens: int, distinct: int, prior: float, order: int):
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame({"id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        x = _Block(blocks["body"].iloc[0], shards)
-        c = np.zeros(len(x.words), np.int64)
-        pair = np.zeros(len(x.pairs), np.int64)
-        for s, body in zip(answers["shard"], answers["body"], strict=True):
-            w, p = x.slices(int(s))
-            c[w], pair[p] = _unpack(body)
-        # the automaton: a state for each word seen in training and one for a text's start, all
-        # failing to the empty state, whose arcs carry the base distribution
-        base = (c + 1) / (n + 1.0 * (v + 1))
-        seen = np.append(c, starts).astype(float)
-        fail = np.log10(prior / (seen + prior))
-        # arcs of states: the pair's state is that of the word before, its target that of the word
-        first = np.zeros(len(x.pairs), np.int64)
-        first[x.arc[::-1]] = np.arange(len(x.arc) - 1, -1, -1)
-        state, word = x.before[first], x.places[first]
-        has_arc = pair > 0
-        arc = np.log10((pair + prior * base[word]) / (seen[state] + prior))
-        log_base = np.log10(base)
-        # left to right: the state is that of the word before; take its arc, else fail and take the empty state's
-        step = np.where(has_arc[x.arc], arc[x.arc], fail[x.before] + log_base[x.places])
-        begins = np.concatenate(([0], np.cumsum(x.lengths)[:-1])).astype(np.int64)
+        x = _Block(blocks["body"].iloc[0], shards, starts, min_context)
+        x.replay(_answers_of(answers))
+        a = Automaton(x, tokens, distinct, prior, order)
+        uni = x.orders[0]
+        log_base = np.array(a.root)
         return pd.DataFrame(
             {
                 "id": list(blocks["ids"].iloc[0]),
                 "held_out": ~x.train,
                 "n_tokens": x.lengths,
-                "n_known": np.add.reduceat((c > 0)[x.places].astype(np.int64), begins),
-                "base_score": np.add.reduceat(log_base[x.places], begins),
-                "score": np.add.reduceat(step, begins),
+                "n_known": np.add.reduceat((uni.count > 0)[uni.at].astype(np.int64), x.begins),
+                "base_score": np.add.reduceat(log_base[uni.at], x.begins),
+                "score": [a.score(uni.at[i : i + n].tolist()) for i, n in zip(x.begins.tolist(), x.lengths.tolist(), strict=True)],
             }
         )
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """log10 probability of every whole text under a smoothed bigram automaton learnt from the training rows.
-
-    Rows whose crc32 of the id as text leaves ``remainder`` are held out of training. A word w
-    after h has probability (c(h w) + prior * base(w)) / (c(h) + prior); base is the add-one
-    unigram distribution. As an automaton: a seen pair is an arc of state h, all other words take
-    the failure arc, of weight prior / (c(h) + prior), to the empty state. With one word of
-    context the state is the word before, so a block's traversal runs left to right over arrays.
-
-    Blocks of documents ask shards of the counts for the n-grams they hold and get back the
-    part of the automaton that they traverse; no task holds the whole model, and a
-    frequent pair is one number for each block. Null text counts as empty: the end token alone. Rows
-    with repeated ids are each scored; a null id counts as training. Empty input gives no rows; other columns are ignored.
+def score_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    modulus: int = 7,
+    remainder: int = 2,
+    order: int = ORDER,
+    prior: float = PRIOR,
+    min_context: int = MIN_CONTEXT,
+    block_tokens: int = BLOCK_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+) -> DataFrame:
+    """log10 probability of every whole text under a smoothed n-gram automaton learnt from the training rows.
+
+    Rows whose crc32 of the id as text leaves ``remainder`` are held out of training. A context h of up to ``order - 1``
+    tokens (a text's start among them) that occurs at least ``min_context`` times is a state: P(w | h) = (c(h w) + prior *
+    P(w | h')) / (c(h) + prior), h' its longest proper suffix. Other contexts are left for h' without weight. The empty context has
+    the add-one unigram distribution. Seen n-grams are arcs; all other words take failure arcs of weight prior / (c(h) + prior).
+
+    Blocks of documents ask shards of the counts, an order at a time, for the n-grams they hold and get back counts and numbers,
+    from which they build the part of the automaton that they traverse; a frequent n-gram is one entry for each
+    block. Words are told apart by 64-bit hashes; n-grams by their numbers, exactly while fewer than 2 ** 31 contexts are numbered in an order, by 63 mixed bits beyond.
+    Null text counts as empty: the end token alone. Rows with repeated ids are each scored; a null id counts as training.
+    Empty input gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     x = F.col(text_col).cast("string")
     held = F.coalesce(held_out_column(F.col(id_col), modulus, remainder), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), x.alias("x"), held.alias("held"))
     kind = rows.schema["id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.octet_length("x")), F.count(F.when(~F.col("held"), 1))).first()
-    shards = min(1 << 24, max(6, math.ceil((size[0] or 0) / SHARD_BYTES)))
-    starts = int(size[1])
-
-    blocks = materialise(rows.mapInPandas(_tokenised(block_tokens), f"block long, ids array<{kind}>, body binary"), "lm-blocks")
-    asked = blocks.select("block", "body").mapInPandas(_asked(shards), "shard int, block long, body binary")
-    answers = asked.groupBy("shard").applyInPandas(_answered, "block long, shard int, body binary, n long, v long")
-    answers = materialise(answers, "lm-answers")
-    n, v = answers.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(n or 0), int(v or 0)
-    answers = answers.where("block >= 0").select("block", "shard", "body")
+    blocks = written_blocks(rows.mapInPandas(_tokenised(block_tokens), f"block long, n_tokens long, n_train long, ids array<{kind}>, body binary"), "lm-blocks")
+    size, starts = (int(v or 0) for v in blocks.agg(F.sum("n_tokens"), F.sum("n_train")).first())
+    shards = max(6, math.ceil(size / shard_tokens))
+
+    message, answer = "shard long, block long, body binary", "block long, n int, shard long, body binary, tokens long, distinct long"
+    body = blocks.select("block", "body").groupBy("block")
+    answers = None
+    for n in range(1, order + 1):
+        asks = blocks.select("block", "body").mapInPandas(_first_asked(shards), message) if n == 1 else body.cogroup(answers.groupBy("block")).applyInPandas(_asked(n, shards, starts, min_context), message)
+        told = materialise(asks.groupBy("shard").applyInPandas(_answered(n, 1 if n == 1 else min_context), answer), f"lm-answers-{n}")
+        if n == 1:
+            tokens, distinct = (int(v or 0) for v in told.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
+        told = told.where("block >= 0").select("block", "n", "shard", "body")
+        answers = told if answers is None else answers.union(told)
     fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, n, v, starts, prior), fields)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, tokens, distinct, prior, order), fields)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -77,24 +77,30 @@ def crc(i):
     return zlib.crc32(str(i).encode())
 
 
-def bigram(docs, prior):
-    """(id, held_out, n_tokens, n_known, train_tokens, base, score) with dictionaries."""
+def ngram(docs, prior, order=3, min_context=2):
+    """(id, held_out, n_tokens, n_known, train_tokens, base, score) by the recursion over contexts, with dictionaries."""
     told = [(i, crc(i) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0d]+", lower_az(x)), None]) for i, x in docs]
-    uni, bi, starts = Counter(), Counter(), 0
+    uni, grams = Counter(), Counter()
     for _, held, w in told:
         if not held:
             uni.update(w)
-            bi.update(zip(["<s>", *w], w))
-            starts += 1
+            line = ["<s>", *w]
+            for k in range(order + 1):
+                grams.update(tuple(line[i : i + k]) for i in range(len(line) - k + 1))
     n, v = sum(uni.values()), len(uni)
+
+    def p(h, w):
+        if not h:
+            return (uni[w] + 1) / (n + v + 1)
+        if grams[h] < min_context:
+            return p(h[1:], w)
+        return (grams[*h, w] + prior * p(h[1:], w)) / (grams[h] + prior)
+
     out = []
     for i, held, w in told:
-        base = [(uni[t] + 1) / (n + v + 1) for t in w]
-        score, state, seen = 0.0, "<s>", starts
-        for t, b in zip(w, base, strict=True):
-            score += math.log10((bi[state, t] + prior * b) / (seen + prior))
-            state, seen = t, uni[t]
-        out.append((i, held, len(w), sum(uni[t] > 0 for t in w), n, sum(map(math.log10, base)), score))
+        line = ["<s>", *w]
+        score = sum(math.log10(p(tuple(line[max(0, k - order + 1) : k]), line[k])) for k in range(1, len(line)))
+        out.append((i, held, len(w), sum(uni[t] > 0 for t in w), n, sum(math.log10(p((), t)) for t in w), score))
     return sorted(out)
 
 

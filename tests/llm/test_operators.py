@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenforge.llm import chat, embedding_dedup, exact_dedup, html_text, language_model, packing, piece_encoding, quality, queries, simhash, toxicity
+from lumenforge.llm import blocks, chat, embedding_dedup, exact_dedup, html_text, language_model, packing, piece_encoding, quality, queries, simhash, toxicity
 from lumenforge.llm.common import materialise
 from lumenforge.llm.components import connected_components
 from tests.llm import brute
@@ -127,24 +127,63 @@ def test_embeddings_audit_counts_vectors_with_links(spark):
     assert embedding_dedup.orders_for(20, 0.9) > embedding_dedup.orders_for(14, 0.9) > embedding_dedup.ORDERS
 
 
+LM_COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def same_scores(out, want):
+    assert [r[:5] for r in out] == [r[:5] for r in want]
+    np.testing.assert_allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
+
+
 def test_language_model(docs, empty):
-    cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for blocks in (1 << 20, 7):
-        out = got(language_model.score_documents(docs, block_tokens=blocks), *cols)
-        want = brute.bigram(PAIRS, language_model.PRIOR)
-        assert [r[:5] for r in out] == [r[:5] for r in want]
-        np.testing.assert_allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
+    for tokens in (1 << 20, 7):
+        same_scores(got(language_model.score_documents(docs, block_tokens=tokens), *LM_COLUMNS), brute.ngram(PAIRS, language_model.PRIOR))
     assert language_model.score_documents(empty).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    docs = [(0, "a b a c"), (1, "b a")]
-    uni = {"a": 3, "b": 2, "c": 1, None: 2}
-    n, v = 8, 4
-    base = {t: (c + 1) / (n + v + 1) for t, c in uni.items()} | {"new": 1 / (n + v + 1)}
-    after_a = {"b": 1, "c": 1, None: 1}
-    assert abs(sum((after_a.get(t, 0) + 5 * p) / (3 + 5) for t, p in base.items()) - 1) < 1e-12
-    assert len(brute.bigram(docs, 5)) == 2
+@pytest.mark.parametrize(("order", "prior", "least"), [(1, 1.0, 1), (2, 5.0, 1), (3, 0.5, 3), (4, 2.0, 2), (5, 40.0, 1)])
+def test_language_model_orders(spark, order, prior, least):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "a b c d e f g", "z z z z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    out = language_model.score_documents(df, order=order, prior=prior, min_context=least, block_tokens=200, shard_tokens=50)
+    same_scores(got(out, *LM_COLUMNS), brute.ngram(list(enumerate(texts)), prior, order, least))
+
+
+def test_language_model_is_a_distribution(spark):
+    """Over a closed vocabulary, what may follow a text's start sums to one."""
+    train = [(i, x) for i, x in enumerate(["a b", "a", "b b a", "a b", "", "c a", "b"]) if brute.crc(i) % 7 != 2]
+    held = [i for i in range(1000, 3000) if brute.crc(i) % 7 == 2]
+    words = ["a", "b", "c", "unseen"]
+    asked = [(held[0], "")] + [(held[k + 1], w) for k, w in enumerate(words)]
+    df = spark.createDataFrame(train + asked, "doc_id long, text string")
+    out = {r.doc_id: r for r in language_model.score_documents(df, order=2, prior=2.0).collect()}
+    # P(w) = P(text w) / P(end after w); an unseen word is no state, so the end after it has its base probability
+    grams = brute.ngram(train + asked, 2.0, 2)
+    assert {r[0]: pytest.approx(r[6]) for r in grams} == {i: r.score for i, r in out.items()}
+    n, v = out[held[0]].train_tokens, len({t for _, x in train for t in [*x.split(), None]})
+
+    def end_after(w):
+        lines = [["<s>", *x.split(), None] for _, x in train]
+        base = (len(train) + 1) / (n + v + 1)
+        c = sum(line.count(w) for line in lines)
+        pair = sum(1 for line in lines for p in zip(line, line[1:]) if p == (w, None))
+        return base if c < 2 else (pair + 2 * base) / (c + 2)
+
+    total = 10 ** out[held[0]].score + sum(10 ** out[held[k + 1]].score / end_after(w) for k, w in enumerate(words))
+    assert total == pytest.approx(1)
+
+
+def test_blocks_pack_and_ask():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64))
+    for a in ([blocks.steps(keys), b"x\x00y", np.zeros(0, np.uint8)], [np.arange(5, dtype=np.int64)]):
+        back = blocks.unpack(blocks.pack(*a))
+        assert len(back) == len(a) and all((x == y).all() if isinstance(y, np.ndarray) else x == y for x, y in zip(back, a, strict=True))
+    assert (np.cumsum(blocks.steps(keys), dtype=np.uint64) == keys).all()
+    parts = blocks.by_shard(keys, 7)
+    assert sorted(np.concatenate([p for _, p in parts]).tolist()) == list(range(500)) and len(parts) == 7
+    wide = np.array([1 << 40, 5], np.int64)
+    assert len(set(language_model._joined(wide, wide[::-1]).tolist())) == 2 and language_model._joined(wide[1:], wide[1:])[0] == (5 << 32 | 5)
 
 
 def test_piece_encoding(docs, empty):
