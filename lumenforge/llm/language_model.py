@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from lumenforge.llm.blocks import by_shard, mixed, pack, steps, unpack, written_blocks
 from lumenforge.llm.common import RollingCache, held_out_column, materialise, ship_package
 
-#: Words in the longest n-gram, prior weight of the lower order in every context, and occurrences that make a context a state.
-ORDER, PRIOR, MIN_CONTEXT = 3, 30.0, 2
+#: Words in the longest n-gram, and occurrences that make a context a state.
+ORDER, MIN_CONTEXT = 3, 2
+#: Prior weight of the lower order in contexts of one, two, ... tokens; the last holds for all longer ones.
+PRIORS = (1000.0, 30.0)
 #: Tokens of a block, and of the corpus for each shard; what a task holds follows from them, whatever the corpus' size.
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
 
@@ -188,6 +190,10 @@ def _answered(order: int, least: int):
     return run
 
 
+def _prior(priors: Sequence[float], context: int) -> float:
+    return float(priors[min(context, len(priors)) - 1])
+
+
 class Automaton:
     """The part of the corpus' automaton that one block's texts can reach.
 
@@ -196,7 +202,7 @@ class Automaton:
     leaving it for its longest proper suffix that is a state.
     """
 
-    def __init__(self, x: _Block, tokens: int, distinct: int, prior: float, order: int):
+    def __init__(self, x: _Block, tokens: int, distinct: int, priors: Sequence[float], order: int):
         uni = x.orders[0]
         base = (uni.count + 1) / (tokens + 1.0 * (distinct + 1))
         self.root = np.log10(base)
@@ -207,6 +213,7 @@ class Automaton:
         start = n_states[-1]
         seen = np.concatenate([[0], *(g.count for g in x.orders), [x.starts]]).astype(float)
         self.start = start if order > 1 and x.starts >= x.min_context else 0
+        prior = np.concatenate([[1.0], *(np.full(len(g.keys), _prior(priors, k)) for k, g in enumerate(x.orders, 1)), [_prior(priors, 1)]])
         self.leave = np.log10(prior / (seen + prior)).tolist()
         # at each token, the longest context that is a state once it is read, by order
         reached = [np.zeros(len(uni.at), np.int64)]
@@ -221,7 +228,7 @@ class Automaton:
         for k, g in enumerate(x.orders[1:], start=2):
             source = np.where(x.opens[g.first], start, reached[k - 1][g.first - 1]) if k == 2 else reached[k - 1][g.first - 1]
             here = g.count > 0
-            p = (g.count + prior * below[g.first]) / (seen[source] + prior)
+            p = (g.count + prior[source] * below[g.first]) / (seen[source] + prior[source])
             arcs.append((source * self.width + uni.at[g.first])[here])
             weights.append(np.log10(p)[here])
             targets.append(reached[min(k, order - 1)][g.first][here])
@@ -251,13 +258,13 @@ class Automaton:
         return total
 
 
-def _traversed(shards: int, starts: int, min_context: int, tokens: int, distinct: int, prior: float, order: int):
+def _traversed(shards: int, starts: int, min_context: int, tokens: int, distinct: int, priors: Sequence[float], order: int):
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame({"id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
         x = _Block(blocks["body"].iloc[0], shards, starts, min_context)
         x.replay(_answers_of(answers))
-        a = Automaton(x, tokens, distinct, prior, order)
+        a = Automaton(x, tokens, distinct, priors, order)
         uni = x.orders[0]
         log_base = np.array(a.root)
         return pd.DataFrame(
@@ -281,7 +288,7 @@ def score_documents(
     modulus: int = 7,
     remainder: int = 2,
     order: int = ORDER,
-    prior: float = PRIOR,
+    priors: Sequence[float] = PRIORS,
     min_context: int = MIN_CONTEXT,
     block_tokens: int = BLOCK_TOKENS,
     shard_tokens: int = SHARD_TOKENS,
@@ -290,7 +297,7 @@ def score_documents(
 
     Rows whose crc32 of the id as text leaves ``remainder`` are held out of training. A context h of up to ``order - 1``
     tokens (a text's start among them) that occurs at least ``min_context`` times is a state: P(w | h) = (c(h w) + prior *
-    P(w | h')) / (c(h) + prior), h' its longest proper suffix. Other contexts are left for h' without weight. The empty context has
+    P(w | h')) / (c(h) + prior), h' its longest proper suffix and prior that of ``priors`` for h's length. Other contexts are left for h' without weight. The empty context has
     the add-one unigram distribution. Seen n-grams are arcs; all other words take failure arcs of weight prior / (c(h) + prior).
 
     Blocks of documents ask shards of the counts, an order at a time, for the n-grams they hold and get back counts and numbers,
@@ -319,5 +326,5 @@ def score_documents(
         told = told.where("block >= 0").select("block", "n", "shard", "body")
         answers = told if answers is None else answers.union(told)
     fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, tokens, distinct, prior, order), fields)
+    out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, tokens, distinct, tuple(priors), order), fields)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding through tables of distinct whitespace-marked chunks."""
+"""SentencePiece encoding and decoding through one table of distinct whitespace-marked chunks."""
 
 from __future__ import annotations
 
@@ -6,95 +6,227 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import sentencepiece
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import RollingCache, ship_package
+from lumenforge.llm.blocks import by_shard, pack, unpack, written_blocks
+from lumenforge.llm.common import materialise, ship_package
 
 MARK = "▁"
-CACHE_LIMIT = 150_000
+#: Chunks of a block, and of the corpus for each owner of a part of the table; what a task holds follows from them.
+BLOCK_CHUNKS, SHARD_CHUNKS = 1 << 20, 1 << 22
 
 
-class PieceCodec:
-    """Encode and decode whole texts, segmenting each distinct chunk once while the table holds it.
+class PieceModel:
+    """A sentencepiece model and whether its texts can be encoded chunk by chunk.
 
     A chunk is a run of white space markers with the text up to the next marker. If no
     piece has a marker behind another character, no merge crosses a chunk's start, so the
-    ids of a text are those of its chunks in order. A model with such pieces, or one that
-    normalises texts, is applied to whole texts.
+    ids of a text are those of its chunks in order. That also takes a model that does not normalise texts.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_LIMIT):
+    def __init__(self, path: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         apart = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.by_chunk = apart and self.sp.normalize(" a  b ﬁ ") == f"{MARK}{MARK}a{MARK}{MARK}b ﬁ{MARK}"
+        self.by_chunk = apart and self.sp.normalize(" a  b ﬁ ") == f"{MARK}{MARK}a{MARK}{MARK}b ﬁ{MARK}"
         self.eos = self.sp.eos_id()
         self.anchor = self.sp.piece_to_id("a")
-        self.changed: set[str] = set()
-        self.table = RollingCache(self._segment, limit)
 
-    def _segment(self, chunk: str) -> str:
+    def whole(self, text: str) -> list[int]:
+        return [*self.sp.encode(text, num_threads=1), self.eos]
+
+    def segment(self, chunk: str) -> tuple[list[int], bool]:
+        """A chunk's ids, and whether they decode to it behind another piece."""
         # a marker alone at a text's end; the library adds a marker to nothing but an empty text
         ids = self.sp.encode(chunk[1:], num_threads=1) if chunk != " " else [self.sp.piece_to_id(MARK)]
-        if self.sp.decode([self.anchor, *ids])[1:] != chunk:
-            self.changed.add(chunk)
-        return " ".join(map(str, ids))
-
-    def encode(self, text: str) -> str:
-        """Ids with the end id, as decimals joined by one space."""
-        return self.encode_with_chunks(text)[0]
-
-    def encode_with_chunks(self, text: str) -> tuple[str, list[str] | None]:
-        if not self.by_chunk:
-            return " ".join(map(str, [*self.sp.encode(text, num_threads=1), self.eos])), None
-        if not text:
-            return str(self.eos), []
-        marked = " " + text.replace(MARK, " ")
-        if "  " in marked or marked[-1] == " ":
-            chunks = re.findall(r" +[^ ]*", marked)
-        else:
-            chunks = [" " + p for p in marked[1:].split(" ")]
-        ids = " ".join(map(self.table.__getitem__, chunks)) + f" {self.eos}"
-        if ids[0] == " " or "  " in ids:  # a chunk without ids: leave the text to the library
-            return " ".join(map(str, [*self.sp.encode(text, num_threads=1), self.eos])), None
-        return ids, chunks
-
-    def decode(self, ids: str, chunks: list[str] | None) -> str:
-        """The library's decoding: of the chunks, where it gives each back, else of all ids."""
-        if chunks is None or (self.changed and not self.changed.isdisjoint(chunks)):
-            return self.sp.decode(list(map(int, ids.split(" "))))
-        return "".join(chunks)[1:]
-
-
-def _digests(path: str):
+        return ids, self.sp.decode([self.anchor, *ids])[1:] == chunk
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text's chunks, a space for each marker; joined they are a space and the text."""
+    if not text:
+        return []
+    marked = " " + text.replace(MARK, " ")
+    if "  " in marked or marked[-1] == " ":
+        return re.findall(r" +[^ ]*", marked)
+    return [" " + p for p in marked[1:].split(" ")]
+
+
+class _Places(dict):
+    """Chunks numbered as they are met."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
+def _joined(strings: list[str]) -> tuple[bytes, np.ndarray]:
+    """Strings as one byte string and their lengths."""
+    raw = [s.encode("utf-8", "surrogatepass") for s in strings]
+    return b"".join(raw), np.fromiter(map(len, raw), np.uint32, len(raw))
+
+
+def _parted(body: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths.astype(np.int64)).tolist()
+    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _chunked(block_chunks: int):
+    """Blocks of documents: ids, chunks of each, the distinct chunks with their keys, and places among them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = PieceCodec(path)
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        ids, streams, table, size, seq = [], [], _Places(), 0, 0
+
+        def flush():
+            words = list(table)
+            at = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent chunks get small places
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            text, lengths = _joined([words[i] for i in order])
+            body = pack(np.array([len(s) for s in streams], np.uint32), text, lengths, place[at])
+            return pd.DataFrame({"block": [(part << 32) + seq], "n_chunks": [size], "ids": [ids], "body": [body]})
+
         for b in batches:
-            out = []
-            for x in b["x"]:
-                ids, chunks = codec.encode_with_chunks(x or "")
-                text = codec.decode(ids, chunks)
-                out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            n, a, d = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"id": b["id"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(d, dtype=object)})
+            for i, x in zip(b["id"], b["x"], strict=True):
+                chunks = chunks_of(x or "")
+                ids.append(i)
+                streams.append(np.fromiter(map(table.__getitem__, chunks), np.uint32, len(chunks)))
+                size += len(chunks)
+                if size >= block_chunks:
+                    yield flush()
+                    ids, streams, table, size, seq = [], [], _Places(), 0, seq + 1
+        if ids:
+            yield flush()
 
     return run
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``ids``, the int array of each whole text with an end id. Null text counts as empty; see ``piece_digests``."""
-    ship_package(docs.sparkSession)
+def _keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def run(batches):
-        codec = PieceCodec(model_path)
+
+def _asked(shards: int):
+    """Each block's distinct chunks, sent to the owners of their parts of the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [list(map(int, codec.encode(x or "").split(" "))) for x in b["x"]]})
+            for block, body in zip(b["block"], b["body"], strict=True):
+                _, text, lengths, _ = unpack(body)
+                words = _parted(text, lengths)
+                out = [(s, block, pack(b"".join([words[i] for i in p.tolist()]), lengths[p])) for s, p in by_shard(_keys(words), shards)]
+                yield pd.DataFrame(out, columns=["shard", "block", "body"])
+
+    return run
+
 
+def _segmented(path: str):
+    """A part of the table: its distinct chunks, each segmented once, given to every block in the order asked."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        model = PieceModel(path)
+        table: dict[bytes, tuple[str, int, bool]] = {}
+        out = []
+        for block, body in zip(rows["block"], rows["body"], strict=True):
+            asked = _parted(*unpack(body))
+            for w in asked:
+                if w not in table:
+                    own, back = model.segment(w.decode("utf-8", "surrogatepass"))
+                    table[w] = " ".join(map(str, own)), len(own), back
+            ids, counts, back = zip(*map(table.__getitem__, asked), strict=True)
+            out.append((int(block), int(key[0]), pack("\n".join(ids).encode(), np.array(counts, np.uint32), np.flatnonzero(~np.array(back)))))
+        return pd.DataFrame(out, columns=["block", "shard", "body"])
+
+    return run
+
+
+def _texts(path: str, shards: int, eos: int, blocks: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple[object, str, int, str]]:
+    """(id, ids as decimals, number of ids, decoded text) of a block's documents; the chunks' ids are joined back by position."""
+    model = None
+    sizes, text, lengths, at = unpack(blocks["body"].iloc[0])
+    raw = _parted(text, lengths)
+    words = [w.decode("utf-8", "surrogatepass") for w in raw]
+    ids = [""] * len(words)
+    count = np.zeros(len(words), np.int64)
+    told = dict(zip(answers["shard"].tolist(), answers["body"], strict=True))
+    same = np.ones(len(words), bool)
+    for s, p in by_shard(_keys(raw), shards):
+        own, n, changed = unpack(told[s])
+        count[p] = n
+        for i, x in zip(p.tolist(), own.decode().split("\n"), strict=True):
+            ids[i] = x
+        same[p[changed]] = False
+    end = 0
+    for doc, n in zip(blocks["ids"].iloc[0], sizes.tolist(), strict=True):
+        begin, end = end, end + n
+        mine = at[begin:end]
+        places = mine.tolist()
+        total = count[mine]
+        plain = bool(same[mine].all())
+        if n and not plain or not total.all():
+            model = model or PieceModel(path)
+        if not total.all():  # a chunk without ids: leave the text to the library
+            got = model.whole("".join([words[i] for i in places])[1:])
+            yield doc, " ".join(map(str, got)), len(got), model.sp.decode(got)
+            continue
+        line = " ".join([*[ids[i] for i in places], str(eos)])
+        decoded = "".join([words[i] for i in places])[1:] if plain else model.sp.decode([*map(int, line.split(" "))])
+        yield doc, line, int(total.sum()) + 1, decoded
+
+
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, block_chunks: int, shard_chunks: int):
+    """Blocks and the answers to them, both grouped by block; the number of owners; the type of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = written_blocks(rows.mapInPandas(_chunked(block_chunks), f"block long, n_chunks long, ids array<{kind}>, body binary"), "piece-blocks")
+    size = blocks.agg(F.sum("n_chunks")).first()[0] or 0
+    shards = max(6, -(-size // shard_chunks))
+    asks = blocks.select("block", "body").mapInPandas(_asked(shards), "shard long, block long, body binary")
+    answers = materialise(asks.groupBy("shard").applyInPandas(_segmented(model_path), "block long, shard long, body binary"), "piece-table")
+    return blocks.select("block", "ids", "body").groupBy("block"), answers.groupBy("block"), shards, kind
+
+
+def _by_chunk(docs: DataFrame, model_path: str, id_col: str, text_col: str, fields: str, row, block_chunks: int, shard_chunks: int) -> DataFrame:
+    """``row(ids, n, decoded)`` of every document."""
+    ship_package(docs.sparkSession)
+    model = PieceModel(model_path)
+    eos = model.eos
+    names = [f.split()[0] for f in fields.split(", ")]
+    if not model.by_chunk:
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = PieceModel(model_path)
+            for b in batches:
+                told = [m.whole(x or "") for x in b["x"]]
+                out = [row(" ".join(map(str, t)), len(t), m.sp.decode(t)) for t in told]
+                yield pd.DataFrame({"id": b["id"].to_numpy(), **{k: [o[j] for o in out] for j, k in enumerate(names)}})
+
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
+        return rows.mapInPandas(whole, f"id {rows.schema['id'].dataType.simpleString()}, {fields}").withColumnRenamed("id", id_col)
+
+    blocks, answers, shards, kind = _encoded(docs, model_path, id_col, text_col, block_chunks, shard_chunks)
+
+    def run(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        ids, out = [], []
+        if len(b):
+            for doc, line, n, decoded in _texts(model_path, shards, eos, b, a):
+                ids.append(doc)
+                out.append(row(line, n, decoded))
+        return pd.DataFrame({"id": ids, **{k: [o[j] for o in out] for j, k in enumerate(names)}})
+
+    return blocks.cogroup(answers).applyInPandas(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+
+
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chunks: int = BLOCK_CHUNKS, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
+    """id and ``ids``, the int array of each whole text with an end id. Null text counts as empty; see ``piece_digests``."""
+    return _by_chunk(docs, model_path, id_col, text_col, "ids array<int>", lambda ids, n, back: ([*map(int, ids.split(" "))],), block_chunks, shard_chunks)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -109,13 +241,18 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
-def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chunks: int = BLOCK_CHUNKS, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of every whole text, with an end id.
 
+    Blocks of documents send their distinct chunks to the owners of a table, a hash range each; an owner segments every distinct
+    chunk once, and a block joins the ids back by position. A chunk that is everywhere is one entry for each block. Where a model's pieces
+    cross markers, or it normalises texts, whole texts are encoded instead.
+
     Null text counts as empty: one id, the end. Repeated ids and rows are each returned; a chunk as
     long as a whole text is segmented whole. Empty input gives no rows; other columns are ignored.
     """
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
-    out = rows.mapInPandas(_digests(model_path), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+
+    def row(ids: str, n: int, decoded: str) -> tuple:
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+
+    return _by_chunk(docs, model_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, block_chunks, shard_chunks)

@@ -77,7 +77,7 @@ def crc(i):
     return zlib.crc32(str(i).encode())
 
 
-def ngram(docs, prior, order=3, min_context=2):
+def ngram(docs, priors, order=3, min_context=2):
     """(id, held_out, n_tokens, n_known, train_tokens, base, score) by the recursion over contexts, with dictionaries."""
     told = [(i, crc(i) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0d]+", lower_az(x)), None]) for i, x in docs]
     uni, grams = Counter(), Counter()
@@ -94,6 +94,7 @@ def ngram(docs, prior, order=3, min_context=2):
             return (uni[w] + 1) / (n + v + 1)
         if grams[h] < min_context:
             return p(h[1:], w)
+        prior = priors[min(len(h), len(priors)) - 1]
         return (grams[*h, w] + prior * p(h[1:], w)) / (grams[h] + prior)
 
     out = []

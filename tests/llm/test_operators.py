@@ -137,17 +137,17 @@ def same_scores(out, want):
 
 def test_language_model(docs, empty):
     for tokens in (1 << 20, 7):
-        same_scores(got(language_model.score_documents(docs, block_tokens=tokens), *LM_COLUMNS), brute.ngram(PAIRS, language_model.PRIOR))
+        same_scores(got(language_model.score_documents(docs, block_tokens=tokens), *LM_COLUMNS), brute.ngram(PAIRS, language_model.PRIORS))
     assert language_model.score_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize(("order", "prior", "least"), [(1, 1.0, 1), (2, 5.0, 1), (3, 0.5, 3), (4, 2.0, 2), (5, 40.0, 1)])
-def test_language_model_orders(spark, order, prior, least):
+@pytest.mark.parametrize(("order", "priors", "least"), [(1, [1.0], 1), (2, [5.0], 1), (3, [0.5, 8.0], 3), (4, [2.0, 0.1, 7.0], 2), (5, [40.0, 3.0], 1)])
+def test_language_model_orders(spark, order, priors, least):
     rng = random.Random(order)
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "a b c d e f g", "z z z z"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    out = language_model.score_documents(df, order=order, prior=prior, min_context=least, block_tokens=200, shard_tokens=50)
-    same_scores(got(out, *LM_COLUMNS), brute.ngram(list(enumerate(texts)), prior, order, least))
+    out = language_model.score_documents(df, order=order, priors=priors, min_context=least, block_tokens=200, shard_tokens=50)
+    same_scores(got(out, *LM_COLUMNS), brute.ngram(list(enumerate(texts)), priors, order, least))
 
 
 def test_language_model_is_a_distribution(spark):
@@ -157,9 +157,9 @@ def test_language_model_is_a_distribution(spark):
     words = ["a", "b", "c", "unseen"]
     asked = [(held[0], "")] + [(held[k + 1], w) for k, w in enumerate(words)]
     df = spark.createDataFrame(train + asked, "doc_id long, text string")
-    out = {r.doc_id: r for r in language_model.score_documents(df, order=2, prior=2.0).collect()}
+    out = {r.doc_id: r for r in language_model.score_documents(df, order=2, priors=[2.0]).collect()}
     # P(w) = P(text w) / P(end after w); an unseen word is no state, so the end after it has its base probability
-    grams = brute.ngram(train + asked, 2.0, 2)
+    grams = brute.ngram(train + asked, [2.0], 2)
     assert {r[0]: pytest.approx(r[6]) for r in grams} == {i: r.score for i, r in out.items()}
     n, v = out[held[0]].train_tokens, len({t for _, x in train for t in [*x.split(), None]})
 
@@ -196,6 +196,8 @@ def test_piece_encoding(docs, empty):
         ids = sp.encode(x or "", add_eos=True)
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
     assert got(piece_encoding.piece_digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    # small blocks, many owners
+    assert got(piece_encoding.piece_digests(docs, path, block_chunks=9, shard_chunks=100), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
     back = piece_encoding.decode_documents(piece_encoding.encode_documents(docs, path), path)
     assert got(back, "doc_id", "text") == [(i, sp.decode(sp.encode(x or ""))) for i, x in PAIRS]
     assert piece_encoding.piece_digests(empty, path).count() == 0
