@@ -20,7 +20,7 @@ ORDER, MIN_CONTEXT = 3, 2
 #: Prior weight of the lower order in contexts of one, two, ... tokens; the last holds for all longer ones.
 PRIORS = (1000.0, 30.0)
 #: Tokens of a block, and of the corpus for each shard; what a task holds follows from them, whatever the corpus' size.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 21
 
 _END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 
