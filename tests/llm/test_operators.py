@@ -44,22 +44,32 @@ PAIRS = list(enumerate(TEXTS))
 def test_exact_dedup(docs, empty):
     cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got(exact_dedup.exact_dedup(docs), *cols) == brute.exact(PAIRS)
-    # a tiny directory and hot keys take the other ways to the same rows
-    assert got(exact_dedup.exact_dedup(docs, capacity=1, hot=1), *cols) == brute.exact(PAIRS)
+    # tiny pages, keys that overflow them, keys of two bits that collide
+    for page_bytes, level, key_bits in ((1, 2, 64), (200, 3, 64), (300, 12, 2), (1 << 20, 12, 2)):
+        assert got(exact_dedup.exact_dedup(docs, page_bytes=page_bytes, level=level, key_bits=key_bits), *cols) == brute.exact(PAIRS)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_tells_colliding_texts_apart(spark, docs):
-    rows = exact_dedup.exact_dedup(docs.union(docs))
-    assert {r.group_size for r in rows.collect()} >= {2}
-    assert rows.count() == 2 * len(TEXTS)
+def test_exact_dedup_of_repeated_and_null_ids(spark):
+    rows = [(1, "a"), (1, "A"), (None, "a"), (None, "q"), (2, "b")]
+    for page_bytes in (1, 1 << 20):
+        out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), page_bytes=page_bytes).collect()
+        assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in out) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 1, True)]
 
 
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).selectExpr("xxhash64(id) as h", "1L as n")
-    d = exact_dedup.directory(keys, 100)
-    load = keys.selectExpr(f"cast(shiftrightunsigned(h, {64 - exact_dedup.MAX_DEPTH}) as int) as slot").join(d, "slot").groupBy("bucket").count().collect()
-    assert sum(r["count"] for r in load) == 1000 and max(r["count"] for r in load) <= 100 and len(load) > 10
+    close = spark.range(300).selectExpr("shiftleft(5L, 60) + id as h", "1L as n")  # these differ in their last bits only
+    for table, level in ((keys, 12), (keys, 3), (keys.union(close), 12)):
+        d = materialise(exact_dedup.directory(table, 100, level), "test-directory")
+        out = exact_dedup._paged(table, d).groupBy("depth", "bucket").agg({"n": "sum"}).collect()
+        assert sum(r[2] for r in out) == table.count() and max(r[2] for r in out) <= 100 and len(out) > 10
+        assert max(r.depth for r in out) > (50 if table is not keys else 3)
+        # a bucket has split only because it was overfull
+        split = {(r.depth - 1, r.bucket >> 1) for r in out if r.depth}
+        load = {(d, b): sum(r[2] for r in out if r.depth > d and r.bucket >> (r.depth - d) == b) for d, b in split}
+        assert min(load.values()) > 100
+    assert exact_dedup.directory(keys.where("false"), 100).count() == 0
 
 
 def test_simhash(docs, empty):
