@@ -65,14 +65,23 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(29))
 
 
-def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, places of its keys in their order) for every shard that owns one of ``keys``."""
-    shard = (mixed(keys) % np.uint64(shards)).astype(np.int64)
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def parts(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its entries in their order) for every shard in ``shard``."""
     order = np.argsort(shard, kind="stable")
     cut = np.flatnonzero(np.diff(shard[order])) + 1
     return [(int(shard[p[0]]), p) for p in np.split(order, cut) if len(p)]
 
 
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """``parts`` of the shards that own ``keys``."""
+    return parts((mixed(keys) % np.uint64(shards)).astype(np.int64))
+
+
 def written_blocks(blocks: DataFrame, label: str) -> DataFrame:
     """Write blocks to the shared folder as a table bucketed by ``block``, so that they never move when answers meet them."""
     spark = blocks.sparkSession

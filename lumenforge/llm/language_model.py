@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.blocks import by_shard, mixed, pack, steps, unpack, written_blocks
+from lumenforge.llm.blocks import mixed, narrow, pack, parts, steps, unpack, written_blocks
 from lumenforge.llm.common import RollingCache, held_out_column, materialise, ship_package
 
 #: Words in the longest n-gram, and occurrences that make a context a state.
@@ -59,60 +59,67 @@ def _tokenised(block_tokens: int):
 
 
 class _Grams:
-    """The distinct n-grams of one order in a block: keys, each one's first place, and at every token its n-gram (or -1)."""
+    """The distinct n-grams of one order in a block: owner and key of each (ascending within an owner), and at every token its n-gram (or -1)."""
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray, counted: np.ndarray):
-        self.keys, self.at = keys, at
+    def __init__(self, shard: np.ndarray, key: np.ndarray, at: np.ndarray, counted: np.ndarray):
+        self.shard, self.key, self.at = shard, key, at
         there = at >= 0
-        self.mine = np.bincount(at[there & counted], minlength=len(keys)).astype(np.uint32)
-        self.first = np.zeros(len(keys), np.int64)
+        self.mine = np.bincount(at[there & counted], minlength=len(key)).astype(np.uint32)
+        self.first = np.zeros(len(key), np.int64)
         places = np.flatnonzero(there)[::-1]
         self.first[at[places]] = places
-        self.count = np.zeros(len(keys), np.int64)
-        self.number = np.full(len(keys), -1, np.int64)
+        self.count = np.zeros(len(key), np.int64)
+        self.number = np.full(len(key), -1, np.int64)
 
-    def asks(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        for s, p in by_shard(self.keys, shards):
-            order = p[np.argsort(self.keys[p], kind="stable")]
-            yield s, pack(steps(self.keys[order]), self.mine[order])
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        for s, p in parts(self.shard):
+            yield s, pack(narrow(steps(self.key[p])), narrow(self.mine[p]))
 
     def take(self, shards: int, answers: dict[int, bytes]) -> None:
         """Fill in corpus counts, and numbers of the n-grams that were given one."""
-        for s, p in by_shard(self.keys, shards):
-            order = p[np.argsort(self.keys[p], kind="stable")]
+        for s, p in parts(self.shard):
             count, named, rank = unpack(answers[s])
-            self.count[order] = count
-            self.number[order[np.unpackbits(named, count=len(order)).astype(bool)]] = np.cumsum(rank).astype(np.int64) * shards + s
+            self.count[p] = count
+            self.number[p[np.unpackbits(named, count=len(p)).astype(bool)]] = np.cumsum(rank, dtype=np.int64) * shards + s
 
 
 class _Block:
-    """A block's n-grams, order by order, as far as the shards have answered."""
+    """A block's n-grams, order by order, as far as the shards have answered. ``bits``: of the largest rank that a word has in a shard."""
 
-    def __init__(self, body: bytes, shards: int, starts: int, min_context: int):
-        self.shards, self.starts, self.min_context = shards, starts, min_context
+    def __init__(self, body: bytes, shards: int, starts: int = 0, min_context: int = 1, bits: int = 0):
+        self.shards, self.starts, self.min_context, self.bits = shards, starts, min_context, bits
         self.lengths, train, words, places = unpack(body)
         self.train = train.astype(bool)
         self.begins = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
         self.counted = np.repeat(self.train, self.lengths)
         self.opens = np.zeros(len(places), bool)
         self.opens[self.begins] = True
-        self.orders = [_Grams(words, places.astype(np.int64), self.counted)]
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        words = words[order]
+        self.orders = [_Grams((mixed(words) % np.uint64(shards)).astype(np.int64), words, place[places], self.counted)]
 
     def grow(self) -> None:
         """Add the next order: n-grams whose context is a state and whose last word, or suffix, occurs in training."""
         top = self.orders[-1]
         context = np.full(len(top.at), -1, np.int64)  # the start is 0, others their number plus 1
-        if len(top.keys):
+        if len(top.key):
             state = np.where(top.count >= self.min_context, top.number + 1, -1)
             context[1:] = np.where(top.at[:-1] >= 0, state[top.at[:-1]], -1)
         context[self.opens] = 0 if len(self.orders) == 1 and self.starts >= self.min_context else -1
         word = self.orders[0].number[self.orders[0].at]
-        suffix = (top.at >= 0) & (top.count[top.at] > 0) if len(top.keys) else np.zeros(len(top.at), bool)
+        suffix = (top.at >= 0) & (top.count[top.at] > 0) if len(top.key) else np.zeros(len(top.at), bool)
         there = np.flatnonzero((context >= 0) & (word >= 0) & suffix)
-        keys, where = np.unique(_joined(context[there], word[there]), return_inverse=True)
+        c, w, where = _distinct(context[there], word[there])
         at = np.full(len(top.at), -1, np.int64)
-        at[there] = where.ravel()
-        self.orders.append(_Grams(keys, at, self.counted))
+        at[there] = where
+        # the owner follows from context and word, so that frequent contexts are spread; of the word, its rank is left to tell
+        shard = ((mixed(c.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64) + w) % self.shards
+        if len(c) and int(c.max()).bit_length() + self.bits > 64:
+            raise OverflowError("contexts and words of a shard do not fit in 64 bits; raise min_context or lower shard_tokens")
+        key = (c.astype(np.uint64) << np.uint64(self.bits)) | (w // self.shards).astype(np.uint64)
+        self.orders.append(_Grams(shard, key, at, self.counted))
 
     def replay(self, answers: dict[int, dict[int, bytes]]) -> None:
         """Take the answers of each order in turn, growing the next from them."""
@@ -122,13 +129,20 @@ class _Block:
             self.orders[n - 1].take(self.shards, answers[n])
 
 
-def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a context's and a word's numbers: exact while both fit in 32 bits, else mixed."""
-    c, w = context.astype(np.uint64), word.astype(np.uint64)
-    exact = (c < np.uint64(1 << 31)) & (w < np.uint64(1 << 32))
-    if exact.all():
-        return (c << np.uint64(32)) | w
-    return np.where(exact, (c << np.uint64(32)) | w, mixed(mixed(c) ^ w) | np.uint64(1 << 63))
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and each row's place among them."""
+    if not len(word):
+        return context, word, context
+    bits = int(word.max()).bit_length()
+    if int(context.max()).bit_length() + bits <= 63:
+        keys, where = np.unique(context << bits | word, return_inverse=True)
+        return keys >> bits, keys & ((1 << bits) - 1), where.ravel()
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return c[new], w[new], where
 
 
 def _answers_of(rows: pd.DataFrame) -> dict[int, dict[int, bytes]]:
@@ -138,17 +152,17 @@ def _answers_of(rows: pd.DataFrame) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _asked(order: int, shards: int, starts: int, min_context: int):
+def _asked(order: int, shards: int, starts: int, min_context: int, bits: int):
     """The keys of ``order`` that each block asks for, given the answers of the orders below."""
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(blocks):
-            x = _Block(blocks["body"].iloc[0], shards, starts, min_context)
+            x = _Block(blocks["body"].iloc[0], shards, starts, min_context, bits)
             x.replay(_answers_of(answers))
             if order > len(x.orders):
                 x.grow()
-            out = [(s, int(key[0]), body) for s, body in x.orders[-1].asks(shards)]
+            out = [(s, int(key[0]), body) for s, body in x.orders[-1].asks()]
         return pd.DataFrame(out, columns=["shard", "block", "body"])
 
     return run
@@ -158,8 +172,8 @@ def _first_asked(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, body in zip(b["block"], b["body"], strict=True):
-                x = _Block(body, shards, 0, 1)
-                yield pd.DataFrame([(s, block, m) for s, m in x.orders[0].asks(shards)], columns=["shard", "block", "body"])
+                x = _Block(body, shards)
+                yield pd.DataFrame([(s, block, m) for s, m in x.orders[0].asks()], columns=["shard", "block", "body"])
 
     return run
 
@@ -181,9 +195,7 @@ def _answered(order: int, least: int):
         for block, k in zip(rows["block"], keys, strict=True):
             p = place.ravel()[at : at + len(k)]
             at += len(k)
-            # a count of one byte where that is enough
-            c = total[p].astype(np.min_scalar_type(int(total[p].max(initial=0))))
-            out.append((int(block), order, int(key[0]), pack(c, np.packbits(named[p]), steps(rank[p][named[p]].astype(np.uint64))), 0, 0))
+            out.append((int(block), order, int(key[0]), pack(narrow(total[p]), np.packbits(named[p]), narrow(steps(rank[p][named[p]].astype(np.uint64)))), 0, 0))
         out.append((-1, order, int(key[0]), b"", int(total.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=["block", "n", "shard", "body", "tokens", "distinct"])
 
@@ -206,22 +218,22 @@ class Automaton:
         uni = x.orders[0]
         base = (uni.count + 1) / (tokens + 1.0 * (distinct + 1))
         self.root = np.log10(base)
-        self.width = len(uni.keys)
+        self.width = len(uni.key)
         n_states = [0, 1]  # of orders 0 and 1 on: where their states begin
         for g in x.orders:
-            n_states.append(n_states[-1] + len(g.keys))
+            n_states.append(n_states[-1] + len(g.key))
         start = n_states[-1]
         seen = np.concatenate([[0], *(g.count for g in x.orders), [x.starts]]).astype(float)
         self.start = start if order > 1 and x.starts >= x.min_context else 0
-        prior = np.concatenate([[1.0], *(np.full(len(g.keys), _prior(priors, k)) for k, g in enumerate(x.orders, 1)), [_prior(priors, 1)]])
+        prior = np.concatenate([[1.0], *(np.full(len(g.key), _prior(priors, k)) for k, g in enumerate(x.orders, 1)), [_prior(priors, 1)]])
         self.leave = np.log10(prior / (seen + prior)).tolist()
         # at each token, the longest context that is a state once it is read, by order
         reached = [np.zeros(len(uni.at), np.int64)]
         for k, g in enumerate(x.orders[: order - 1]):
-            state = np.where(g.count >= x.min_context, n_states[k + 1] + np.arange(len(g.keys)), -1)
+            state = np.where(g.count >= x.min_context, n_states[k + 1] + np.arange(len(g.key)), -1)
             mine = np.where(g.at >= 0, state[g.at] if len(state) else -1, -1)
             reached.append(np.where(mine >= 0, mine, reached[-1]))
-        fail = [np.zeros(1, np.int64), np.zeros(len(uni.keys), np.int64)]
+        fail = [np.zeros(1, np.int64), np.zeros(len(uni.key), np.int64)]
         self.root_to = reached[min(1, order - 1)][uni.first].tolist()
         arcs, weights, targets = [], [], []
         below = base[uni.at]  # at each token, its probability in the order below
@@ -236,33 +248,40 @@ class Automaton:
             below = np.where(g.at >= 0, p[g.at] if len(p) else 0.0, 0.0)
         fail.append(np.zeros(1, np.int64))
         self.fail = np.concatenate(fail).tolist()
-        self.arcs = dict(zip(np.concatenate(arcs).tolist() if arcs else [], zip(np.concatenate(weights).tolist() if arcs else [], np.concatenate(targets).tolist() if arcs else [], strict=True), strict=True))
         self.root = self.root.tolist()
+        self.arcs: dict[int, int] = {}
+        self.weight: list[float] = []
+        self.target: list[int] = []
+        if arcs:
+            keys = np.concatenate(arcs)
+            self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+            self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
 
     def score(self, words: list[int]) -> float:
         """log10 probability of one text: a single traversal from left to right."""
-        arcs, width, leave, fail = self.arcs, self.width, self.leave, self.fail
+        get, weight, target, width = self.arcs.get, self.weight, self.target, self.width
+        leave, fail, root, root_to = self.leave, self.fail, self.root, self.root_to
         state, total = self.start, 0.0
         for w in words:
             while state:
-                arc = arcs.get(state * width + w)
+                arc = get(state * width + w)
                 if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
+                    total += weight[arc]
+                    state = target[arc]
                     break
                 total += leave[state]
                 state = fail[state]
             else:
-                total += self.root[w]
-                state = self.root_to[w]
+                total += root[w]
+                state = root_to[w]
         return total
 
 
-def _traversed(shards: int, starts: int, min_context: int, tokens: int, distinct: int, priors: Sequence[float], order: int):
+def _traversed(shards: int, starts: int, min_context: int, bits: int, tokens: int, distinct: int, priors: Sequence[float], order: int):
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame({"id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        x = _Block(blocks["body"].iloc[0], shards, starts, min_context)
+        x = _Block(blocks["body"].iloc[0], shards, starts, min_context, bits)
         x.replay(_answers_of(answers))
         a = Automaton(x, tokens, distinct, priors, order)
         uni = x.orders[0]
@@ -302,7 +321,7 @@ def score_documents(
 
     Blocks of documents ask shards of the counts, an order at a time, for the n-grams they hold and get back counts and numbers,
     from which they build the part of the automaton that they traverse; a frequent n-gram is one entry for each
-    block. Words are told apart by 64-bit hashes; n-grams by their numbers, exactly while fewer than 2 ** 31 contexts are numbered in an order, by 63 mixed bits beyond.
+    block. Words are told apart by 64-bit hashes, n-grams exactly, by the numbers of their context and word.
     Null text counts as empty: the end token alone. Rows with repeated ids are each scored; a null id counts as training.
     Empty input gives no rows; other columns are ignored.
     """
@@ -319,12 +338,13 @@ def score_documents(
     body = blocks.select("block", "body").groupBy("block")
     answers = None
     for n in range(1, order + 1):
-        asks = blocks.select("block", "body").mapInPandas(_first_asked(shards), message) if n == 1 else body.cogroup(answers.groupBy("block")).applyInPandas(_asked(n, shards, starts, min_context), message)
+        asks = blocks.select("block", "body").mapInPandas(_first_asked(shards), message) if n == 1 else body.cogroup(answers.groupBy("block")).applyInPandas(_asked(n, shards, starts, min_context, bits), message)
         told = materialise(asks.groupBy("shard").applyInPandas(_answered(n, 1 if n == 1 else min_context), answer), f"lm-answers-{n}")
         if n == 1:
-            tokens, distinct = (int(v or 0) for v in told.where("block = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
+            tokens, distinct, most = (int(v or 0) for v in told.where("block = -1").agg(F.sum("tokens"), F.sum("distinct"), F.max("distinct")).first())
+            bits = most.bit_length()
         told = told.where("block >= 0").select("block", "n", "shard", "body")
         answers = told if answers is None else answers.union(told)
     fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, tokens, distinct, tuple(priors), order), fields)
+    out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, bits, tokens, distinct, tuple(priors), order), fields)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

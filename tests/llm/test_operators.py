@@ -192,8 +192,9 @@ def test_blocks_pack_and_ask():
     assert (np.cumsum(blocks.steps(keys), dtype=np.uint64) == keys).all()
     parts = blocks.by_shard(keys, 7)
     assert sorted(np.concatenate([p for _, p in parts]).tolist()) == list(range(500)) and len(parts) == 7
-    wide = np.array([1 << 40, 5], np.int64)
-    assert len(set(language_model._joined(wide, wide[::-1]).tolist())) == 2 and language_model._joined(wide[1:], wide[1:])[0] == (5 << 32 | 5)
+    for c, w in (([5, 1, 5, 1], [2, 9, 2, 0]), ([1 << 50, 1, 1 << 50, 1], [1 << 20, 9, 1 << 20, 0])):
+        first, last, where = language_model._distinct(np.array(c), np.array(w))
+        assert list(zip(first, last, strict=True)) == sorted(set(zip(c, w, strict=True))) and (first[where] == c).all() and (last[where] == w).all()
 
 
 def test_piece_encoding(docs, empty):
