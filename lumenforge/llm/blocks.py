@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lumenforge.llm.common import scratch_path
 
@@ -82,11 +82,17 @@ def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return parts((mixed(keys) % np.uint64(shards)).astype(np.int64))
 
 
-def written_blocks(blocks: DataFrame, label: str) -> DataFrame:
-    """Write blocks to the shared folder as a table bucketed by ``block``, so that they never move when answers meet them."""
-    spark = blocks.sparkSession
-    path = scratch_path(spark, label)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"lumenforge_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+class Shelf:
+    """A table in the shared folder, bucketed by ``block``; what lies on two shelves meets on ``block`` without moving again."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, scratch_path(spark, label)
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.name = f"lumenforge_{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame, moved: bool = False) -> DataFrame:
+        """Add rows and return all. Blocks are written where they are made; ``moved`` first brings answers to their blocks' buckets."""
+        if moved:
+            rows = rows.repartition(self.buckets, "block")
+        rows.write.mode("append").bucketBy(self.buckets, "block").option("path", self.path).format("parquet").saveAsTable(self.name)
+        return self.spark.table(self.name)

@@ -12,15 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.blocks import mixed, narrow, pack, parts, steps, unpack, written_blocks
-from lumenforge.llm.common import RollingCache, held_out_column, materialise, ship_package
+from lumenforge.llm.blocks import Shelf, mixed, narrow, pack, parts, steps, unpack
+from lumenforge.llm.common import RollingCache, held_out_column, ship_package
 
 #: Words in the longest n-gram, and occurrences that make a context a state.
 ORDER, MIN_CONTEXT = 3, 2
 #: Prior weight of the lower order in contexts of one, two, ... tokens; the last holds for all longer ones.
 PRIORS = (1000.0, 30.0)
 #: Tokens of a block, and of the corpus for each shard; what a task holds follows from them, whatever the corpus' size.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 21
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 22
 
 _END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 
@@ -330,21 +330,20 @@ def score_documents(
     held = F.coalesce(held_out_column(F.col(id_col), modulus, remainder), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), x.alias("x"), held.alias("held"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = written_blocks(rows.mapInPandas(_tokenised(block_tokens), f"block long, n_tokens long, n_train long, ids array<{kind}>, body binary"), "lm-blocks")
+    blocks = Shelf(docs.sparkSession, "lm-blocks").add(rows.mapInPandas(_tokenised(block_tokens), f"block long, n_tokens long, n_train long, ids array<{kind}>, body binary"))
     size, starts = (int(v or 0) for v in blocks.agg(F.sum("n_tokens"), F.sum("n_train")).first())
     shards = max(6, math.ceil(size / shard_tokens))
 
     message, answer = "shard long, block long, body binary", "block long, n int, shard long, body binary, tokens long, distinct long"
     body = blocks.select("block", "body").groupBy("block")
-    answers = None
+    shelf, answers = Shelf(docs.sparkSession, "lm-answers"), None
     for n in range(1, order + 1):
         asks = blocks.select("block", "body").mapInPandas(_first_asked(shards), message) if n == 1 else body.cogroup(answers.groupBy("block")).applyInPandas(_asked(n, shards, starts, min_context, bits), message)
-        told = materialise(asks.groupBy("shard").applyInPandas(_answered(n, 1 if n == 1 else min_context), answer), f"lm-answers-{n}")
+        told = shelf.add(asks.groupBy("shard").applyInPandas(_answered(n, 1 if n == 1 else min_context), answer), moved=True)
         if n == 1:
             tokens, distinct, most = (int(v or 0) for v in told.where("block = -1").agg(F.sum("tokens"), F.sum("distinct"), F.max("distinct")).first())
             bits = most.bit_length()
-        told = told.where("block >= 0").select("block", "n", "shard", "body")
-        answers = told if answers is None else answers.union(told)
+        answers = told.where("block >= 0").select("block", "n", "shard", "body")
     fields = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_traversed(shards, starts, min_context, bits, tokens, distinct, tuple(priors), order), fields)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

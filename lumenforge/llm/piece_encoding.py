@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.blocks import by_shard, pack, unpack, written_blocks
-from lumenforge.llm.common import materialise, ship_package
+from lumenforge.llm.blocks import Shelf, by_shard, pack, unpack
+from lumenforge.llm.common import ship_package
 
 MARK = "▁"
 #: Chunks of a block, and of the corpus for each owner of a part of the table; what a task holds follows from them.
@@ -34,7 +34,7 @@ class PieceModel:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         apart = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.by_chunk = apart and self.sp.normalize(" a  b ﬁ ") == f"{MARK}{MARK}a{MARK}{MARK}b ﬁ{MARK}"
+        self.by_chunk = apart and self.sp.normalize(" a  b\u00a0\ufb01 ") == f"{MARK}{MARK}a{MARK}{MARK}b\u00a0\ufb01{MARK}"
         self.eos = self.sp.eos_id()
         self.anchor = self.sp.piece_to_id("a")
 
@@ -185,11 +185,11 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, block
     """Blocks and the answers to them, both grouped by block; the number of owners; the type of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = written_blocks(rows.mapInPandas(_chunked(block_chunks), f"block long, n_chunks long, ids array<{kind}>, body binary"), "piece-blocks")
+    blocks = Shelf(docs.sparkSession, "piece-blocks").add(rows.mapInPandas(_chunked(block_chunks), f"block long, n_chunks long, ids array<{kind}>, body binary"))
     size = blocks.agg(F.sum("n_chunks")).first()[0] or 0
     shards = max(6, -(-size // shard_chunks))
     asks = blocks.select("block", "body").mapInPandas(_asked(shards), "shard long, block long, body binary")
-    answers = materialise(asks.groupBy("shard").applyInPandas(_segmented(model_path), "block long, shard long, body binary"), "piece-table")
+    answers = Shelf(docs.sparkSession, "piece-table").add(asks.groupBy("shard").applyInPandas(_segmented(model_path), "block long, shard long, body binary"), moved=True)
     return blocks.select("block", "ids", "body").groupBy("block"), answers.groupBy("block"), shards, kind
 
 

@@ -201,6 +201,7 @@ def test_piece_encoding(docs, empty):
     import sentencepiece
 
     path = queries.tokenizer_path("piece_bpe_32k.model")
+    assert piece_encoding.PieceModel(path).by_chunk
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     want = []
     for i, x in PAIRS:
