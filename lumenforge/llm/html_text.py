@@ -15,27 +15,34 @@ from pyspark.sql import functions as F
 
 from lumenforge.llm.common import ship_package
 
-#: Pages of the table, and pages laid out by rule, that the labeller is trained on, and blocks used of each.
-SAMPLE_PAGES, SYNTHETIC_PAGES, TRAIN_BLOCKS = 256, 512, 64
-PATH_DIM, WORD_DIM, NUMBERS = 64, 16, 6
+#: Pages of the table (of at most SAMPLE_BYTES, with an element that HTML itself calls the article) and pages laid out by rule that the labeller is trained on.
+SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 256, 100_000, 1100
+PATH_DIM, WORD_DIM, NUMBERS = 128, 32, 8
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
-HIDDEN = 20
-EPOCHS, BATCH, RATE, SEED = 10, 32, 0.01, 6
+HIDDEN = 24
+EPOCHS, BATCH, RATE, SEED = 10, 32, 0.015, 6
 #: Blocks labelled at once.
 INFER_BLOCKS = 4096
 
 #: How HTML treats elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style template noscript iframe svg math head title textarea select option object canvas audio video".split())
+SKIPPED = set("script style template noscript iframe svg math head title textarea select option button object canvas audio video".split())
 #: What may stand in a head; any other element, or text, ends one that is still open.
 IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = set("script style template noscript iframe title textarea".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words in class, id and role that name what a page has besides its article, fixed values.
-BOILERPLATE_WORDS = "ad ads advert advertisement sponsor promo banner nav menu navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share social comment comments reply replies discussion respond notice cookie cookies consent popup modal dialog newsletter subscribe signup login form search toolbar pagination pager".split()
-CONTENT_WORDS = "article content main post entry body story text".split()
-BOILERPLATE_TAGS = set("nav header footer aside form menu dialog button".split())
+#: Names and phrases that pages laid out by rule use, fixed values: of boilerplate, of articles, around either, and names that mislead.
+BOILERPLATE_NAMES = "ad ads advert advertisement sponsor promo banner nav menu navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share social comment comments reply replies discussion respond notice cookie cookies consent popup modal dialog newsletter subscribe signup login form search toolbar pagination pager".split()
+CONTENT_NAMES = "article content main post entry body story text".split()
+NEUTRAL_NAMES = "wrapper container page row col inner outer box layout grid site app root".split()
+AROUND_NAMES = "top bottom list area item wrap block inner left right site global primary".split()
+MISLEADING = "has no with without hide enabled disabled open closed free ready".split()
+PHRASES = [
+    "All rights reserved", "Copyright", "Privacy policy", "Terms of use", "Contact us", "About", "Home", "Sign up", "Log in", "Subscribe to our newsletter", "Accept all cookies",
+    "We use cookies", "Share this", "Related posts", "Leave a reply", "Read more", "Advertisement", "Sponsored", "Search", "Next", "Previous", "Follow us", "Comments", "Menu",
+]
+BOILERPLATE_TAGS = set("nav header footer aside form menu dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -50,6 +57,16 @@ class Block:
     linked: int
 
 
+def _names(token: str) -> list[str]:
+    """Names in a tag's class, id and role: ``.word`` for one word, ``~word`` for each part of a compound."""
+    out = set()
+    for _, a, b, c in _ATTRIBUTE.findall(token):
+        for name in (a or b or c).lower().split():
+            words = _WORDS.findall(name)
+            out.update(("." if len(words) == 1 else "~") + w for w in words)
+    return sorted(out)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order: the path of elements (with words of class, id and role) and the text.
 
@@ -121,84 +138,189 @@ def leaf_blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        words = {f"{w}" for _, a, b, c in _ATTRIBUTE.findall(token) for w in _WORDS.findall((a or b or c).lower())} if "=" in token else ()
         stack.append(name)
-        named.append((name, *(f".{w}" for w in sorted(words))))
+        named.append((name, *_names(token)) if "=" in token else (name,))
         skip += name in SKIPPED
     flush()
     return out
 
 
-def weak_label(path: tuple[str, ...]) -> int:
-    """What HTML's own names say of a block; the labeller is trained on it, it decides nothing itself."""
-    kept = 0
-    for step in path:
-        if step in BOILERPLATE_TAGS or step[1:] in BOILERPLATE_WORDS and step[0] == ".":
-            return 0
-        if step in ("article", "main") or step[0] == "." and step[1:] in CONTENT_WORDS:
-            kept = 1
-    return kept
-
-
-_SIGNS: dict[tuple[str, int], np.ndarray] = {}
+def article_labels(blocks: list[Block]) -> np.ndarray | None:
+    """Labels by HTML's own elements alone, for training: within ``article`` (else ``main``), outside of boilerplate elements in it; None without either."""
+    for name in ("article", "main"):
+        inside = [len(b.path) - b.path[::-1].index(name) if name in b.path else 0 for b in blocks]
+        if any(inside):
+            return np.array([i > 0 and BOILERPLATE_TAGS.isdisjoint(b.path[i:]) for b, i in zip(blocks, inside, strict=True)], np.float32)
+    return None
 
 
 def _hashed(word: str, dim: int) -> np.ndarray:
     """A fixed vector of four signed entries for a word."""
-    v = _SIGNS.get((word, dim))
-    if v is None:
-        v = np.zeros(dim, np.float32)
-        for k in range(4):
-            h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), k)
-            v[h % dim] += 0.5 if h >> 63 else -0.5
-        if len(_SIGNS) > 50_000:
-            _SIGNS.clear()
-        _SIGNS[word, dim] = v
+    v = np.zeros(dim, np.float32)
+    for k in range(4):
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), k)
+        v[h % dim] += 0.5 if h >> 63 else -0.5
     return v
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed words, lengths, links, place."""
-    out = np.zeros((len(blocks), INPUT), np.float32)
-    paths: dict[tuple[str, ...], np.ndarray] = {}
-    for i, b in enumerate(blocks):
-        p = paths.get(b.path)
-        if p is None:
-            p = paths[b.path] = np.sum([_hashed(s, PATH_DIM) for s in b.path], axis=0) if b.path else np.zeros(PATH_DIM, np.float32)
-        words = b.text.lower().split()
-        out[i, :PATH_DIM] = p
-        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sum([_hashed(w, WORD_DIM) for w in words], axis=0) / (4 * len(words))
-        n = len(b.text)
-        out[i, -NUMBERS:] = (np.log1p(n) / 8, min(1, b.linked / n), b.text[-1] in ".!?", len(b.path) / 10, i / len(blocks), np.log1p(len(blocks)) / 8)
-    return out
+class Vectors(dict):
+    """Hashed vectors of words, numbered as they are met; started anew between pages when there are ``limit``."""
+
+    def __init__(self, dim: int, limit: int = 60_000):
+        super().__init__()
+        self.dim, self.limit = dim, limit
+        self.rows: list[np.ndarray] = []
+        self.table = np.zeros((0, dim), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.rows.append(_hashed(word, self.dim))
+        return n
+
+    def sums(self, lists: list[list[str]]) -> np.ndarray:
+        """The sum of each list's vectors."""
+        if len(self) > self.limit:
+            self.clear()
+            self.rows, self.table = [], np.zeros((0, self.dim), np.float32)
+        at = np.fromiter((self[w] for x in lists for w in x), np.int64)
+        if len(self.rows):
+            self.table = np.vstack([self.table, np.stack(self.rows)])
+            self.rows = []
+        out = np.zeros((len(lists), self.dim), np.float32)
+        sizes = np.array([len(x) for x in lists])
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(self.table[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+        return out
 
 
-def synthetic_page(rng: np.random.Generator) -> list[Block]:
-    """Blocks of a page laid out by rule: an article with boilerplate of all named kinds around and within it."""
-    letters = list("abcdefghijklmnoprstuvwz")
+class Reader:
+    """Turns a page's blocks into the labeller's inputs: a row for each block with hashed tag path, all hashed words, lengths, links, place."""
+
+    def __init__(self):
+        self.steps, self.words = Vectors(PATH_DIM), Vectors(WORD_DIM)
+
+    def features(self, blocks: list[Block]) -> np.ndarray:
+        out = np.zeros((len(blocks), INPUT), np.float32)
+        if not blocks:
+            return out
+        # what stands on html and body says little of one block
+        out[:, :PATH_DIM] = self.steps.sums([[f"^{s}" if i < _outer(b.path) else s for i, s in enumerate(b.path)] for b in blocks])
+        words = [b.text.lower().split() for b in blocks]
+        n_words = np.array([len(w) for w in words], np.float32)
+        out[:, PATH_DIM : PATH_DIM + WORD_DIM] = self.words.sums(words) / (2 * np.sqrt(n_words))[:, None]
+        n = np.array([len(b.text) for b in blocks], np.float32)
+        linked = np.minimum(1, np.array([b.linked for b in blocks], np.float32) / n)
+        ends = np.array([b.text[-1] in ".!?" for b in blocks])
+        deep = np.array([len(b.path) for b in blocks])
+        place = np.arange(len(blocks)) / len(blocks)
+        out[:, -NUMBERS:] = np.stack([np.log1p(n) / 8, linked, ends, deep / 10, place, np.full(len(blocks), np.log1p(len(blocks)) / 8), n_words > 12, linked > 0.6], axis=1)
+        return out
+
+
+def _outer(path: tuple[str, ...]) -> int:
+    """How many entries of a path belong to html and body."""
+    i = path.index("body") + 1 if "body" in path else 0
+    while 0 < i < len(path) and path[i][0] in ".~":
+        i += 1
+    return i
 
-    def text(low, high):
-        return " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(rng.integers(low, high))) + rng.choice([".", ""])
 
-    def boilerplate(base: tuple[str, ...]):
+def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """Blocks of a page laid out by rule and which of them are its article.
+
+    Pages differ in how they say what is what: by HTML's elements, by names (single, compound, misleading ones on both
+    sides), or not at all, as bare or div-only markup and plain text do; then only text, links and place tell.
+    """
+    letters = list("abcdefghijklmnoprstuvwz")
+    some = lambda x: x[rng.integers(len(x))]
+
+    def word() -> str:
+        return "".join(rng.choice(letters, rng.integers(2, 9)))
+
+    def sentences(low: int, high: int) -> str:
+        out = []
+        for _ in range(rng.integers(low, high)):
+            out.append(" ".join(word() for _ in range(rng.integers(3, 18))).capitalize() + some([".", ".", ".", "!", "?"]))
+        return " ".join(out)
+
+    def few(high: int = 6) -> str:
+        return " ".join(word() for _ in range(rng.integers(1, high))).capitalize()
+
+    def compound(names: list[str]) -> list[str]:
+        n = some(names)
+        kind = rng.random()
+        if kind < 0.45:
+            return ["." + n]
+        if kind < 0.6:
+            return sorted({"~" + n, "~" + some(names)})
+        return sorted({"~" + n, "~" + some(AROUND_NAMES)}) if kind < 0.9 else sorted({"~" + n, "~" + some(NEUTRAL_NAMES)})
+
+    def misleading() -> list[str]:
+        """Names on an article, or around the whole page, that mention boilerplate."""
+        out = {"~" + some(BOILERPLATE_NAMES), "~" + some(MISLEADING)}
         if rng.random() < 0.5:
-            box: tuple[str, ...] = (str(rng.choice(sorted(BOILERPLATE_TAGS))),)
+            out.add("~" + some(CONTENT_NAMES))
+        if rng.random() < 0.4:
+            out.add("." + some(NEUTRAL_NAMES))
+        return sorted(out)
+
+    style = some(["elements", "elements", "names", "names", "both", "none", "none", "bare"])
+    blocks: list[Block] = []
+    labels: list[int] = []
+    body = () if style == "bare" and rng.random() < 0.3 else ("html", "body", *(misleading() if rng.random() < 0.25 else []))
+
+    def add(path, text, kept, share=0.0):
+        blocks.append(Block(tuple(path), text, int(share * len(text))))
+        labels.append(kept)
+
+    def boilerplate(base, inside=False):
+        plain = style in ("none", "bare") and not inside
+        box: list[str] = []
+        if plain:
+            box = ["div"] * int(rng.integers(1, 3)) + (["." + some(NEUTRAL_NAMES)] if rng.random() < 0.3 else [])
+        elif rng.random() < {"elements": 0.6, "both": 0.5}.get(style, 0.2):
+            box = [some(sorted(BOILERPLATE_TAGS))]
         else:
-            box = (str(rng.choice(["div", "section", "p", "ul", "span"])), "." + str(rng.choice(BOILERPLATE_WORDS)))
-        inner = [(), ("p",), ("ul", "li", "a"), ("div",), ("h3",)][rng.integers(5)]
-        link = "a" in inner
-        return [Block((*base, *box, *inner), t := text(1, 12 if link else 40), len(t) if link else 0) for _ in range(rng.integers(1, 8 if link else 3))]
-
-    body = ("html", "body")
-    outer = [(), ("div",), ("div", ".wrapper"), ("section",)][rng.integers(4)]
-    core = [("article",), ("main",), ("main", "article"), ("div", "." + str(rng.choice(CONTENT_WORDS)))][rng.integers(4)]
-    out = [b for _ in range(rng.integers(1, 4)) for b in boilerplate((*body, *outer))]
-    for _ in range(rng.integers(1, 12)):
-        if rng.random() < 0.12:
-            out += boilerplate((*body, *outer, *core))
-        tail = [("p",), ("p",), ("p",), ("p", "b"), ("h1",), ("h2",), ("ul", "li"), ("blockquote", "p"), ("table", "tr", "td"), ()][rng.integers(10)]
-        out.append(Block((*body, *outer, *core, *tail), text(1, 60), 0))
-    return out + [b for _ in range(rng.integers(1, 4)) for b in boilerplate((*body, *outer))]
+            box = [some(["div", "section", "p", "ul", "span", "aside"]), *compound(BOILERPLATE_NAMES)]
+            if rng.random() < 0.2:  # footer-content, sidebar-text
+                box[1:] = sorted({"~" + some(BOILERPLATE_NAMES), "~" + some(CONTENT_NAMES)})
+        kind = some(["links", "links", "short", "phrase"]) if plain else some(["links", "links", "short", "phrase", "prose", "prose"])
+        for _ in range(rng.integers(2, 9) if kind == "links" else rng.integers(1, 4)):
+            if kind == "links":
+                add((*base, *box, *some([("a",), ("ul", "li"), ("ul", "li"), ()])), some([few(4), some(PHRASES)]), 0, 1.0)
+            elif kind == "prose":
+                add((*base, *box, *some([(), ("p",), ("p",), ("div",), ("h3",)])), sentences(1, 5), 0, some([0, 0, 0.2]))
+            else:
+                add((*base, *box, *some([(), ("p",), ("div",), ("span",)])), some(PHRASES) + (" " + few(4) if rng.random() < 0.5 else "") if kind == "phrase" or plain else few(), 0, some([0, 0, 0.5]))
+
+    outer = some([(), ("div",), ("div", "." + some(NEUTRAL_NAMES)), ("section",), ("div", "div")]) if style != "bare" else ()
+    if style in ("elements", "both"):
+        core = list(some([("article",), ("main",), ("main", "article")]))
+        core += misleading() if rng.random() < 0.3 else []
+    elif style == "names":
+        core = ["div", *(compound(CONTENT_NAMES) if rng.random() < 0.55 else sorted({*misleading(), "." + some(CONTENT_NAMES)}))]
+    else:
+        core = ["div"] * int(rng.integers(0, 3)) if style == "none" else []
+    alone = style == "bare" and rng.random() < 0.6
+    here = (*body, *outer)
+    for _ in range(0 if alone else rng.integers(1, 4)):
+        boilerplate(here)
+    if rng.random() < 0.93:
+        if rng.random() < 0.7:
+            add((*here, *core, *some([("h1",), ("h1",), ("header", "h1") if style == "none" else ("h1",), ("h2",)])), few(9), 1)
+        for _ in range(rng.integers(1, 14)):
+            if rng.random() < 0.16 and style not in ("none", "bare"):
+                boilerplate((*here, *core), inside=True)
+            tail = some([("p",)] * 5 + [("p", "b"), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("div",), (), ("pre",)])
+            if not body and rng.random() < 0.5 or style == "none" and rng.random() < 0.3:
+                tail = some([(), ("div",), ("div", "div")])
+            heading = tail and tail[-1][0] == "h"
+            text = few(8) if heading else some([sentences(1, 8), sentences(1, 3), sentences(1, 3), few(14)])
+            add((*here, *core, *tail), text, 1, some([0, 0, 0, 0.1, 0.3]) if not heading else 0)
+    for _ in range(0 if alone else rng.integers(1, 4)):
+        boilerplate(here)
+    return blocks, np.array(labels, np.float32)
 
 
 class BlockLabeller:
@@ -266,7 +388,7 @@ class BlockLabeller:
                 dh = np.where(m, dz @ u.T, dh)
                 dc = np.where(m, dcs * f, dc)
             grad[f"u{d}"] = du
-            grad[f"w{d}"] = np.einsum("bti,btz->iz", x, dz_all)
+            grad[f"w{d}"] = x.reshape(-1, x.shape[2]).T @ dz_all.reshape(-1, 4 * HIDDEN)
             grad[f"c{d}"] = dz_all.sum(axis=(0, 1))
         return grad
 
@@ -276,9 +398,12 @@ class BlockLabeller:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
+        sizes = np.array([len(x) for x, _ in pages])
         for epoch in range(EPOCHS):
             order = rng.permutation(len(pages))
-            for a in range(0, len(order), BATCH):
+            order = order[np.argsort(sizes[order], kind="stable")]  # pages of like length run together
+            starts = np.arange(0, len(order), BATCH)
+            for a in rng.permutation(starts).tolist():
                 x, y, mask = _padded([pages[j] for j in order[a : a + BATCH]])
                 step += 1
                 for k, g in self.gradients(x, y, mask).items():
@@ -317,24 +442,23 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def train_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller:
-    """Fit on the first TRAIN_BLOCKS blocks of sampled pages and of pages laid out by rule."""
+    """Fit on all blocks of sampled pages that HTML's elements label, and of pages laid out by rule."""
     rng = np.random.default_rng(seed)
-    all_blocks = [leaf_blocks(p) for p in pages] + [synthetic_page(rng) for _ in range(SYNTHETIC_PAGES)]
-    data = []
-    for blocks in all_blocks:
-        # the ends of a long page say most: its first and last blocks
-        if len(blocks) > TRAIN_BLOCKS:
-            blocks = blocks[: TRAIN_BLOCKS // 2] + blocks[-TRAIN_BLOCKS // 2 :]
-        if blocks:
-            data.append((features(blocks), np.array([weak_label(b.path) for b in blocks], np.float32)))
-    return BlockLabeller(seed).fit(data, seed)
+    reader = Reader()
+    told = [synthetic_page(rng) for _ in range(SYNTHETIC_PAGES)]
+    for page in pages:
+        blocks = leaf_blocks(page)
+        labels = article_labels(blocks)
+        if labels is not None:
+            told.append((blocks, labels))
+    return BlockLabeller(seed).fit([(reader.features(b), y) for b, y in told if b], seed)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page: the blocks that the labeller keeps, joined by a line break.
 
-    The labeller learns from a bounded sample of pages (SAMPLE_PAGES, by a hash of the id) and from laid out ones, then
-    reads each page's whole sequence of blocks. Null html counts as empty; a page without kept blocks has
+    The labeller learns from a bounded sample of pages (SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the id; of them those with an
+    ``article`` or ``main``) and from pages laid out by rule, then reads each page's whole sequence of blocks with all their words. Null html counts as empty; a page without kept blocks has
     empty text; a page without markup is one block outside of any element. Repeated ids are each returned. Empty input gives no rows.
     """
     spark = pages.sparkSession
@@ -342,7 +466,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("x"))
     kind = rows.schema["id"].dataType.simpleString()
     # ids first: no long page moves for the choice of the sample
-    ids = [r[0] for r in rows.select("id", F.octet_length("x").alias("n")).where("n < 100000").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()]
+    ids = [r[0] for r in rows.select("id", F.octet_length("x").alias("n")).where(F.col("n") <= SAMPLE_BYTES).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()]
     chosen = spark.createDataFrame([(i,) for i in sorted({i for i in ids if i is not None})], f"id {kind}")
     sample = sorted({r[0] or "" for r in rows.join(F.broadcast(chosen), "id").select("x").collect()})
     model = spark.sparkContext.broadcast(train_labeller(sample).p)
@@ -350,9 +474,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = BlockLabeller()
         labeller.p = model.value
+        reader = Reader()
         for b in batches:
             blocks = [leaf_blocks(x) for x in b["x"]]
-            kept = labeller.label([features(z) for z in blocks])
+            kept = labeller.label([reader.features(z) for z in blocks])
             text = ["\n".join(z.text for z, k in zip(p, y, strict=True) if k) for p, y in zip(blocks, kept, strict=True)]
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": pd.Series(text, dtype=object), "n_chars": pd.Series([len(t) for t in text], dtype="int64")})
 

@@ -290,26 +290,74 @@ def test_matches_sql(spark, name):
 @needs_data
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").limit(60)
-    extra = spark.createDataFrame([(900001, "u", None), (900002, "u", ""), (900003, "u", "<nav><a>menu</a></nav><footer>f</footer>"), (900004, "u", '<body><div class="sidebar"><p>side</p></div><article><h1>T &amp; U</h1><p>one<br>two <b>three</p><form>f</form><div class="comments"><p>c</p></div><p>last<script>"</p>"</script></article><!-- x --><aside>a</aside></body>')], "page_id long, url string, html string")
+    extra = spark.createDataFrame([(900001, "u", None), (900002, "u", ""), (900003, "u", "<nav><a>menu</a></nav><footer>f</footer>"), (900004, "u", '<body><div class="sidebar"><p>side</p></div><article><h1>T &amp; U</h1><p>one<br>two <b>three</p><form>f</form><div class="comments"><p>c</p></div><p>last one<script>"</p>"</script></article><!-- x --><aside>a</aside></body>')], "page_id long, url string, html string")
     out = {r.page_id: r for r in html_text.extract_main_text(pages.unionByName(extra)).collect()}
     for r in pages.collect():
         m = re.search(r"<article>(.*?)</article>", r.html, re.S)
         want = [b for b in (" ".join(__import__("html").unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", m[1])) if b]
         assert out[r.page_id].text == "\n".join(want) and out[r.page_id].n_chars == len(out[r.page_id].text)
     assert [out[i].text for i in (900001, 900002, 900003)] == ["", "", ""]
-    assert out[900004].text == "T & U\none two three\nlast"
+    assert out[900004].text == "T & U\none two three\nlast one"
+
+
+PARAGRAPH = "The quick brown fox jumps over the lazy dog and runs away. It was a good day for everyone involved in this small story."
+#: Pages that no name labels, or that names mislabel, and the blocks of their articles.
+ODD_PAGES = {
+    f"<h1>Title here</h1><p>{PARAGRAPH}</p><p>Second one is short.</p>": ["Title here", PARAGRAPH, "Second one is short."],
+    f"{PARAGRAPH}\n {PARAGRAPH}": [f"{PARAGRAPH} {PARAGRAPH}"],
+    f"<html><body><div><div><a href=x>Home</a></div><div><a href=y>About us</a></div></div><div><div>{PARAGRAPH}</div><div>{PARAGRAPH} More.</div></div><div>Copyright 2020</div></body></html>": [PARAGRAPH, f"{PARAGRAPH} More."],
+    f'<body class="has-sidebar"><nav><a href=x>Home</a></nav><div class="post-comments-enabled article"><h1>My title</h1><p>{PARAGRAPH}</p></div><div class="comments"><p>{PARAGRAPH} No.</p></div><footer>All rights reserved</footer></body>': ["My title", PARAGRAPH],
+    f'<div class="ad">{PARAGRAPH}</div><article><h1>My title</h1><p>{PARAGRAPH}</p></article><div id="comments"><div class="comment"><p>{PARAGRAPH}</p></div></div>': ["My title", PARAGRAPH],
+    "<nav><a>menu</a></nav><footer>f</footer>": [],
+    "<p>Just one paragraph.</p>": ["Just one paragraph."],
+    f"<ul><li><a>Home</a></li><li><a>News</a></li></ul><h1>Report</h1><p>{PARAGRAPH}</p><table><tr><td>alpha</td><td>12</td></tr></table><p>{PARAGRAPH}</p>": ["Report", PARAGRAPH, "alpha", "12", PARAGRAPH],
+}
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    return html_text.train_labeller([])
+
+
+def test_html_without_names(labeller):
+    reader = html_text.Reader()
+    for page, want in ODD_PAGES.items():
+        blocks = html_text.leaf_blocks(page)
+        kept = labeller.label([reader.features(blocks)])[0]
+        assert [b.text for b, k in zip(blocks, kept, strict=True) if k] == want, page
+
+
+def test_html_held_out_layouts(labeller):
+    rng, reader = np.random.default_rng(77), html_text.Reader()
+    told = [html_text.synthetic_page(rng) for _ in range(300)]
+    kept = labeller.label([reader.features(b) for b, _ in told])
+    right = np.concatenate([k == (y > 0) for k, (_, y) in zip(kept, told, strict=True)])
+    assert right.mean() > 0.94
 
 
 def test_html_reads_whole_blocks_and_open_heads():
     blocks = [html_text.Block(("p",), " ".join(["word"] * 60 + [x] + ["word"] * 60), 0) for x in ("cookies", "article")]
-    a, b = html_text.features(blocks)
+    reader = html_text.Reader()
+    a, b = reader.features(blocks)
     words = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
     assert (a[words] != b[words]).any()
+    reader.words.limit = 1  # a vocabulary started anew gives the same rows
+    assert (reader.features(blocks) == np.stack([a, b])).all() and len(reader.features([])) == 0
     for page in ("<html><head><title>t</title><body><p>x</p></body>", "<head><meta charset=utf8><p>x</p>", "<head><style>s</style> x"):
         assert [z.text for z in html_text.leaf_blocks(page)] == ["x"]
     assert html_text.leaf_blocks("<html><head>\n<title>t</title> <link href=x><script>s</script></head><body></body></html>") == []
 
 
+def test_html_edge_pages(spark):
+    long = "<article>" + "".join(f"<p>{PARAGRAPH} {i}</p>" for i in range(3000)) + "</article>"
+    rows = [(1, "u", long, "clash", 5), (2, None, None, None, 5), (3, "v", "<p>Just one paragraph.</p>", "t", 5), (3, "v", "<p>Just one paragraph.</p>", "t", 5), (None, "w", "", "", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html_text.extract_main_text(df).collect()
+    assert sorted((r.page_id or 0, r.n_chars == len(r.text), r.text.count("\n")) for r in out) == [(0, True, 0), (1, True, 2999), (2, True, 0), (3, True, 0), (3, True, 0)]
+    assert [r.text for r in out if r.page_id == 3] == ["Just one paragraph."] * 2
+    assert html_text.extract_main_text(df.where("false")).count() == 0
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     m = html_text.BlockLabeller()
