@@ -7,13 +7,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,9 +40,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenforge-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +74,32 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataFrame:
+    """``docs`` with the columns ``fields``, computed from whole texts; all other columns pass through as they are.
+
+    ``run`` gets an iterator over lists of texts (nulls included) and yields, for each, the arrays of the new columns.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for b in batches:
+                if b.num_rows:
+                    held.append(b)
+                    yield b.column("_text").to_pylist()
+
+        for new in run(texts()):
+            b = held.pop()
+            kept = [n for n in b.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(x) for x in new)], [*kept, *names])
+
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("_text"))
+    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), fields])
+    return own.mapInArrow(columns, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in; other text is translated."""
     pure = F.octet_length(c) == F.char_length(c)

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from lumenforge.llm.common import ship_package
 
 #: Pages of the table (of at most SAMPLE_BYTES, with an element that HTML itself calls the article) and pages laid out by rule that the labeller is trained on.
-SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 256, 100_000, 1100
+SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 160, 100_000, 1100
 PATH_DIM, WORD_DIM, NUMBERS = 128, 32, 8
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
 HIDDEN = 24
-EPOCHS, BATCH, RATE, SEED = 10, 32, 0.015, 6
+EPOCHS, BATCH, RATE, SEED = 15, 24, 0.02, 6
 #: Blocks labelled at once.
 INFER_BLOCKS = 4096
 
@@ -279,7 +279,7 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         box: list[str] = []
         if plain:
             box = ["div"] * int(rng.integers(1, 3)) + (["." + some(NEUTRAL_NAMES)] if rng.random() < 0.3 else [])
-        elif rng.random() < {"elements": 0.6, "both": 0.5}.get(style, 0.2):
+        elif rng.random() < {"elements": 0.5, "both": 0.5}.get(style, 0.15) * (0.6 if inside else 1):
             box = [some(sorted(BOILERPLATE_TAGS))]
         else:
             box = [some(["div", "section", "p", "ul", "span", "aside"]), *compound(BOILERPLATE_NAMES)]
@@ -310,7 +310,7 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         if rng.random() < 0.7:
             add((*here, *core, *some([("h1",), ("h1",), ("header", "h1") if style == "none" else ("h1",), ("h2",)])), few(9), 1)
         for _ in range(rng.integers(1, 14)):
-            if rng.random() < 0.16 and style not in ("none", "bare"):
+            if rng.random() < 0.2 and style not in ("none", "bare"):
                 boilerplate((*here, *core), inside=True)
             tail = some([("p",)] * 5 + [("p", "b"), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("div",), (), ("pre",)])
             if not body and rng.random() < 0.5 or style == "none" and rng.random() < 0.3:
@@ -318,13 +318,15 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
             heading = tail and tail[-1][0] == "h"
             text = few(8) if heading else some([sentences(1, 8), sentences(1, 3), sentences(1, 3), few(14)])
             add((*here, *core, *tail), text, 1, some([0, 0, 0, 0.1, 0.3]) if not heading else 0)
+        if rng.random() < 0.3 and style not in ("none", "bare"):
+            boilerplate((*here, *core), inside=True)
     for _ in range(0 if alone else rng.integers(1, 4)):
         boilerplate(here)
     return blocks, np.array(labels, np.float32)
 
 
 class BlockLabeller:
-    """A bidirectional LSTM with a logistic output for every block."""
+    """A bidirectional LSTM with a logistic output for every block, which also sees the block's inputs directly."""
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -335,6 +337,7 @@ class BlockLabeller:
             bias = np.zeros(4 * HIDDEN, np.float32)
             bias[HIDDEN : 2 * HIDDEN] = 1  # remember at first
             self.p[f"c{d}"] = bias
+        self.p["s"] = np.zeros(INPUT, np.float32)
         self.p["v"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.p["o"] = np.zeros(1, np.float32)
 
@@ -365,15 +368,18 @@ class BlockLabeller:
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hf, _ = self._run(x, mask, "f", False)
         hb, _ = self._run(x, mask, "b", False)
-        return hf @ self.p["v"][:HIDDEN] + hb @ self.p["v"][HIDDEN:] + self.p["o"]
+        return self._output(x, hf, hb)
+
+    def _output(self, x: np.ndarray, hf: np.ndarray, hb: np.ndarray) -> np.ndarray:
+        return hf @ self.p["v"][:HIDDEN] + hb @ self.p["v"][HIDDEN:] + x @ self.p["s"] + self.p["o"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
         hf, tf = self._run(x, mask, "f", True)
         hb, tb = self._run(x, mask, "b", True)
         v = self.p["v"]
-        p = self._sigmoid(hf @ v[:HIDDEN] + hb @ v[HIDDEN:] + self.p["o"])
+        p = self._sigmoid(self._output(x, hf, hb))
         e = ((p - y) * mask / max(1, mask.sum())).astype(np.float32)
-        grad = {"v": np.concatenate([np.einsum("bt,bth->h", e, hf), np.einsum("bt,bth->h", e, hb)]), "o": e.sum(keepdims=True).ravel()}
+        grad = {"v": np.concatenate([np.einsum("bt,bth->h", e, hf), np.einsum("bt,bth->h", e, hb)]), "s": np.einsum("bt,bti->i", e, x), "o": e.sum(keepdims=True).ravel()}
         for d, tape, part in (("f", tf, v[:HIDDEN]), ("b", tb, v[HIDDEN:])):
             u = self.p[f"u{d}"]
             dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
@@ -441,6 +447,25 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray]]):
     return x, y, mask
 
 
+def _with_boxes(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """A sampled page with named boxes put into its article: comments, adverts and the like, in any wording."""
+    out, kept = list(blocks), labels.tolist()
+    for _ in range(rng.integers(1, 4)):
+        inside = [i for i, k in enumerate(kept) if k]
+        i = inside[rng.integers(len(inside))] if rng.random() < 0.6 else inside[-1]
+        base = out[i].path
+        base = base[: len(base) - base[::-1].index("article")] if "article" in base else base[:-1]
+        name = BOILERPLATE_NAMES[rng.integers(len(BOILERPLATE_NAMES))]
+        box = (["div", "section", "ul", "span"][rng.integers(4)], *(("." + name,) if rng.random() < 0.7 else sorted({"~" + name, "~" + AROUND_NAMES[rng.integers(len(AROUND_NAMES))]})))
+        words = out[inside[rng.integers(len(inside))]].text.split()
+        for _ in range(rng.integers(1, 4)):
+            n = int(rng.integers(1, 40 if rng.random() < 0.5 else 5))
+            text = " ".join(words[int(rng.integers(len(words))) :][:n]) if rng.random() < 0.8 else PHRASES[rng.integers(len(PHRASES))]
+            out.insert(i + 1, Block((*base, *box, *([], ["p"], ["div"], ["h3"])[rng.integers(4)]), text, 0))
+            kept.insert(i + 1, 0.0)
+    return out, np.array(kept, np.float32)
+
+
 def train_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller:
     """Fit on all blocks of sampled pages that HTML's elements label, and of pages laid out by rule."""
     rng = np.random.default_rng(seed)
@@ -449,8 +474,8 @@ def train_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller:
     for page in pages:
         blocks = leaf_blocks(page)
         labels = article_labels(blocks)
-        if labels is not None:
-            told.append((blocks, labels))
+        if labels is not None and labels.any():
+            told += [(blocks, labels), _with_boxes(blocks, labels, rng)]
     return BlockLabeller(seed).fit([(reader.features(b), y) for b, y in told if b], seed)
 
 

@@ -9,10 +9,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import held_out_column, materialise, ship_package
+from lumenforge.llm.common import held_out_column, materialise, ship_package, with_text_columns
 
 N_STATS = 24
 COMPONENTS = 320
@@ -67,9 +68,9 @@ def statistics(text: str | None) -> np.ndarray:
     )
 
 
-def _with_statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"id": b["id"], "stats": [statistics(x) for x in b["x"]]})
+def _statistics(batches: Iterator[list[str | None]]) -> Iterator[tuple[list[list[float]]]]:
+    for texts in batches:
+        yield ([statistics(x).tolist() for x in texts],)
 
 
 class FourierRidge:
@@ -140,10 +141,13 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_
 
     Labels of one id are averaged; null labels and ids are left out. Without labelled rows every score is that of label 1's prior, 0.5.
     """
-    moments = stats.select(F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+    each = [f for i in range(N_STATS) for f in (F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i]))]
+    found = stats.agg(*(f.alias(f"m{i}") for i, f in enumerate(each))).first()
     mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
-    for i, m, s in moments:
-        mean[i], scale[i] = m, s if s > 1e-9 else 1.0
+    for i in range(N_STATS):
+        m, s = found[2 * i], found[2 * i + 1]
+        if m is not None:
+            mean[i], scale[i] = m, s if s > 1e-9 else 1.0
     model = FourierRidge(mean, scale)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     train = materialise(stats.join(y, "id").where(~held_out_column(F.col("id"), 3, 1)).select("stats", "y"), "quality-train")
@@ -166,6 +170,23 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_
     return model
 
 
+def scored_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` (its columns as _0, _1, ...) with ``score``: texts are read once and never shuffled. See ``classify``."""
+    ship_package(docs.sparkSession)
+    stats = materialise(with_text_columns(docs, text_col, "stats array<double>", _statistics), "quality-stats")
+    model = fit(stats.select(F.col(f"_{docs.columns.index(id_col)}").alias("id"), "stats"), labels, label_col, id_col)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column("stats").flatten()).reshape(b.num_rows, -1)
+                kept = [n for n in b.schema.names if n != "stats"]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(model.score(x))], [*kept, "score"])
+
+    fields = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), "score double"])
+    return stats.mapInArrow(scored, fields)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id, held_out, score, predicted of every row; the score comes from statistics of the whole text alone.
 
@@ -173,15 +194,14 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     Empty input gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
-    kind = rows.schema["id"].dataType.simpleString()
-    stats = materialise(rows.mapInPandas(_with_statistics, f"id {kind}, stats array<double>"), "quality-stats")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))
+    stats = materialise(with_text_columns(rows, "x", "stats array<double>", _statistics).select(F.col("_0").alias("id"), "stats"), "quality-stats")
     model = fit(stats, labels, label_col, id_col)
 
     def scored(batches):
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "score": model.score(np.stack(b["stats"].to_numpy())) if len(b) else []})
 
-    out = stats.mapInPandas(scored, f"id {kind}, score double")
+    out = stats.mapInPandas(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     held = F.coalesce(held_out_column(F.col("id"), 3, 1), F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -49,30 +49,33 @@ def segment_counts(half):
     return low + F.shiftright(half, 1).bitwiseAND(F.lit(0x55555555))
 
 
+def grid_cell(half):
+    """Segment counts of a half cut into 2-bit segments and, shifted by one bit around the ring, into the pairs between them.
+
+    One differing bit is one step in one segment of each cut, so the Manhattan distance over both is twice a lower bound of the
+    differing bits. Counts of neighbouring pairs leave two halves at most in a cell.
+    """
+    turned = F.shiftright(half, 1) + F.shiftleft(half.bitwiseAND(F.lit(1)), 31)
+    return segment_counts(half) + F.shiftleft(segment_counts(turned), 32)
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints that differ in at most ``distance`` (3 or less) bits.
 
-    Of two such prints, one 32-bit half differs in at most one bit. Each half is embedded as
-    sixteen per-segment bit counts; the Manhattan distance of two embeddings is a lower
-    bound of the differing bits, so a half within one bit lies within one step on that grid. One
-    side probes its own cell and the sixteen cells one step up, the other its own cell; the
-    exact distance then decides inside the join, so only links leave it. A pair that meets in both halves is emitted once.
+    Of two such prints, one 32-bit half differs in at most one bit. Each half is embedded as per-segment bit counts of two
+    overlapping cuts; the Manhattan distance of two embeddings bounds the differing bits, so a half within one bit lies in the same
+    cell of that grid or one bit's step away. One side probes its own cell and the cells one step up (a bit that it lacks), the other
+    its own cell; the exact distance then decides inside the join, so only links leave it. A pair that meets in both halves is emitted once.
+    Cells hold two values of a half at most, so chance meetings stay few at any size; what many prints share in one half, the skew join splits.
     """
     if distance > 3:
         raise ValueError("the half-wise bound holds for at most 3 differing bits")
     fp = F.col("fp")
-    halves = [fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)]
-
-    def counts(h):
-        return segment_counts(h)
-
-    own = prints.select("fp", F.posexplode(F.array(*[counts(h) for h in halves])).alias("half", "cell"))
-    right = own.select(F.col("fp").alias("q"), F.col("half").alias("qh"), F.col("cell").alias("qc"))
-    # stepping up a segment that already counts two bits leads to a cell that no print has
-    steps = F.array(F.lit(0).cast("long"), *[F.lit(1 << (2 * i)).cast("long") for i in range(16)])
-    left = own.select("fp", "half", "cell", F.explode(steps).alias("step")).where(
-        "step = 0 or (cell & (step * 2)) = 0"
-    ).select("fp", "half", "step", (F.col("cell") + F.col("step")).alias("cell"))
+    own = prints.select("fp", F.posexplode(F.array(fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))).alias("half", "value"))
+    right = own.select(F.col("fp").alias("q"), F.col("half").alias("qh"), grid_cell(F.col("value")).alias("qc"))
+    steps = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    left = own.select("fp", "half", "value", F.explode(steps).alias("step")).where((F.col("value").bitwiseAND(F.col("step"))) == 0)
+    left = left.select("fp", "half", "step", grid_cell(F.col("value") + F.col("step")).alias("cell"))
     differ = F.col("fp").bitwiseXOR(F.col("q"))
     near = (F.bit_count(differ) <= distance) & ((F.col("step") != 0) | (F.col("fp") < F.col("q")))
     # a half reports pairs that differ in at most one of its bits; where both do, the low half reports the pair

@@ -6,19 +6,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import held_out_column, materialise, ship_package
+from lumenforge.llm.common import held_out_column, materialise, ship_package, with_text_columns
 
-#: At most this many labelled rows of each class, of at most MAX_WORDS words, train the filters.
+#: At most this many labelled rows of each class, of at most MAX_BYTES bytes, train the filters, on their whole texts.
 SAMPLE_PER_CLASS = 3000
-MAX_WORDS = 2000
+MAX_BYTES = 1 << 20
+#: Of the labelled rows one in CALIBRATE is kept out of the fit and chooses thresholds, together with all that the sample leaves.
+CALIBRATE = 5
+#: Documents of the sample that a feature must occur in: what occurs in fewer would only be learnt by heart.
+LEAST_DOCS = 3
 BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 12, 10, (1, 2, 3)
-EPOCHS, BATCH, RATE, SEED = 5, 64, 0.08, 5
+UPDATES, EPOCHS, BATCH, BATCH_WORDS, RATE, SEED = 300, 5, 64, 150_000, 0.08, 5
 #: Words convolved at once; longer texts go through in overlapping segments.
 SEGMENT = 40_000
 BINS = 1000
@@ -128,24 +131,40 @@ def _pooled(model: TextCnn, x: np.ndarray, begins: np.ndarray, ends: np.ndarray,
     return np.hstack(best), where
 
 
+def _batches(order: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Groups of at most BATCH documents and, but for a single longer one, BATCH_WORDS words."""
+    begin, size = 0, 0
+    for i, j in enumerate(order.tolist()):
+        if i > begin and (i - begin == BATCH or size + len(docs[j]) > BATCH_WORDS):
+            yield order[begin:i]
+            begin, size = i, 0
+        size += len(docs[j])
+    if len(order):
+        yield order[begin:]
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED) -> TextCnn:
     """Fit by Adagrad on the log loss, classes weighted alike; gradients reach only the pooled windows."""
     rng = np.random.default_rng(seed)
     model = TextCnn.fresh(rng)
     vocabulary = Vocabulary(model, limit=1 << 40)
-    docs = [vocabulary.numbers((t or "").encode("utf-8", "surrogatepass").lower().split()[:MAX_WORDS]) for t in texts]
+    docs = [vocabulary.numbers((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
     parts = np.array(vocabulary.parts)
+    known = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        known[np.unique(parts[d])] += 1
+    known = known >= LEAST_DOCS
+    known[parts[0]] = False
     y = np.array(labels, np.float32)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     seen_e = np.full(BUCKETS, 1e-6, np.float32)
     seen_f = [np.full_like(f, 1e-3) for f in model.filters]
     seen_b = [np.full_like(b, 1e-3) for b in model.bias]
     seen_o, seen_c = np.full_like(model.out, 1e-3), 1e-3
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch / 2)
-        order = rng.permutation(len(docs))
-        for i in range(0, len(order), BATCH):
-            pick = order[i : i + BATCH]
+    epochs = max(EPOCHS, -(-UPDATES * BATCH // max(1, len(docs))))  # small samples are gone through more often
+    for epoch in range(epochs):
+        rate = RATE / (1 + epoch * 2 / epochs)
+        for pick in _batches(rng.permutation(len(docs)), docs):
             stream, begins, ends = _stream([docs[j] for j in pick])
             vec = model.embedding[parts[stream]].sum(axis=1)
             vec[stream == 0] = 0
@@ -176,20 +195,20 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> TextCnn:
             model.offset -= rate * float(g.sum()) / seen_c**0.5
             row, grad = np.concatenate(rows), np.vstack(grads)
             real = (row != 0) & (np.abs(grad).max(axis=1) > 0)
-            where_e, inverse = np.unique(parts[row[real]].ravel(), return_inverse=True)
+            touched, owner = parts[row[real]].ravel(), np.repeat(np.flatnonzero(real), parts.shape[1])
+            touched, owner = touched[known[touched]], owner[known[touched]]
+            where_e, inverse = np.unique(touched, return_inverse=True)
             de = np.zeros((len(where_e), DIM), np.float32)
-            np.add.at(de, inverse.ravel(), np.repeat(grad[real], parts.shape[1], axis=0))
+            np.add.at(de, inverse.ravel(), grad[owner])
             seen_e[where_e] += (de * de).mean(axis=1)
             model.embedding[where_e] -= rate * de / np.sqrt(seen_e[where_e])[:, None]
     return model
 
 
-def _raw(model: TextCnn, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Each batch with the classifier's probabilities and the languages read off the texts."""
+def _raw(model: TextCnn, batches: Iterator[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The classifier's probabilities and the languages read off the texts, of each batch."""
     vocabulary = Vocabulary(model)
     for b in batches:
-        if not len(b):
-            continue
         top = np.full((len(b), len(WIDTHS) * FILTERS), -np.inf, np.float32)
         votes = np.zeros((len(b), len(LANGUAGE_WORDS)), np.int64)
         docs, owners, size = [], [], 0
@@ -205,7 +224,7 @@ def _raw(model: TextCnn, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.D
             lang = spoken[inside]
             np.add.at(votes, (cells[lang >= 0], lang[lang >= 0]), 1)
 
-        for i, x in enumerate(b["x"]):
+        for i, x in enumerate(b):
             words = (x or "").encode("utf-8", "surrogatepass").lower().split()
             for s in range(0, max(1, len(words)), SEGMENT):
                 docs.append(vocabulary.numbers(words[s : s + SEGMENT + PAD]))
@@ -220,13 +239,7 @@ def _raw(model: TextCnn, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.D
             convolve(docs, owners)
         logit = np.maximum(top, 0) @ model.out + model.offset
         language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(LANGUAGE_WORDS))
-        yield b, 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(float))), language
-
-
-def _calibrated(p: np.ndarray, language: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Stretch probabilities so that the language's own threshold becomes THRESHOLD."""
-    t = thresholds[language]
-    return np.where(p < t, THRESHOLD * p / t, THRESHOLD + (1 - THRESHOLD) * (p - t) / (1 - t))
+        yield 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(float))), language.astype(np.int32)
 
 
 def choose_threshold(negatives: np.ndarray, positives: np.ndarray) -> float:
@@ -240,15 +253,8 @@ def choose_threshold(negatives: np.ndarray, positives: np.ndarray) -> float:
     return float(np.clip((best[0] + best[-1]) / 2 / BINS, 0.02, 0.98))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted of every row, from the whole text alone.
-
-    Labels are learnt from rows whose crc32 of the id mod 3 is not 1: filters from a bounded sample
-    (SAMPLE_PER_CLASS rows a class, of at most MAX_WORDS words), thresholds of every language
-    from all of them. The language is read off the text's function words. Scores are stretched so that the
-    language's threshold is 0.7. Null text counts as empty and gets the score of a text without words; repeated ids are each scored;
-    null ids never train. Without labels of both classes the untrained filters score near 0.27. Empty input gives no rows.
-    """
+def scored_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` (its columns as _0, _1, ...) with ``score``: texts are read once and never shuffled. See ``classify``."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
@@ -256,8 +262,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     y = y.where(~held_out_column(F.col("id"), 3, 1))
     # the sample is chosen by id and length before any text moves
-    short = rows.select("id", F.octet_length("x").alias("n")).where(F.col("n") <= 6 * MAX_WORDS)
-    ids = short.join(y, "id").withColumn("h", F.xxhash64(F.lit(SEED), "id"))
+    short = rows.select("id", F.octet_length("x").alias("n")).where(F.coalesce("n", F.lit(0)) <= MAX_BYTES)
+    ids = short.join(y, "id").withColumn("h", F.xxhash64(F.lit(SEED), "id")).where(F.pmod("h", F.lit(CALIBRATE)) != 0)
     chosen = [r[0] for v in (0, 1) for r in ids.where(F.col("y") == v).orderBy("h", "id").limit(SAMPLE_PER_CLASS).select("id").collect()]
     picked = spark.createDataFrame([(i,) for i in sorted(set(chosen))], f"id {kind}")
     sample = rows.join(F.broadcast(picked), "id").join(y, "id").select("id", "x", "y").collect()
@@ -265,24 +271,32 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     model = train([r[1] for r in sample], [r[2] for r in sample]) if sample else TextCnn.fresh(np.random.default_rng(SEED))
     shared = spark.sparkContext.broadcast(model)
 
-    def raw(batches):
-        for b, p, language in _raw(shared.value, batches):
-            yield pd.DataFrame({"id": b["id"], "p": p, "language": language.astype("int32")})
-
-    scored = materialise(rows.mapInPandas(raw, f"id {kind}, p double, language int"), "toxicity-raw")
+    scored = materialise(with_text_columns(docs, text_col, "p double, language int", lambda texts: _raw(shared.value, texts)), "toxicity-raw")
+    own = scored.select(F.col(f"_{docs.columns.index(id_col)}").alias("id"), "p", "language")
     bins = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = scored.join(y, "id").groupBy("language", bins.alias("bin"), "y").count().collect()
+    kept_out = own.join(F.broadcast(picked), "id", "left_anti").join(y, "id")
+    counts = kept_out.groupBy("language", bins.alias("bin"), "y").count().collect()
     table = np.zeros((2, len(LANGUAGES), BINS))
     for language, b, v, n in counts:
         table[int(v > 0), language, b] += n
     overall = choose_threshold(*table.sum(axis=1))
     enough = table[1].sum(axis=1) >= 20
-    chosen_t = np.array([choose_threshold(*table[:, i]) if enough[i] else overall for i in range(len(LANGUAGES))])
+    t = F.element_at(F.array(*(F.lit(choose_threshold(*table[:, i]) if enough[i] else overall) for i in range(len(LANGUAGES)))), F.col("language") + 1)
+    # stretch probabilities so that the language's own threshold becomes THRESHOLD
+    p = F.col("p")
+    score = F.when(p < t, THRESHOLD * p / t).otherwise(THRESHOLD + (1 - THRESHOLD) * (p - t) / (1 - t))
+    return scored.withColumn("score", score).drop("p", "language")
 
-    def calibrated(batches):
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": _calibrated(b["p"].to_numpy(float), b["language"].to_numpy(int), chosen_t)})
 
-    out = scored.mapInPandas(calibrated, f"id {kind}, score double")
-    held = F.coalesce(held_out_column(F.col("id"), 3, 1), F.lit(False))
-    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted of every row, from the whole text alone.
+
+    Labels are learnt from rows whose crc32 of the id mod 3 is not 1: filters from a bounded sample
+    (SAMPLE_PER_CLASS rows a class, of at most MAX_BYTES bytes, whole texts), thresholds of every language
+    from all labelled rows that the filters did not see, one in CALIBRATE at least. The language is read off the text's function words. Scores are stretched so that the
+    language's threshold is 0.7. Null text counts as empty and gets the score of a text without words; repeated ids are each scored;
+    null ids never train. Without labels of both classes the untrained filters score near 0.27. Empty input gives no rows.
+    """
+    out = scored_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x")), labels.withColumnRenamed(id_col, "id"), label_col, "id", "x")
+    held = F.coalesce(held_out_column(F.col("_0"), 3, 1), F.lit(False))
+    return out.select(F.col("_0").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -418,6 +418,34 @@ def test_classifiers(spark, module, column):
     assert len(module.classify(docs.limit(5), labels.where("false")).collect()) == 5
 
 
+@pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_of_odd_tables(spark, module, column):
+    """Very long texts, ties, repeated rows, null ids and columns with clashing names."""
+    docs, labels = labelled(spark, 120)
+    long = spark.createDataFrame([(5000, "word " * 200_000 + "vileword"), (5001, "word " * 200_000), (None, "a b"), (5003, None), (5003, None), (5004, "a b")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(long).selectExpr("*", "text as x", "1 as score", "2 as p", "doc_id as id", "'q' as toxic", "'q' as quality")
+    out = module.classify(table, labels).toPandas()
+    assert len(out) == 123 + 6 and out.score.between(0, 1).all() and out.doc_id.isna().sum() == 1
+    same = out[out.doc_id.isin([5004]) | out.doc_id.isna()].score
+    assert same.nunique() == 1 and out[out.doc_id == 5003].score.nunique() == 1
+    if module is toxicity:
+        assert out.set_index("doc_id").score[5000] > out.set_index("doc_id").score[5001]
+
+
+def test_toxicity_segments_and_vocabulary_resets(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(80)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    model = toxicity.train(texts, [i % 3 == 0 for i in range(60)])
+    whole = next(toxicity._raw(model, iter([texts])))[0]
+    monkeypatch.setattr(toxicity, "SEGMENT", 7)
+    monkeypatch.setattr(toxicity.Vocabulary.__init__, "__defaults__", (10,))
+    parts = next(toxicity._raw(model, iter([texts])))[0]
+    np.testing.assert_allclose(whole, parts, atol=1e-5)
+    sizes = [np.zeros(n) for n in (5, 9, 200_000, 3, 3)]
+    assert np.concatenate(list(toxicity._batches(np.arange(5), sizes))).tolist() == [0, 1, 2, 3, 4] and max(map(len, toxicity._batches(np.arange(5), sizes))) == 2
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = np.arange(50.0)
