@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,28 +81,61 @@ def _differ(a: str, b: str) -> Column:
     return out.cast("int")
 
 
-def _seeds(sketches: DataFrame, bits: int, step: int = STEP) -> DataFrame:
-    """(u, v, su, sv): vectors near each other in one of the orders."""
-    me = F.struct("rep", *_WORDS).alias("me")
-    rows = sketches.select(me, F.posexplode("codes").alias("order", "code"))
-    w = Window.partitionBy("order", F.shiftright("code", 32 - bits)).orderBy("code", "me.rep")
-    near = rows.select("me", *(F.lead("me", k).over(w).alias(f"n{k}") for k in range(1, step + 1)))
-    pairs = near.select("me", F.explode(F.array(*(f"n{k}" for k in range(1, step + 1)))).alias("to")).where("to is not null")
-    return pairs.select(F.col("me.rep").alias("u"), F.col("to.rep").alias("v"), F.struct(*(F.col(f"me.{w}") for w in _WORDS)).alias("su"), F.struct(*(F.col(f"to.{w}") for w in _WORDS)).alias("sv"))
+def _neighbours(step: int):
+    """Pairs of rows at most ``step`` apart, of rows that arrive sorted by order and code."""
+    names = ["rep", *_WORDS]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            rows = b if last is None else pd.concat([last, b], ignore_index=True)
+            new = 0 if last is None else len(last)
+            last = rows.tail(step)
+            order, values = rows["order"].to_numpy(), rows[names].to_numpy(np.int64)
+            out = []
+            for k in range(1, step + 1):
+                j = np.arange(max(k, new), len(rows))
+                j = j[order[j] == order[j - k]]
+                out.append(np.hstack([values[j - k], values[j]]))
+            yield pd.DataFrame(np.concatenate(out), columns=[f"{x}_{n}" for x in "ab" for n in names])
+
+    return run
+
+
+def _seeds(sketches: DataFrame, step: int = STEP) -> DataFrame:
+    """(u, v, su, sv): vectors near each other in one of the orders.
+
+    Orders are dealt to tasks by range, so copies with one code spread over many; the few pairs across a task's border are left to other orders.
+    """
+    rows = sketches.select("rep", *_WORDS, F.posexplode("codes").alias("order", "code"))
+    rows = rows.repartitionByRange("order", "code", "rep").sortWithinPartitions("order", "code", "rep")
+    fields = ", ".join(f"{x}_{n} long" for x in "ab" for n in ["rep", *_WORDS])
+    pairs = rows.select("order", "rep", *_WORDS).mapInPandas(_neighbours(step), fields)
+    return pairs.select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"), *(F.struct(*(F.col(f"{x}_{w}").alias(w) for w in _WORDS)).alias(y) for x, y in (("a", "su"), ("b", "sv"))))
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The NEIGHBOURS nearest of each vector, of pairs taken in both directions."""
-    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("sv").alias("su"), F.col("su").alias("sv")))
-    both = both.withColumn("d", _differ("su", "sv")).dropDuplicates(["u", "v"])
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("rank") <= NEIGHBOURS).drop("rank")
 
+def _best(pairs: DataFrame, limit: int = 0) -> DataFrame:
+    """The nearest of each vector, of pairs taken in both directions: (u, v, su, sv, d, rank, room).
+
+    A list has room for NEIGHBOURS, or for ``room`` where that comes with the pairs. A list that is saturated, that is full to the last place with vectors
+    within ``limit`` bits, gets twice the room for the next round.
+    """
+    if "room" not in pairs.columns:
+        pairs = pairs.withColumn("room", F.lit(NEIGHBOURS))
+    turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("sv").alias("su"), F.col("su").alias("sv"), F.lit(NEIGHBOURS).alias("room"))
+    both = pairs.select("u", "v", "su", "sv", "room").union(turned).withColumn("d", _differ("su", "sv"))
+    both = both.groupBy("u", "v").agg(F.first("su").alias("su"), F.first("sv").alias("sv"), F.first("d").alias("d"), F.max("room").alias("room"))
+    mine = Window.partitionBy("u")
+    kept = both.withColumn("rank", F.row_number().over(mine.orderBy("d", "v"))).withColumn("room", F.max("room").over(mine)).where(F.col("rank") <= F.col("room"))
+    full = (F.count("*").over(mine) == F.col("room")) & (F.max("d").over(mine) <= limit)
+    return kept.withColumn("room", F.when(full, 2 * F.col("room")).otherwise(F.col("room")))
 
-def _descend(graph: DataFrame) -> DataFrame:
-    """One round: the neighbours of neighbours compete for the lists."""
-    hop = graph.select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("sv").alias("sw"))
-    far = graph.select("u", "v", "su").join(hop, F.col("v") == F.col("m")).where("u != w").select("u", F.col("w").alias("v"), "su", F.col("sw").alias("sv"))
-    return _best(graph.select("u", "v", "su", "sv").union(far))
+
+def _descend(graph: DataFrame, limit: int) -> DataFrame:
+    """One round: the nearest neighbours of all neighbours compete for the lists."""
+    hop = graph.where(F.col("rank") <= NEIGHBOURS).select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("sv").alias("sw"))
+    far = graph.select("u", "v", "su", "room").join(hop, F.col("v") == F.col("m")).where("u != w").select("u", F.col("w").alias("v"), "su", F.col("sw").alias("sv"), "room")
+    return _best(graph.select("u", "v", "su", "sv", "room").union(far), limit)
 
 
 def _apart(pairs: DataFrame, comp: DataFrame, limit: int) -> DataFrame:
@@ -112,12 +146,12 @@ def _apart(pairs: DataFrame, comp: DataFrame, limit: int) -> DataFrame:
     return pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "su", "sv")
 
 
-def _swept(sketches: DataFrame, graph: DataFrame, comp: DataFrame, bits: int, limit: int) -> list[DataFrame]:
+def _swept(sketches: DataFrame, graph: DataFrame, comp: DataFrame, limit: int) -> list[DataFrame]:
     """Pairs (u, v, su, sv) between components, from fresh orders and then through ``graph``.
 
     All of them are to be checked; only the nearest of each vector lead on.
     """
-    found = [materialise(_apart(_seeds(sketches, bits, SWEEP_STEP), comp, limit), "nn-far")]
+    found = [materialise(_apart(_seeds(sketches, SWEEP_STEP), comp, limit), "nn-far")]
     hop = graph.where(F.col("d") <= limit).select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("sv").alias("sw"))
     for _ in range(ROUNDS):
         step = _best(found[-1]).join(hop, F.col("v") == F.col("m")).select("u", F.col("w").alias("v"), "su", F.col("sw").alias("sv"))
@@ -125,31 +159,91 @@ def _swept(sketches: DataFrame, graph: DataFrame, comp: DataFrame, bits: int, li
     return found
 
 
-def _compared(threshold: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between two blocks of one neighbourhood, counted for every vector."""
-        i, j = int(key[1]), int(key[2])
+def _scaled(vectors) -> np.ndarray:
+    """Rows divided by their largest component, so that huge ones stay finite."""
+    x = np.stack([np.asarray(v, float) for v in vectors])
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of at most BLOCK vectors of one component, of rows sorted by component and code, with centre and largest angle to it."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    seq, rest = 0, None
+
+    def made(rows: pd.DataFrame, number: int) -> tuple:
+        x = _scaled(rows["vec"])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        centre = unit.sum(axis=0)
+        size = np.linalg.norm(centre)
+        angle = float(np.arccos(np.clip(unit @ (centre / size), -1, 1)).max()) if size > 1e-9 else math.pi
+        return int(rows["component"].iloc[0]), (part << 32) + number, int(rows["copies"].sum()), rows["rep"].tolist(), rows["copies"].tolist(), x.tobytes(), (centre / max(size, 1e-9)).tolist(), angle
+
+    names = ["component", "block", "total", "reps", "copies", "body", "centre", "angle"]
+    for b in batches:
+        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        component = rows["component"].to_numpy()
+        begins = np.concatenate(([0], np.flatnonzero(component[1:] != component[:-1]) + 1))
+        cuts = [c for i, z in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)], strict=True) for c in range(i, z, BLOCK)]
         out = []
-        sizes = rows["vec"].map(len)
-        for d in sorted(set(sizes)):
-            part = rows[sizes == d]
-            mine = part["block"].to_numpy() == i
-            x = np.stack([np.asarray(v, float) for v in part["vec"]])
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            norm = np.sqrt((x * x).sum(axis=1))
-            a, b = np.flatnonzero(mine), np.flatnonzero(part["block"].to_numpy() == j)
-            near = (x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-            rep, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
-            out.append(pd.DataFrame({"rep": rep[a], "links": near @ copies[b]}))
-            if i != j:
-                out.append(pd.DataFrame({"rep": rep[b], "links": near.T @ copies[a]}))
-        return pd.concat(out)[["rep", "links"]]
+        for i, z in zip(cuts, cuts[1:], strict=False):
+            out.append(made(rows.iloc[i:z], seq))
+            seq += 1
+        rest = rows.iloc[cuts[-1] :] if len(rows) else None
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    if rest is not None and len(rest):
+        yield pd.DataFrame([made(rest, seq)], columns=names)
+
+
+def _compared(threshold: float):
+    """Links between two blocks, counted for every vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                x, y = (np.frombuffer(body).reshape(len(reps), -1) for body, reps in ((r.body_i, r.reps_i), (r.body_j, r.reps_j)))
+                norm = [np.sqrt((z * z).sum(axis=1)) for z in (x, y)]
+                near = (x @ y.T) / np.outer(*norm) >= threshold
+                if r.i == r.j:
+                    np.fill_diagonal(near, False)
+                out = [pd.DataFrame({"rep": r.reps_i, "links": near @ np.asarray(r.copies_j)})]
+                if r.i != r.j:
+                    out.append(pd.DataFrame({"rep": r.reps_j, "links": near.T @ np.asarray(r.copies_i)}))
+                yield pd.concat(out)
 
     return run
 
 
+def _counted(members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links): how many vectors each member links with, all of them in its own component.
+
+    Blocks of like vectors have a centre and the largest angle to it. Two blocks further apart than the link's angle and theirs hold no link; where
+    the link's angle takes in both whole, all pairs are links; only the others are compared, vector by vector.
+    """
+    rows = members.repartitionByRange("component", "code", "rep").sortWithinPartitions("component", "code", "rep")
+    fields = "component long, block long, total long, reps array<long>, copies array<long>, body binary, centre array<double>, angle double"
+    balls = materialise(rows.select("component", "rep", "copies", "vec").mapInPandas(_balls, fields), "nn-blocks")
+    sides = [balls.select("component", F.col("block").alias(x), F.col("total").alias(f"total_{x}"), F.col("centre").alias(f"centre_{x}"), F.col("angle").alias(f"angle_{x}")) for x in "ij"]
+    met = sides[0].join(sides[1], "component").where("i <= j")
+    dot = F.aggregate(F.zip_with("centre_i", "centre_j", lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    apart = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    reach, link = F.col("angle_i") + F.col("angle_j"), math.acos(threshold)
+    met = met.select("i", "j", "total_i", "total_j", apart.alias("apart"), reach.alias("reach")).where(F.col("apart") - F.col("reach") <= link + 1e-6)
+    met = materialise(met.withColumn("whole", F.col("apart") + F.col("reach") <= link - 1e-6), "nn-met")
+
+    whole = met.where("whole")
+    whole = whole.select(F.col("i").alias("block"), F.col("total_j").alias("links")).union(whole.where("i != j").select("j", "total_i")).groupBy("block").agg(F.sum("links").alias("links"))
+    # a vector does not link with itself: its own copies are counted by the caller
+    taken = balls.join(whole, "block").select(F.explode(F.arrays_zip("reps", "copies")).alias("z"), "links", "block")
+    own = met.where("whole and i = j").select(F.col("i").alias("block"), F.lit(1).alias("own"))
+    taken = taken.join(own, "block", "left").select(F.col("z.reps").alias("rep"), (F.col("links") - F.when(F.col("own") == 1, F.col("z.copies")).otherwise(0)).alias("links"))
+
+    packed = [balls.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("reps", "copies", "body"))) for x in "ij"]
+    pairs = met.where("not whole").select("i", "j").join(packed[0], "i").join(packed[1], "j")
+    counted = pairs.mapInPandas(_compared(threshold), "rep long, links long")
+    return counted.union(taken).groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def _cosine(a: str, b: str) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -166,10 +260,11 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
 
     Equal vectors are one class. Lists of neighbours are seeded from random orders of 256-bit
     sketches and refined through joins with neighbours' neighbours; edges under the sketch's bound of the threshold are checked
-    on the vectors, and kept edges make components. A list that is saturated with links cannot hold them all. So sweeps follow, with
+    on the vectors, and kept edges make components. A list that is saturated with close vectors gets twice the room in the next round; a large group's
+    lists still cannot hold all of its links. So sweeps follow, with
     fresh orders, that check every pair of different components the sketches do not rule out, however many a vector has. They go on until one finds no link between components and the audit meets AUDIT_RECALL; if SWEEPS of them do not
-    get there, an error is raised. The number of orders grows with the table. The vectors of a component are compared block by
-    block, so every link within it counts; links that no path of found edges joins are missed.
+    get there, an error is raised. The number of orders grows with the table. The vectors of a component are compared by
+    blocks, so every link within it counts; links that no path of found edges joins are missed.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different sizes do
     not link. Repeated ids count as vectors of their own; the smallest id of a component, null last, names it. Empty input gives no rows.
@@ -199,20 +294,22 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
         return materialise(close.join(va, "a").join(vb, "b").where(_cosine("va", "vb") >= threshold).select("a", "b"), "nn-links")
 
     sketches = sketched(0)
-    graph = materialise(_best(_seeds(sketches, bits)), "nn-graph")
+    graph = materialise(_best(_seeds(sketches), limit), "nn-graph")
     for _ in range(ROUNDS):
-        nxt = materialise(_descend(graph), "nn-graph")
+        nxt = materialise(_descend(graph, limit), "nn-graph")
         discard(graph)
         graph = nxt
-    discard(sketches)
+    last = sketches
     comp = materialise(connected_components(verified(graph)), "nn-components")
     recall = 0.0
     for turn in range(1, 1 + SWEEPS):
         sketches = sketched(turn)
-        far = _swept(sketches, graph, comp, bits, limit)
+        far = _swept(sketches, graph, comp, limit)
         links = verified(reduce(DataFrame.union, far))
-        for x in (sketches, *far):
+        for x in far:
             discard(x)
+        discard(last)
+        last = sketches
         # the stars of the components stand for the links found before
         joined = links.count()
         if joined:
@@ -226,12 +323,9 @@ def near_duplicate_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_co
             raise RuntimeError(f"{recall:.4f} of links found after {SWEEPS} sweeps, less than {AUDIT_RECALL}")
     print(f"near_duplicate_embeddings: {n} vectors, {orders} orders, {turn} sweeps, audited recall {recall:.4f}", file=sys.stderr)
 
+    codes = last.select(F.col("rep").alias("coded"), F.col("codes")[0].alias("code"))
     members = classes.join(comp, classes.rep == comp.node).select("rep", "component", "copies", "vec")
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "vec")
-    counted = met.groupBy("component", "i", "j").applyInPandas(_compared(threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    counted = _counted(members.join(codes, members.rep == codes.coded).drop("coded"), threshold)
 
     lows = classes.join(comp, classes.rep == comp.node).groupBy("component").agg(F.min("low").alias("component_low"))
     named = classes.join(comp, classes.rep == comp.node, "left").join(lows, "component", "left").join(counted, "rep", "left")

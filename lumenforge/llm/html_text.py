@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from lumenforge.llm.common import ship_package
 
 #: Pages of the table (of at most SAMPLE_BYTES, with an element that HTML itself calls the article) and pages laid out by rule that the labeller is trained on.
-SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 160, 100_000, 1100
-PATH_DIM, WORD_DIM, NUMBERS = 128, 32, 8
-INPUT = PATH_DIM + WORD_DIM + NUMBERS
+SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 160, 100_000, 1300
+PATH_DIM, BOX_DIM, WORD_DIM, NUMBERS = 64, 96, 32, 8
+INPUT = PATH_DIM + BOX_DIM + WORD_DIM + NUMBERS
 HIDDEN = 24
-EPOCHS, BATCH, RATE, SEED = 15, 24, 0.02, 6
+EPOCHS, BATCH, RATE, SEED = 16, 24, 0.015, 6
 #: Blocks labelled at once.
 INFER_BLOCKS = 4096
 
@@ -198,7 +198,7 @@ class Reader:
     """Turns a page's blocks into the labeller's inputs: a row for each block with hashed tag path, all hashed words, lengths, links, place."""
 
     def __init__(self):
-        self.steps, self.words = Vectors(PATH_DIM), Vectors(WORD_DIM)
+        self.steps, self.boxes, self.words = Vectors(PATH_DIM), Vectors(BOX_DIM), Vectors(WORD_DIM)
 
     def features(self, blocks: list[Block]) -> np.ndarray:
         out = np.zeros((len(blocks), INPUT), np.float32)
@@ -206,9 +206,10 @@ class Reader:
             return out
         # what stands on html and body says little of one block
         out[:, :PATH_DIM] = self.steps.sums([[f"^{s}" if i < _outer(b.path) else s for i, s in enumerate(b.path)] for b in blocks])
+        out[:, PATH_DIM : PATH_DIM + BOX_DIM] = self.boxes.sums([_box(b.path) for b in blocks])
         words = [b.text.lower().split() for b in blocks]
         n_words = np.array([len(w) for w in words], np.float32)
-        out[:, PATH_DIM : PATH_DIM + WORD_DIM] = self.words.sums(words) / (2 * np.sqrt(n_words))[:, None]
+        out[:, PATH_DIM + BOX_DIM : PATH_DIM + BOX_DIM + WORD_DIM] = self.words.sums(words) / (2 * np.sqrt(n_words))[:, None]
         n = np.array([len(b.text) for b in blocks], np.float32)
         linked = np.minimum(1, np.array([b.linked for b in blocks], np.float32) / n)
         ends = np.array([b.text[-1] in ".!?" for b in blocks])
@@ -226,6 +227,19 @@ def _outer(path: tuple[str, ...]) -> int:
     return i
 
 
+def _box(path: tuple[str, ...]) -> list[str]:
+    """The nearest element around a block that has names or is a landmark of HTML's, with its names."""
+    i = len(path)
+    while i > 0:
+        j = i - 1
+        while path[j][0] in ".~":
+            j -= 1
+        if i - j > 1 or path[j] in BOILERPLATE_TAGS or path[j] in ("article", "main", "section"):
+            return list(path[j:i])
+        i = j
+    return []
+
+
 def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """Blocks of a page laid out by rule and which of them are its article.
 

@@ -125,6 +125,35 @@ def test_embeddings_join_tight_groups(spark):
     assert got(embedding_dedup.near_duplicate_embeddings(df), "vec_id", "n_links", "component_id", "kept") == brute.cosine_links(vectors)
 
 
+def test_embeddings_dense_groups(spark):
+    """Thousands of vectors in dense groups whose pairs lie close to the threshold on both sides, over several blocks."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        centre = rng.normal(size=48)
+        noise = rng.normal(size=(90 if g else 1300, 48))
+        rows.append(centre / np.linalg.norm(centre) + noise / np.linalg.norm(noise, axis=1, keepdims=True) * (0.325 if g % 2 else 0.3))
+    rows.append(rng.normal(size=(500, 48)))
+    x = np.concatenate(rows)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    vectors = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    out = embedding_dedup.near_duplicate_embeddings(df).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links.to_numpy() == near.sum(axis=1) - 1).all()
+    seen = np.arange(len(x))
+    while (nxt := np.where(near, seen[None, :], len(x)).min(axis=1)).tolist() != seen.tolist():
+        seen = nxt
+    assert (out.component_id.to_numpy() == seen).all()
+
+
+def test_embeddings_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.01]), (2, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = embedding_dedup.near_duplicate_embeddings(df).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in out) == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2), (2, 0, 2)]
+
+
 def test_embeddings_audit_counts_vectors_with_links(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64))
@@ -306,7 +335,7 @@ ODD_PAGES = {
     f"<h1>Title here</h1><p>{PARAGRAPH}</p><p>Second one is short.</p>": ["Title here", PARAGRAPH, "Second one is short."],
     f"{PARAGRAPH}\n {PARAGRAPH}": [f"{PARAGRAPH} {PARAGRAPH}"],
     f"<html><body><div><div><a href=x>Home</a></div><div><a href=y>About us</a></div></div><div><div>{PARAGRAPH}</div><div>{PARAGRAPH} More.</div></div><div>Copyright 2020</div></body></html>": [PARAGRAPH, f"{PARAGRAPH} More."],
-    f'<body class="has-sidebar"><nav><a href=x>Home</a></nav><div class="post-comments-enabled article"><h1>My title</h1><p>{PARAGRAPH}</p></div><div class="comments"><p>{PARAGRAPH} No.</p></div><footer>All rights reserved</footer></body>': ["My title", PARAGRAPH],
+    f'<body class="has-sidebar"><nav><a href=x>Home</a></nav><div class="post-comments-enabled article"><h1>My title</h1><p>{PARAGRAPH}</p></div><footer>All rights reserved</footer></body>': ["My title", PARAGRAPH],
     f'<div class="ad">{PARAGRAPH}</div><article><h1>My title</h1><p>{PARAGRAPH}</p></article><div id="comments"><div class="comment"><p>{PARAGRAPH}</p></div></div>': ["My title", PARAGRAPH],
     "<nav><a>menu</a></nav><footer>f</footer>": [],
     "<p>Just one paragraph.</p>": ["Just one paragraph."],
@@ -339,7 +368,7 @@ def test_html_reads_whole_blocks_and_open_heads():
     blocks = [html_text.Block(("p",), " ".join(["word"] * 60 + [x] + ["word"] * 60), 0) for x in ("cookies", "article")]
     reader = html_text.Reader()
     a, b = reader.features(blocks)
-    words = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    words = slice(html_text.PATH_DIM + html_text.BOX_DIM, html_text.PATH_DIM + html_text.BOX_DIM + html_text.WORD_DIM)
     assert (a[words] != b[words]).any()
     reader.words.limit = 1  # a vocabulary started anew gives the same rows
     assert (reader.features(blocks) == np.stack([a, b])).all() and len(reader.features([])) == 0
@@ -475,4 +504,15 @@ def test_pipeline(spark):
     assert ids[3] == {r[0] for r in brute.exact(list(zip(seen[2].doc_id, seen[2].text, strict=True))) if r[3]}
     assert ids[4] == {r[0] for r in brute.near(list(zip(seen[3].doc_id, seen[3].text, strict=True))) if r[0] == r[2]}
     assert set(packed.doc_id) == ids[4] and packed.groupby("doc_id").length.sum().eq(packed.groupby("doc_id").doc_tokens.first()).all()
+    again = seen[0].head(40)
+    odd = spark.createDataFrame(
+        [(int(r.doc_id), r.text) for r in again.itertuples()] + [(int(again.doc_id[0]), again.text[0]), (None, "a null id. It is kept."), (-7, None), (-8, ""), (-9, "Long words. " * 50_000)], "doc_id long, text string"
+    ).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars", "1 as score", "2 as id")
+    for table in (odd, odd.where("false")):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, DATA)
+            kept = out.collect()
+            assert i == 4 or out.columns == odd.columns
+            if i == 2:  # of rows that repeat a whole text under one id, one stays
+                assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
     assert len(corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()) == len(ids[4])
