@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row it gets and returns a DataFrame;
 the runner writes it as Parquet and reads it back as the next stage's ``docs``. All but the last return the columns of ``documents``.
+The classifiers carry rows along with their scores, so that no text is shuffled for a verdict.
+
+Null and empty texts are judged as empty texts, null ids pass the classifiers and the duplicate stages like other ids. Rows with one doc_id are judged each by
+its own text; rows that repeat both are one document, of which one row stays. Empty tables and further columns pass through.
 """
 
 from __future__ import annotations
@@ -10,36 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.llm import exact_dedup, packing, quality, simhash, toxicity
-from lumenforge.llm.common import materialise, read_table
+from lumenforge.llm.common import ascii_lower, materialise, read_table
 from lumenforge.llm.queries import tokenizer_path
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep``, which must be short of text; a null id matches a null id."""
-    k = keep.select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(k, docs.doc_id.eqNullSafe(k._k), "left_semi")
+def _scored(scored: DataFrame, docs: DataFrame, condition: str) -> DataFrame:
+    """The rows of ``docs`` whose score meets ``condition``."""
+    return scored.where(condition).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.classify(docs, read_table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 1"))
+    return _scored(quality.scored_rows(docs, read_table(spark, sf_dir, "labels")), docs, "score >= 0.5")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not call toxic."""
-    scored = toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 0"))
+    return _scored(toxicity.scored_rows(docs, read_table(spark, sf_dir, "labels")), docs, f"score < {toxicity.THRESHOLD}")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Of equal texts, the row with the largest doc_id; of rows that repeat it whole, one."""
+    def key(i):
+        return F.xxhash64(i, i.isNull())
+
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(key(F.col("doc_id")).alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    mine = docs.withColumns({"_id": key(docs.doc_id), "_sha": F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))})
+    # rows that repeat both lie together after the join and need no further exchange
+    return mine.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by SimHash, the one with the smallest doc_id."""
-    return _only(docs, simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    kept = simhash.simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept._k), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
