@@ -20,9 +20,9 @@ from lumenforge.llm.common import scratch_path
 _HEAD = struct.Struct("<2sIQ")
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays, split into byte planes, and byte strings, compressed one by one."""
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=level)
     out = []
     for a in arrays:
         if isinstance(a, bytes):

@@ -14,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenforge.llm.blocks import Shelf, by_shard, pack, unpack
+from lumenforge.llm.blocks import Shelf, by_shard, narrow, pack, unpack
 from lumenforge.llm.common import ship_package
 
 MARK = "▁"
 #: Chunks of a block, and of the corpus for each owner of a part of the table; what a task holds follows from them.
-BLOCK_CHUNKS, SHARD_CHUNKS = 1 << 20, 1 << 22
+BLOCK_CHUNKS, SHARD_CHUNKS, ZSTD = 1 << 21, 1 << 22, 3
 
 
 class PieceModel:
@@ -91,7 +91,7 @@ def _chunked(block_chunks: int):
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             text, lengths = _joined([words[i] for i in order])
-            body = pack(np.array([len(s) for s in streams], np.uint32), text, lengths, place[at])
+            body = pack(np.array([len(s) for s in streams], np.uint32), text, narrow(lengths), narrow(place[at]), level=ZSTD)
             return pd.DataFrame({"block": [(part << 32) + seq], "n_chunks": [size], "ids": [ids], "body": [body]})
 
         for b in batches:
@@ -121,7 +121,7 @@ def _asked(shards: int):
             for block, body in zip(b["block"], b["body"], strict=True):
                 _, text, lengths, _ = unpack(body)
                 words = _parted(text, lengths)
-                out = [(s, block, pack(b"".join([words[i] for i in p.tolist()]), lengths[p])) for s, p in by_shard(_keys(words), shards)]
+                out = [(s, block, pack(b"".join([words[i] for i in p.tolist()]), lengths[p], level=ZSTD)) for s, p in by_shard(_keys(words), shards)]
                 yield pd.DataFrame(out, columns=["shard", "block", "body"])
 
     return run
@@ -132,16 +132,16 @@ def _segmented(path: str):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         model = PieceModel(path)
-        table: dict[bytes, tuple[str, int, bool]] = {}
+        table: dict[bytes, tuple[bytes, int, bool]] = {}
         out = []
         for block, body in zip(rows["block"], rows["body"], strict=True):
             asked = _parted(*unpack(body))
             for w in asked:
                 if w not in table:
                     own, back = model.segment(w.decode("utf-8", "surrogatepass"))
-                    table[w] = " ".join(map(str, own)), len(own), back
+                    table[w] = np.array(own, np.uint32).tobytes(), len(own), back
             ids, counts, back = zip(*map(table.__getitem__, asked), strict=True)
-            out.append((int(block), int(key[0]), pack("\n".join(ids).encode(), np.array(counts, np.uint32), np.flatnonzero(~np.array(back)))))
+            out.append((int(block), int(key[0]), pack(narrow(np.frombuffer(b"".join(ids), np.uint32)), narrow(np.array(counts, np.uint32)), np.flatnonzero(~np.array(back)), level=ZSTD)))
         return pd.DataFrame(out, columns=["block", "shard", "body"])
 
     return run
@@ -160,8 +160,9 @@ def _texts(path: str, shards: int, eos: int, blocks: pd.DataFrame, answers: pd.D
     for s, p in by_shard(_keys(raw), shards):
         own, n, changed = unpack(told[s])
         count[p] = n
-        for i, x in zip(p.tolist(), own.decode().split("\n"), strict=True):
-            ids[i] = x
+        told_ids, ends = list(map(str, own.tolist())), np.cumsum(n, dtype=np.int64).tolist()
+        for i, a, z in zip(p.tolist(), [0, *ends[:-1]], ends, strict=True):
+            ids[i] = " ".join(told_ids[a:z])
         same[p[changed]] = False
     end = 0
     for doc, n in zip(blocks["ids"].iloc[0], sizes.tolist(), strict=True):
