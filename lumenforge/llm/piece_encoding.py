@@ -19,7 +19,7 @@ from lumenforge.llm.common import ship_package
 
 MARK = "▁"
 #: Chunks of a block, and of the corpus for each owner of a part of the table; what a task holds follows from them.
-BLOCK_CHUNKS, SHARD_CHUNKS, ZSTD = 1 << 21, 1 << 22, 3
+BLOCK_CHUNKS, SHARD_CHUNKS, ZSTD = 3 << 20, 1 << 22, 4
 
 
 class PieceModel:
