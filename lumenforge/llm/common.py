@@ -61,17 +61,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _WRITTEN.append(path)
     return out
 
 
+#: Paths of the tables that this process has written and not discarded.
+_WRITTEN: list[str] = []
+
+
+def written() -> set[str]:
+    """The scratch tables there are; what a call adds to them is its own to ``discard_paths``."""
+    return set(_WRITTEN)
+
+
+def discard_paths(spark: SparkSession, paths: set[str]) -> None:
+    """Delete scratch tables; no DataFrame over them must be read afterwards."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths & set(_WRITTEN):
+        p = hadoop.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote for ``df``; it must not be read afterwards."""
-    path = getattr(df, "_scratch", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    discard_paths(df.sparkSession, {getattr(df, "_scratch", "")})
 
 
 def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataFrame:
