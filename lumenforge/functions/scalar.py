@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +37,19 @@ def normalize_name(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, "\\s+", " ")))
 
 
+def _accented() -> tuple[str, str]:
+    """Latin letters that Unicode decomposes into an ASCII letter and marks, and those letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0].lower()) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])]
+    kept = [(c, d) for c, d in pairs if d != c and d.isascii() and d.isalpha()]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+_ACCENTED, _PLAIN = _accented()
+
+
 def fold(x: Column) -> Column:
-    """Lower case without Latin diacritics, other characters as single spaces."""
-    plain = F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without Latin diacritics (composed or as combining marks), other characters as single spaces."""
+    plain = F.translate(F.regexp_replace(F.lower(x), "[\\u0300-\\u036f]", ""), _ACCENTED, _PLAIN)
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -20,11 +20,11 @@ def audit(taken: DataFrame, members: DataFrame, needs: DataFrame, exclusions: Da
     first = taken.select(person, "course").distinct().join(members.select("program", "grp", "course").distinct(), "course")
     bars = exclusions.select("program", "grp", F.col("other")).where("grp <> other").distinct()
     used = first.select(person, "program", F.col("grp").alias("other"), "course")
-    spent = used.join(F.broadcast(bars), ["program", "other"]).select(person, "program", "grp", "course").distinct().withColumn("_spent", F.lit(1))
+    spent = used.join(bars, ["program", "other"]).select(person, "program", "grp", "course").distinct().withColumn("_spent", F.lit(1))
     marked = first.join(spent, [person, "program", "grp", "course"], "left")
     counts = marked.groupBy(person, "program", "grp").agg(F.count_if(F.col("_spent").isNull()).alias("matched"), F.count("_spent").alias("spent"))
     status = F.when(F.col("matched") >= F.col("need"), "met").when(F.col("matched") > 0, "partial").otherwise("unmet")
-    return counts.join(F.broadcast(needs), ["program", "grp"]).select(person, "program", "grp", "matched", "spent", status.alias("status"))
+    return counts.join(needs, ["program", "grp"]).select(person, "program", "grp", "matched", "spent", status.alias("status"))
 
 
 def exclusion_keys(groups: DataFrame, exclusions: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at files in the folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """Cut the lineage at files in the folder of spark.checkpoint.dir (a temporary one only on a local master that has none)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenforge-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumenforge-"))
     return df.checkpoint()
 
 
@@ -55,4 +58,4 @@ def min_label_components(edges: DataFrame, a: str, b: str, max_rounds: int = 30)
         if nxt.exceptAll(lab).isEmpty():
             return nxt
         lab = nxt
-    return lab
+    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

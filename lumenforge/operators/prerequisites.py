@@ -7,6 +7,7 @@ Statuses are numbers, 0 unmet, 1 unknown, 2 met, so that ``all`` is the least of
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,47 +34,42 @@ PARSED = T.StructType(
 )
 
 
+def _scanner(courses: bool, bare: bool) -> re.Pattern:
+    """One pattern for all that a text is made of; courses only where they are looked for, bare numbers only next to a subject."""
+    kinds = {"mark": r"[(),;/]"}
+    if courses:
+        kinds["full"] = rf"(?!(?:{'|'.join(sorted(NOT_SUBJECTS))})\s)(?:{QUALIFIED.pattern})"
+    if courses and bare:
+        kinds["short"] = BARE.pattern
+    kinds["word"] = r"[^\s(),;/]+"
+    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in kinds.items()))
+
+
+_SCANNERS = {(c, b): _scanner(c, b) for c in (False, True) for b in (False, True)}
+
+
+def _piece(m: re.Match, said: str, subject: str | None) -> tuple[str, str, str]:
+    """(kind, value, label) of one match; ``said`` is how the text has it."""
+    if m.lastgroup == "mark":
+        return (said if said in "()" else "or"), said, said
+    if m.lastgroup == "word":
+        plain = said.lower().rstrip(".")
+        return (plain, plain, plain) if plain in ("and", "or") else ("prose", said, said)
+    name, before, digits, after = QUALIFIED.match(m[0]).groups() if m.lastgroup == "full" else (subject, *BARE.match(m[0]).groups())
+    return "course", f"{name}{int(digits)}{before or after or ''}", f"{name} {before or ''}{digits}{after or ''}"
+
+
 def _tokens(text: str, subject: str | None) -> list[tuple[str, str, str]]:
-    """(kind, value, label): brackets, connectives, courses and runs of other words."""
-    out, words, upper, at = [], [], text.upper(), 0
-
-    def flush() -> None:
-        run = re.sub(r"\s*[,;.]\s*$", "", " ".join(words)).strip()
-        words.clear()
-        if run:
-            out.append(("advisory", run, run))
-
-    while at < len(text):
-        c, course = text[at], None
-        if c.isspace():
-            at += 1
-            continue
-        if c in "(),;/":
-            flush()
-            out.append((c, c, c) if c in "()" else ("or", c, c))
-            at += 1
-            continue
-        if len(upper) == len(text):
-            m = QUALIFIED.match(upper, at)
-            if m and m[1] not in NOT_SUBJECTS:
-                course = (m[1], m[2], m[3], m[4])
-            elif subject and (m := BARE.match(upper, at)):
-                course = (subject, m[1], m[2], m[3])
-        if course:
-            flush()
-            name, before, digits, after = course
-            out.append(("course", f"{name}{int(digits)}{before or after or ''}", f"{name} {before or ''}{digits}{after or ''}"))
-            at = m.end()
-            continue
-        word = re.compile(r"[^\s(),;/]+").match(text, at)[0]
-        at += len(word)
-        bare = word.lower().rstrip(".")
-        if bare in ("and", "or"):
-            flush()
-            out.append((bare, bare, bare))
-        else:
-            words.append(word)
-    flush()
+    """(kind, value, label): brackets, connectives, courses and, as one advisory each, runs of other words."""
+    upper = text.upper()
+    aligned = len(upper) == len(text)  # some letters have longer capitals
+    found = [_piece(m, text[m.start() : m.end()], subject) for m in _SCANNERS[aligned, bool(subject)].finditer(upper if aligned else text)]
+    out = []
+    for prose, run in groupby(found, key=lambda p: p[0] == "prose"):
+        if not prose:
+            out += run
+        elif words := re.sub(r"\s*[,;.]\s*$", "", " ".join(p[1] for p in run)).strip():
+            out.append(("advisory", words, words))
     return out
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts into which a grid of series and instants is dealt.
+SPREAD = 64
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key in the given order; the order should be total."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -63,8 +67,9 @@ def ranked_earlier(targets: DataFrame, sources: DataFrame, on: Sequence[str], wh
 
 def carry_forward(df: DataFrame, series: str, instant: str, value: str) -> DataFrame:
     """Every series at every instant that any of them has, with its last value so far (null before its first)."""
-    instants = df.select(F.lit(1).alias("_k"), instant).distinct()
-    names = df.select(F.lit(1).alias("_k"), series).distinct()
+    # the grid is the result's own size; instants are dealt to SPREAD tasks, each with all series
+    instants = df.select(instant).distinct().withColumn("_k", F.pmod(F.xxhash64(instant), F.lit(SPREAD)))
+    names = df.select(series).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     grid = names.join(instants, "_k").drop("_k")
     w = Window.partitionBy(series).orderBy(instant).rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(df, [series, instant], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))

@@ -16,7 +16,8 @@ FUZZY_WEIGHTS = (1.0, 0.55, 0.3)
 FUZZY_TERMS = 6
 SEMANTIC_WEIGHT = 12.0
 CODE_BOOST = 250.0
-GROUPS = 32
+#: A query's groups are bits of a long.
+GROUPS = 62
 FOLD_TERMS, FOLD_DOCS = 12, 2048
 
 
@@ -89,12 +90,19 @@ class Group:
     fuzzy: bool = False
 
 
+def _checked(groups: Sequence[Group]) -> list[Group]:
+    groups = list(groups)
+    if len(groups) > GROUPS:
+        raise ValueError(f"a query has {len(groups)} groups; at most {GROUPS} can be told apart")
+    return groups
+
+
 def resolved_terms(vocabulary: DataFrame, groups: Sequence[Group]) -> DataFrame:
     """(grp, term, df, weight): variants the vocabulary (term, df) has, then prefix terms, and fuzzy ones where neither literal nor prefix is found.
 
     A term named twice in a group keeps its first weight. The result has a bounded number of terms a group, whatever the vocabulary's size.
     """
-    spark, groups = vocabulary.sparkSession, list(groups)[:GROUPS]
+    spark, groups = vocabulary.sparkSession, _checked(groups)
     named = spark.createDataFrame([(g, i, t, float(w)) for g, x in enumerate(groups) for i, (t, w) in enumerate(x.variants)], "grp int, place int, term string, weight double")
     out = vocabulary.join(F.broadcast(named), "term").select("grp", "place", "term", "df", "weight")
     place = max((len(x.variants) for x in groups), default=0)
@@ -115,7 +123,7 @@ def ranked(post: DataFrame, groups: Sequence[Group], codes: Sequence[str] = ())
     Every group whose literal weighs 1 and that found a term must hit, unless a code does; a query that finds nothing has no rows. The index is
     read for its term counts, its lengths and the hits; only resolved terms and two totals are broadcast.
     """
-    groups = list(groups)[:GROUPS]
+    groups = _checked(groups)
     vocabulary = post.groupBy("term").agg(F.count("*").alias("df"))
     terms = resolved_terms(vocabulary, groups)
     totals = post.groupBy("doc").agg(F.first("doc_length").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))

@@ -94,7 +94,7 @@ def t8_aligned_series(spark, t):
     f = e.where("value >= 50").groupBy("event_type").agg(F.min("ts").alias("anchor"))
     g = f.agg(F.min("anchor").alias("live"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return e.join(F.broadcast(f), "event_type").join(F.broadcast(g)).select("event_id", "event_type", (us("ts") - us("anchor") + us("live")).alias("aligned_us"))
+    return e.join(f, "event_type").join(F.broadcast(g)).select("event_id", "event_type", (us("ts") - us("anchor") + us("live")).alias("aligned_us"))
 
 
 @query("""

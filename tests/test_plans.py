@@ -55,3 +55,12 @@ def test_lanes_do_not_overlap(spark):
         for _, lane in g.groupby("lane"):
             assert (lane.s.to_numpy()[1:] >= lane.e.to_numpy()[:-1]).all()
         assert (g.lane < g.lane_count).all()
+
+
+def test_fold_decomposes_latin_letters(spark):
+    from pyspark.sql import functions as F
+
+    from lumenforge.functions import scalar
+
+    row = spark.createDataFrame([("ő ž İ naïve ñandú Ệ e\u0301x",)], "x string").select(scalar.fold(F.col("x"))).first()
+    assert row[0] == "o z i naive nandu e ex"
