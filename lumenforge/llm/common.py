@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -93,7 +94,7 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataF
 
     ``run`` gets an iterator over lists of texts (nulls included) and yields, for each, the arrays of the new columns.
     """
-    names = [f.split()[0] for f in fields.split(", ")]
+    names = re.findall(r"(?:^|, )(\w+) ", fields)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -107,7 +108,7 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataF
         for new in run(texts()):
             b = held.pop()
             kept = [n for n in b.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(x) for x in new)], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], [*kept, *names])
 
     own = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), fields])
