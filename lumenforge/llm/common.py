@@ -89,8 +89,8 @@ def discard(df: DataFrame) -> None:
     discard_paths(df.sparkSession, {getattr(df, "_scratch", "")})
 
 
-def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataFrame:
-    """``docs`` with the columns ``fields``, computed from whole texts; all other columns pass through as they are.
+def with_text_columns(docs: DataFrame, text_col: str, fields: str, run, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the columns ``fields``, computed from whole texts; the columns ``keep``, else all, pass through as _0, _1, ...
 
     ``run`` gets an iterator over lists of texts (nulls included) and yields, for each, the arrays of the new columns.
     """
@@ -110,8 +110,9 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: str, run) -> DataF
             kept = [n for n in b.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], [*kept, *names])
 
-    own = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), fields])
+    keep = docs.columns if keep is None else keep
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))
+    schema = ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), fields])
     return own.mapInArrow(columns, schema)
 
 

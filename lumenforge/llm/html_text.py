@@ -505,9 +505,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("x"))
     kind = rows.schema["id"].dataType.simpleString()
     # ids first: no long page moves for the choice of the sample
-    ids = [r[0] for r in rows.select("id", F.octet_length("x").alias("n")).where(F.col("n") <= SAMPLE_BYTES).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()]
-    chosen = spark.createDataFrame([(i,) for i in sorted({i for i in ids if i is not None})], f"id {kind}")
-    sample = sorted({r[0] or "" for r in rows.join(F.broadcast(chosen), "id").select("x").collect()})
+    short = rows.where((F.octet_length("x") <= SAMPLE_BYTES) & F.col("id").isNotNull())
+    ids = short.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()
+    chosen = spark.createDataFrame([(r[0],) for r in ids], f"id {kind}")
+    # of an id with several pages one trains
+    sample = sorted({r[1] for r in short.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("x")).collect()})
     model = spark.sparkContext.broadcast(train_labeller(sample).p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

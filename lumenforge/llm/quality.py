@@ -195,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))
-    stats = materialise(with_text_columns(rows, "x", "stats array<double>", _statistics).select(F.col("_0").alias("id"), "stats"), "quality-stats")
+    stats = materialise(with_text_columns(rows, "x", "stats array<double>", _statistics, ["id"]).withColumnRenamed("_0", "id"), "quality-stats")
     model = fit(stats, labels, label_col, id_col)
 
     def scored(batches):

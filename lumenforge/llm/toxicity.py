@@ -101,7 +101,7 @@ PAD = max(WIDTHS) - 1
 
 
 def _stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents with padding before, between and behind them; where each begins and ends."""
+    """Documents with padding before, between and behind them, one more at the end so that every bound is a window; where each begins and ends."""
     gap = np.zeros(PAD, np.int64)
     parts, at, begins, ends = [gap], PAD, [], []
     for d in docs:
@@ -109,19 +109,24 @@ def _stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         begins.append(at)
         ends.append(at + len(d))
         at += len(d) + PAD
-    return np.concatenate(parts), np.array(begins), np.array(ends)
+    return np.concatenate([*parts, gap[:1]]), np.array(begins), np.array(ends)
 
 
-def _pooled(model: TextCnn, x: np.ndarray, begins: np.ndarray, ends: np.ndarray, positions: bool = False):
-    """The largest response of every filter in each document, and where it is. x: vectors of the stream."""
+def _pooled(model: TextCnn, x: np.ndarray, begins: np.ndarray, ends: np.ndarray, positions: bool = False, head: np.ndarray | bool = True, tail: np.ndarray | bool = True):
+    """The largest response of every filter in each document, and where it is. x: vectors of the stream.
+
+    ``head`` and ``tail`` say which pieces begin and end their texts: only there a window reaches into the padding.
+    """
     best, where = [], []
+    head, tail = (np.broadcast_to(np.asarray(e, np.int64), begins.shape) for e in (head, tail))
     for f, b in zip(model.filters, model.bias, strict=True):
         k = len(f)
         n = len(x) - k + 1
         resp = x[:n] @ f[0]
         for j in range(1, k):
             resp += x[j : j + n] @ f[j]
-        bounds = np.stack([begins - k + 1, np.maximum(ends, begins - k + 2)], axis=1).ravel()
+        low = begins - (k - 1) * head
+        bounds = np.stack([low, np.maximum(ends - (k - 1) * (1 - tail), low + 1)], axis=1).ravel()
         if positions:
             at = np.stack([a + resp[a:z].argmax(axis=0) for a, z in bounds.reshape(-1, 2)])
             where.append(at)
@@ -211,16 +216,18 @@ def _raw(model: TextCnn, batches: Iterator[list[str | None]]) -> Iterator[tuple[
     for b in batches:
         top = np.full((len(b), len(WIDTHS) * FILTERS), -np.inf, np.float32)
         votes = np.zeros((len(b), len(LANGUAGE_WORDS)), np.int64)
-        docs, owners, size = [], [], 0
+        docs, owners, edges, size = [], [], [], 0
 
-        def convolve(docs, owners, top=top, votes=votes):
+        def convolve(docs, owners, edges, top=top, votes=votes):
             stream, begins, ends = _stream(docs)
             vec = vocabulary.vectors()[stream]
-            got, _ = _pooled(model, vec, begins, ends)
+            head, tail = np.array(edges).T
+            got, _ = _pooled(model, vec, begins, ends, head=head, tail=tail)
             np.maximum.at(top, owners, got)
             spoken = vocabulary.spoken[stream]
-            cells = np.repeat(np.array(owners), ends - begins)
-            inside = np.concatenate([np.arange(a, z) for a, z in zip(begins, ends, strict=True)])
+            own = np.minimum(ends, begins + SEGMENT)  # the words behind belong to the next piece as well
+            cells = np.repeat(np.array(owners), own - begins)
+            inside = np.concatenate([np.arange(a, z) for a, z in zip(begins, own, strict=True)])
             lang = spoken[inside]
             np.add.at(votes, (cells[lang >= 0], lang[lang >= 0]), 1)
 
@@ -229,14 +236,15 @@ def _raw(model: TextCnn, batches: Iterator[list[str | None]]) -> Iterator[tuple[
             for s in range(0, max(1, len(words)), SEGMENT):
                 docs.append(vocabulary.numbers(words[s : s + SEGMENT + PAD]))
                 owners.append(i)
+                edges.append((s == 0, s + SEGMENT + PAD >= len(words)))
                 size += len(docs[-1])
                 if size >= SEGMENT:
-                    convolve(docs, owners)
-                    docs, owners, size = [], [], 0
+                    convolve(docs, owners, edges)
+                    docs, owners, edges, size = [], [], [], 0
                     if len(vocabulary) > vocabulary.limit:
                         vocabulary.reset()
         if docs:
-            convolve(docs, owners)
+            convolve(docs, owners, edges)
         logit = np.maximum(top, 0) @ model.out + model.offset
         language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(LANGUAGE_WORDS))
         yield 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(float))), language.astype(np.int32)
@@ -253,8 +261,8 @@ def choose_threshold(negatives: np.ndarray, positives: np.ndarray) -> float:
     return float(np.clip((best[0] + best[-1]) / 2 / BINS, 0.02, 0.98))
 
 
-def scored_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` (its columns as _0, _1, ...) with ``score``: texts are read once and never shuffled. See ``classify``."""
+def scored_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (its columns, or those of ``keep``, as _0, _1, ...; the id among them) with ``score``: texts are never shuffled. See ``classify``."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
@@ -263,16 +271,18 @@ def scored_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id
     y = y.where(~held_out_column(F.col("id"), 3, 1))
     # the sample is chosen by id and length before any text moves
     short = rows.select("id", F.octet_length("x").alias("n")).where(F.coalesce("n", F.lit(0)) <= MAX_BYTES)
-    ids = short.join(y, "id").withColumn("h", F.xxhash64(F.lit(SEED), "id")).where(F.pmod("h", F.lit(CALIBRATE)) != 0)
-    chosen = [r[0] for v in (0, 1) for r in ids.where(F.col("y") == v).orderBy("h", "id").limit(SAMPLE_PER_CLASS).select("id").collect()]
-    picked = spark.createDataFrame([(i,) for i in sorted(set(chosen))], f"id {kind}")
-    sample = rows.join(F.broadcast(picked), "id").join(y, "id").select("id", "x", "y").collect()
-    sample = sorted({(r[0], r[1] or "", r[2]) for r in sample})
+    ids = short.join(y, "id").groupBy("id").agg(F.first("y").alias("y")).withColumn("h", F.xxhash64(F.lit(SEED), "id")).where(F.pmod("h", F.lit(CALIBRATE)) != 0)
+    chosen = [r for v in (0, 1) for r in ids.where(F.col("y") == v).orderBy("h", "id").limit(SAMPLE_PER_CLASS).select("id", "y").collect()]
+    picked = spark.createDataFrame([(r[0],) for r in chosen], f"id {kind}")
+    said = {r[0]: r[1] for r in chosen}
+    # of an id with several texts one trains, so that no more texts reach the driver than were chosen
+    texts = rows.where(F.coalesce(F.octet_length("x"), F.lit(0)) <= MAX_BYTES).withColumn("x", F.coalesce("x", F.lit(""))).join(F.broadcast(picked), "id")
+    sample = sorted((r[0], r[1], said[r[0]]) for r in texts.groupBy("id").agg(F.min("x")).collect())
     model = train([r[1] for r in sample], [r[2] for r in sample]) if sample else TextCnn.fresh(np.random.default_rng(SEED))
     shared = spark.sparkContext.broadcast(model)
 
-    scored = materialise(with_text_columns(docs, text_col, "p double, language int", lambda texts: _raw(shared.value, texts)), "toxicity-raw")
-    own = scored.select(F.col(f"_{docs.columns.index(id_col)}").alias("id"), "p", "language")
+    scored = materialise(with_text_columns(docs, text_col, "p double, language int", lambda texts: _raw(shared.value, texts), keep), "toxicity-raw")
+    own = scored.select(F.col(f"_{(keep or docs.columns).index(id_col)}").alias("id"), "p", "language")
     bins = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
     kept_out = own.join(F.broadcast(picked), "id", "left_anti").join(y, "id")
     counts = kept_out.groupBy("language", bins.alias("bin"), "y").count().collect()
@@ -297,6 +307,6 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     language's threshold is 0.7. Null text counts as empty and gets the score of a text without words; repeated ids are each scored;
     null ids never train. Without labels of both classes the untrained filters score near 0.27. Empty input gives no rows.
     """
-    out = scored_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x")), labels.withColumnRenamed(id_col, "id"), label_col, "id", "x")
+    out = scored_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x")), labels.withColumnRenamed(id_col, "id"), label_col, "id", "x", ["id"])
     held = F.coalesce(held_out_column(F.col("_0"), 3, 1), F.lit(False))
     return out.select(F.col("_0").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -471,10 +471,35 @@ def test_toxicity_segments_and_vocabulary_resets(monkeypatch):
     monkeypatch.setattr(toxicity.Vocabulary.__init__, "__defaults__", (10,))
     parts = next(toxicity._raw(model, iter([texts])))[0]
     np.testing.assert_allclose(whole, parts, atol=1e-5)
+    long = [" ".join(rng.choice(words) for _ in range(n)) for n in (100_000, 40_001, 40_002, 40_003, 7, 8, 9)]
+    scores = []
+    for segment in (1 << 40, 40_000, 9_999):
+        monkeypatch.setattr(toxicity, "SEGMENT", segment)
+        scores.append(next(toxicity._raw(model, iter([long]))))
+    for p, language in scores[1:]:
+        np.testing.assert_allclose(p, scores[0][0], atol=1e-5)
+        assert (language == scores[0][1]).all()
     sizes = [np.zeros(n) for n in (5, 9, 200_000, 3, 3)]
     assert np.concatenate(list(toxicity._batches(np.arange(5), sizes))).tolist() == [0, 1, 2, 3, 4] and max(map(len, toxicity._batches(np.arange(5), sizes))) == 2
 
 
+def test_samples_take_one_row_an_id(spark, monkeypatch):
+    """One id repeated many times, with many texts, sends one of them to the driver."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[i % 3], f"text number {i}") for i in range(10_000)] + [(i, "bad words here" if i % 2 else "good words here") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(len(texts)) or train(texts[:20], y[:20]))
+    assert toxicity.classify(docs, labels).count() == len(rows)
+    assert seen[0] <= len(ids)
+    pages = spark.createDataFrame([(1, "u", f"<p>page {i}</p>") for i in range(10_000)] + [(2, "u", "<p>x</p>")], "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "train_labeller", lambda sample: seen.append(sample) or html_text.BlockLabeller())
+    assert html_text.extract_main_text(pages).count() == 10_001
+    assert len(seen[1]) <= 2
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = np.arange(50.0)
