@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,17 +11,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.llm.common import ship_package
 
 #: Pages of the table (of at most SAMPLE_BYTES, with an element that HTML itself calls the article) and pages laid out by rule that the labeller is trained on.
 SAMPLE_PAGES, SAMPLE_BYTES, SYNTHETIC_PAGES = 160, 100_000, 1300
-PATH_DIM, BOX_DIM, WORD_DIM, NUMBERS = 64, 96, 32, 8
+#: Pages for each boilerplate name, with boxes of that name before, in and behind their article.
+PAGES_A_NAME = 12
+#: Further pages whose markup says nothing of what is what.
+PLAIN_PAGES = 500
+PATH_DIM, BOX_DIM, WORD_DIM, NUMBERS = 64, 192, 96, 8
 INPUT = PATH_DIM + BOX_DIM + WORD_DIM + NUMBERS
 HIDDEN = 24
+#: Labellers that decide together.
+MEMBERS = 3
 EPOCHS, BATCH, RATE, SEED = 16, 24, 0.015, 6
+#: Words of a block that count as said alone.
+SHORT = 6
 #: Blocks labelled at once.
 INFER_BLOCKS = 4096
 
@@ -209,6 +218,7 @@ class Reader:
         out[:, PATH_DIM : PATH_DIM + BOX_DIM] = self.boxes.sums([_box(b.path) for b in blocks])
         words = [b.text.lower().split() for b in blocks]
         n_words = np.array([len(w) for w in words], np.float32)
+        words = [w + ["^" + x for x in w] if len(w) <= SHORT else w for w in words]  # what a word says alone is not what it says in prose
         out[:, PATH_DIM + BOX_DIM : PATH_DIM + BOX_DIM + WORD_DIM] = self.words.sums(words) / (2 * np.sqrt(n_words))[:, None]
         n = np.array([len(b.text) for b in blocks], np.float32)
         linked = np.minimum(1, np.array([b.linked for b in blocks], np.float32) / n)
@@ -240,9 +250,11 @@ def _box(path: tuple[str, ...]) -> list[str]:
     return []
 
 
-def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+def synthetic_page(rng: np.random.Generator, name: str | None = None, plain_page: bool = False) -> tuple[list[Block], np.ndarray]:
     """Blocks of a page laid out by rule and which of them are its article.
 
+    With ``name``, its boxes are of that name and hold prose like the article's; a ``plain_page`` has no telling markup at all.
+
     Pages differ in how they say what is what: by HTML's elements, by names (single, compound, misleading ones on both
     sides), or not at all, as bare or div-only markup and plain text do; then only text, links and place tell.
     """
@@ -279,7 +291,8 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
             out.add("." + some(NEUTRAL_NAMES))
         return sorted(out)
 
-    style = some(["elements", "elements", "names", "names", "both", "none", "none", "bare"])
+    style = some(["elements", "elements", "names", "names", "both", "none", "none", "bare"] if name is None else ["elements", "elements", "names", "both", "none"])
+    style = some(["none", "none", "bare"]) if plain_page else style
     blocks: list[Block] = []
     labels: list[int] = []
     body = () if style == "bare" and rng.random() < 0.3 else ("html", "body", *(misleading() if rng.random() < 0.25 else []))
@@ -289,9 +302,13 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         labels.append(kept)
 
     def boilerplate(base, inside=False):
-        plain = style in ("none", "bare") and not inside
+        plain = style in ("none", "bare") and not inside and name is None
         box: list[str] = []
-        if plain:
+        if name is not None:
+            own = [some(["div", "div", "section", "ul", "p"]), *(["." + name] if rng.random() < 0.6 else sorted({"~" + name, "~" + some([*AROUND_NAMES, *NEUTRAL_NAMES, *CONTENT_NAMES])}))]
+            near = some([n for n in BOILERPLATE_NAMES if n[:4] == name[:4]])
+            box = own + (["div", some([".", "~"]) + near] if rng.random() < 0.35 else [])
+        elif plain:
             box = ["div"] * int(rng.integers(1, 3)) + (["." + some(NEUTRAL_NAMES)] if rng.random() < 0.3 else [])
         elif rng.random() < {"elements": 0.5, "both": 0.5}.get(style, 0.15) * (0.6 if inside else 1):
             box = [some(sorted(BOILERPLATE_TAGS))]
@@ -299,14 +316,14 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
             box = [some(["div", "section", "p", "ul", "span", "aside"]), *compound(BOILERPLATE_NAMES)]
             if rng.random() < 0.2:  # footer-content, sidebar-text
                 box[1:] = sorted({"~" + some(BOILERPLATE_NAMES), "~" + some(CONTENT_NAMES)})
-        kind = some(["links", "links", "short", "phrase"]) if plain else some(["links", "links", "short", "phrase", "prose", "prose"])
+        kind = some(["links", "links", "short", "phrase"]) if plain else some(["links", "links", "short", "phrase", "prose", "prose"] if name is None else ["links", "short", "phrase", "prose", "prose", "prose", "prose"])
         for _ in range(rng.integers(2, 9) if kind == "links" else rng.integers(1, 4)):
             if kind == "links":
                 add((*base, *box, *some([("a",), ("ul", "li"), ("ul", "li"), ()])), some([few(4), some(PHRASES)]), 0, 1.0)
             elif kind == "prose":
                 add((*base, *box, *some([(), ("p",), ("p",), ("div",), ("h3",)])), sentences(1, 5), 0, some([0, 0, 0.2]))
             else:
-                add((*base, *box, *some([(), ("p",), ("div",), ("span",)])), some(PHRASES) + (" " + few(4) if rng.random() < 0.5 else "") if kind == "phrase" or plain else few(), 0, some([0, 0, 0.5]))
+                add((*base, *box, *some([(), ("p",), ("div",), ("span",)])), some(PHRASES) + (" " + some([few(4), str(rng.integers(1990, 2040))]) if rng.random() < 0.5 else "") if kind == "phrase" or plain else few(), 0, some([0, 0, 0.5]))
 
     outer = some([(), ("div",), ("div", "." + some(NEUTRAL_NAMES)), ("section",), ("div", "div")]) if style != "bare" else ()
     if style in ("elements", "both"):
@@ -324,7 +341,7 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         if rng.random() < 0.7:
             add((*here, *core, *some([("h1",), ("h1",), ("header", "h1") if style == "none" else ("h1",), ("h2",)])), few(9), 1)
         for _ in range(rng.integers(1, 14)):
-            if rng.random() < 0.2 and style not in ("none", "bare"):
+            if rng.random() < 0.2 and (style not in ("none", "bare") or name is not None):
                 boilerplate((*here, *core), inside=True)
             tail = some([("p",)] * 5 + [("p", "b"), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("div",), (), ("pre",)])
             if not body and rng.random() < 0.5 or style == "none" and rng.random() < 0.3:
@@ -332,7 +349,7 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
             heading = tail and tail[-1][0] == "h"
             text = few(8) if heading else some([sentences(1, 8), sentences(1, 3), sentences(1, 3), few(14)])
             add((*here, *core, *tail), text, 1, some([0, 0, 0, 0.1, 0.3]) if not heading else 0)
-        if rng.random() < 0.3 and style not in ("none", "bare"):
+        if rng.random() < (0.3 if name is None else 0.6) and (style not in ("none", "bare") or name is not None):
             boilerplate((*here, *core), inside=True)
     for _ in range(0 if alone else rng.integers(1, 4)):
         boilerplate(here)
@@ -413,10 +430,11 @@ class BlockLabeller:
         return grad
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], seed: int = SEED) -> BlockLabeller:
-        """Adam on the log loss of all blocks."""
+        """Adam on the log loss of all blocks; the result is the mean over the later epochs, which sways less than any of them."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        mean = {k: np.zeros(v.shape) for k, v in self.p.items()}
         step = 0
         sizes = np.array([len(x) for x, _ in pages])
         for epoch in range(EPOCHS):
@@ -433,6 +451,9 @@ class BlockLabeller:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     rate = RATE / (1 + epoch / 4)
                     self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            if epoch >= EPOCHS // 2:
+                mean = {k: v + self.p[k].astype(float) for k, v in mean.items()}
+        self.p = {k: (v / (EPOCHS - EPOCHS // 2)).astype(np.float32) for k, v in mean.items()}
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -485,6 +506,8 @@ def train_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller:
     rng = np.random.default_rng(seed)
     reader = Reader()
     told = [synthetic_page(rng) for _ in range(SYNTHETIC_PAGES)]
+    told += [synthetic_page(rng, name) for name in BOILERPLATE_NAMES for _ in range(PAGES_A_NAME)]
+    told += [synthetic_page(rng, plain_page=True) for _ in range(PLAIN_PAGES)]
     for page in pages:
         blocks = leaf_blocks(page)
         labels = article_labels(blocks)
@@ -493,11 +516,35 @@ def train_labeller(pages: list[str], seed: int = SEED) -> BlockLabeller:
     return BlockLabeller(seed).fit([(reader.features(b), y) for b, y in told if b], seed)
 
 
+class Committee(BlockLabeller):
+    """Labellers from different starts; a block's logit is the mean of theirs, so that one's accident does not decide."""
+
+    def __init__(self, members: list[dict[str, np.ndarray]]):
+        self.members = [BlockLabeller() for _ in members]
+        for m, p in zip(self.members, members, strict=True):
+            m.p = p
+
+    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.mean([m.logits(x, mask) for m in self.members], axis=0)
+
+
+def train_committee(spark: SparkSession, pages: list[str], seed: int = SEED) -> Committee:
+    """MEMBERS labellers of seeds from ``seed`` on, each trained by a task of its own."""
+    shared = spark.sparkContext.broadcast(pages)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "p": [pickle.dumps(train_labeller(shared.value, seed + int(i)).p) for i in b["id"]]})
+
+    found = spark.range(0, MEMBERS, 1, MEMBERS).mapInPandas(run, "id long, p binary").collect()
+    return Committee([pickle.loads(bytes(r[1])) for r in sorted(found)])
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page: the blocks that the labeller keeps, joined by a line break.
 
-    The labeller learns from a bounded sample of pages (SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the id; of them those with an
-    ``article`` or ``main``) and from pages laid out by rule, then reads each page's whole sequence of blocks with all their words. Null html counts as empty; a page without kept blocks has
+    MEMBERS labellers decide together. They learn from a bounded sample of pages (SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the id; of them those with an
+    ``article`` or ``main``) and from pages laid out by rule, then read each page's whole sequence of blocks with all their words. Null html counts as empty; a page without kept blocks has
     empty text; a page without markup is one block outside of any element. Repeated ids are each returned. Empty input gives no rows.
     """
     spark = pages.sparkSession
@@ -510,11 +557,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     chosen = spark.createDataFrame([(r[0],) for r in ids], f"id {kind}")
     # of an id with several pages one trains
     sample = sorted({r[1] for r in short.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("x")).collect()})
-    model = spark.sparkContext.broadcast(train_labeller(sample).p)
+    model = spark.sparkContext.broadcast([m.p for m in train_committee(spark, sample).members])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = BlockLabeller()
-        labeller.p = model.value
+        labeller = Committee(model.value)
         reader = Reader()
         for b in batches:
             blocks = [leaf_blocks(x) for x in b["x"]]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from lumenforge.llm import blocks, chat, embedding_dedup, exact_dedup, html_text, language_model, packing, piece_encoding, quality, queries, simhash, toxicity
-from lumenforge.llm.common import materialise
+from lumenforge.llm.common import materialise, ship_package
 from lumenforge.llm.components import connected_components
 from tests.llm import brute
 
@@ -337,6 +337,9 @@ ODD_PAGES = {
     f"<html><body><div><div><a href=x>Home</a></div><div><a href=y>About us</a></div></div><div><div>{PARAGRAPH}</div><div>{PARAGRAPH} More.</div></div><div>Copyright 2020</div></body></html>": [PARAGRAPH, f"{PARAGRAPH} More."],
     f'<body class="has-sidebar"><nav><a href=x>Home</a></nav><div class="post-comments-enabled article"><h1>My title</h1><p>{PARAGRAPH}</p></div><footer>All rights reserved</footer></body>': ["My title", PARAGRAPH],
     f'<div class="ad">{PARAGRAPH}</div><article><h1>My title</h1><p>{PARAGRAPH}</p></article><div id="comments"><div class="comment"><p>{PARAGRAPH}</p></div></div>': ["My title", PARAGRAPH],
+    f'<article><h1>My title</h1><p>{PARAGRAPH}</p></article><div id="comments"><div class="comment">{PARAGRAPH}</div><div class="comment"><p>{PARAGRAPH}</p></div></div>': ["My title", PARAGRAPH],
+    f'<div class="cookie-notice"><p>{PARAGRAPH}</p></div><article><p>{PARAGRAPH}</p></article>': [PARAGRAPH],
+    f'<div id="nav"><div>{PARAGRAPH}</div></div><article><p>{PARAGRAPH}</p><p>More of it.</p></article><div class="cookie-notice">{PARAGRAPH}</div>': [PARAGRAPH, "More of it."],
     "<nav><a>menu</a></nav><footer>f</footer>": [],
     "<p>Just one paragraph.</p>": ["Just one paragraph."],
     f"<ul><li><a>Home</a></li><li><a>News</a></li></ul><h1>Report</h1><p>{PARAGRAPH}</p><table><tr><td>alpha</td><td>12</td></tr></table><p>{PARAGRAPH}</p>": ["Report", PARAGRAPH, "alpha", "12", PARAGRAPH],
@@ -344,8 +347,9 @@ ODD_PAGES = {
 
 
 @pytest.fixture(scope="module")
-def labeller():
-    return html_text.train_labeller([])
+def labeller(spark):
+    ship_package(spark)
+    return html_text.train_committee(spark, [])
 
 
 def test_html_without_names(labeller):
@@ -495,7 +499,7 @@ def test_samples_take_one_row_an_id(spark, monkeypatch):
     assert toxicity.classify(docs, labels).count() == len(rows)
     assert seen[0] <= len(ids)
     pages = spark.createDataFrame([(1, "u", f"<p>page {i}</p>") for i in range(10_000)] + [(2, "u", "<p>x</p>")], "page_id long, url string, html string")
-    monkeypatch.setattr(html_text, "train_labeller", lambda sample: seen.append(sample) or html_text.BlockLabeller())
+    monkeypatch.setattr(html_text, "train_committee", lambda spark, sample: seen.append(sample) or html_text.Committee([html_text.BlockLabeller().p]))
     assert html_text.extract_main_text(pages).count() == 10_001
     assert len(seen[1]) <= 2
 
