@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage at files in the folder of spark.checkpoint.dir (a temporary one only on a local master that has none)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -26,35 +26,56 @@ def reach(edges: DataFrame, roots: DataFrame, src: str, dst: str, hops: int) ->
     front = seen
     for d in range(1, hops + 1):
         step = front.select("root", "node").join(e, "node").select("root", F.col("to").alias("node")).distinct()
-        front = _checkpointed(step.join(seen, ["root", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
+        front = checkpointed(step.join(seen, ["root", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
         seen = seen.unionByName(front)
     return seen
 
 
-def depths(edges: DataFrame, src: str, dst: str, max_depth: int) -> DataFrame:
-    """(node, depth): the longest path that ends at a node, relaxed at most ``max_depth`` times (cycles end there)."""
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
-    nodes = e.select("node").union(e.select("to")).distinct()
-    now = nodes.withColumn("depth", F.lit(0).cast("long"))
-    for _ in range(max_depth):
-        step = e.join(now, "node").groupBy("to").agg((F.max("depth") + 1).alias("d")).withColumnRenamed("to", "node")
-        nxt = _checkpointed(now.join(step, "node", "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")))
-        if nxt.exceptAll(now).isEmpty():
-            return nxt
-        now = nxt
-    return now
+def depths(edges: DataFrame, src: str, dst: str, max_rounds: int = 1000) -> DataFrame:
+    """(node, depth): the longest path that ends at a node. Self-loops are left out.
+
+    A round moves depths along the edges of nodes that have just grown, until none grows; a graph whose paths are longer than ``max_rounds``, or
+    that has a cycle and so no longest path, raises an error.
+    """
+    e = checkpointed(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node <> to").distinct())
+    now = checkpointed(e.select("node").union(e.select("to")).distinct().withColumn("depth", F.lit(0).cast("long")).withColumn("grown", F.lit(True)))
+    for _ in range(max_rounds):
+        step = e.join(now.where("grown"), "node").groupBy(F.col("to").alias("node")).agg((F.max("depth") + 1).alias("d"))
+        more = F.coalesce(F.col("d") > F.col("depth"), F.lit(False))
+        now = checkpointed(now.join(step, "node", "left").select("node", F.when(more, F.col("d")).otherwise(F.col("depth")).alias("depth"), more.alias("grown")))
+        if now.where("grown").isEmpty():
+            return now.select("node", "depth")
+    raise RuntimeError(f"depths did not settle within {max_rounds} rounds: the graph has a cycle or longer paths")
+
+
+def closure(edges: DataFrame, src: str, dst: str, max_rounds: int = 40) -> DataFrame:
+    """(src, dst) of all pairs of different nodes that a path joins.
+
+    Paths double: each round joins what it has found last to all it knows, on either side, so the rounds grow with the logarithm of the longest
+    shortest path, and it ends when a round finds nothing. Cycles are walked like other paths. Null ends and self-loops are left out.
+    """
+    known = checkpointed(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
+    new = known
+    for _ in range(max_rounds):
+        on = new.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        back = known.join(new.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        new = checkpointed(on.union(back).where("a <> b").distinct().join(known, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return known.select(F.col("a").alias(src), F.col("b").alias(dst))
+        known = checkpointed(known.union(new))
+    raise RuntimeError(f"the closure did not settle within {max_rounds} rounds")
 
 
 def min_label_components(edges: DataFrame, a: str, b: str, max_rounds: int = 30) -> DataFrame:
     """(node, component): the smallest node of every connected component, by label propagation with shortcuts."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    e = _checkpointed(e.union(e.select("v", "u")).distinct())
+    e = checkpointed(e.union(e.select("v", "u")).distinct())
     lab = e.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
         near = e.join(lab, e.v == lab.node).groupBy("u").agg(F.min("component").alias("m"))
         low = lab.join(near, lab.node == near.u, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = low.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        nxt = _checkpointed(low.join(jump, low.component == jump.n2, "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
+        nxt = checkpointed(low.join(jump, low.component == jump.n2, "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
         if nxt.exceptAll(lab).isEmpty():
             return nxt
         lab = nxt

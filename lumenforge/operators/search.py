@@ -19,6 +19,8 @@ CODE_BOOST = 250.0
 #: A query's groups are bits of a long.
 GROUPS = 62
 FOLD_TERMS, FOLD_DOCS = 12, 2048
+#: Documents whose byte codes are looked at behind the sign codes.
+RESCORED = 200
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -161,6 +163,43 @@ def code_similarity(a: Column, b: Column, dims: int) -> Column:
     return 1 - 2 * bits / dims
 
 
+def byte_code(vec: Column) -> Column:
+    """(scale, values): components as multiples of a 127th of the largest, halves rounded up; a zero vector has scale 1."""
+    top = F.array_max(F.transform(vec, lambda v: F.abs(v.cast("double"))))
+    scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
+
+    def coded(s):
+        q = F.transform(vec, lambda v: F.floor(v.cast("double") / s + 0.5))
+        return F.struct(s.alias("scale"), F.transform(q, lambda v: F.greatest(F.lit(-127), F.least(F.lit(127), v)).cast("tinyint")).alias("values"))
+
+    return F.transform(F.array(scale), coded)[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def byte_similarity(code: Column, query: Column) -> Column:
+    """The inner product of a query with a code's direction; null for a code of zeros."""
+    norm = F.sqrt(_dot(code["values"], code["values"]))
+    return F.when(norm > 0, _dot(code["values"], query) / norm)
+
+
+def nearest_by_codes(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, vec: str, dims: int, k: int, rescored: int = RESCORED) -> DataFrame:
+    """(query, id, sim) of the ``k`` rows nearest to each query in two stages: sign codes choose ``rescored`` rows, their byte codes order them.
+
+    ``queries`` (query_col, vec) is a stated set of queries, broadcast to the rows; a query keeps its best rows in every task before they move.
+    Ties go to the smaller id. Vectors that are null or of another size than ``dims`` are left out; one without a direction keeps its first similarity.
+    """
+    fits = (F.size(vec) == dims) & ~F.exists(vec, lambda v: v.isNull())
+    q = queries.where(fits).select(F.col(query_col).alias("query"), F.col(vec).alias("_q"), sign_code(F.col(vec), dims).alias("_qc"))
+    rows = vectors.where(fits).select(F.col(id_col).alias("id"), sign_code(F.col(vec), dims).alias("_c"), byte_code(F.col(vec)).alias("_b"))
+    first = rows.join(F.broadcast(q)).withColumn("_s", code_similarity(F.col("_c"), F.col("_qc"), dims))
+    near = first.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_s"), "id"))).where(F.col("_n") <= rescored)
+    scored = near.withColumn("sim", F.coalesce(byte_similarity(F.col("_b"), F.col("_q")), "_s"))
+    return scored.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("_n") <= k).select("query", "id", "sim")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for vectors of different sizes and zero vectors."""
     def dot(x, y):

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from lumenforge.operators import audits, graph, relational
 from lumenforge.plans.registry import query
 
-_EDGES = "(select distinct p_partkey as src, p_partkey + p_size as dst from part where p_partkey + p_size < 2000 and p_partkey % 3 = 0)"
-
-
-def _edges(t):
-    return t("part").where("p_partkey + p_size < 2000 and p_partkey % 3 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")).distinct()
-
-
 _ALL_EDGES = "(select distinct p_partkey as src, p_partkey + p_size as dst from part where p_size is not null)"
 
 
@@ -23,49 +16,46 @@ def _all_edges(t):
 
 
 @query(f"""
-with recursive r as (select p_partkey as root, p_partkey as node, 0 as distance from part where p_partkey % 50 = 0 union select root, dst, distance + 1 from r join {_EDGES} e on e.src = r.node where distance < 3)
+with recursive r as (select p_partkey as root, p_partkey as node, 0 as distance from part where p_partkey % 50 = 0 union select root, dst, distance + 1 from r join {_ALL_EDGES} e on e.src = r.node where distance < 3)
 select root, node, min(distance)::bigint as distance from r group by all
 """)
-def g7_neighbourhood(spark, t):
+def g7_neighbourhood_all(spark, t):
     roots = t("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("root"))
-    return graph.reach(_edges(t), roots, "src", "dst", 3)
+    return graph.reach(_all_edges(t), roots, "src", "dst", 3)
 
 
-@query(f"""
-with recursive e as (select * from {_EDGES}), r as (select n as node, 0 as depth from (select src as n from e union select dst from e) union select dst, depth + 1 from r join e on e.src = r.node where depth < 60)
-select node, max(depth)::bigint as depth from r group by 1
-""")
-def g5_depths(spark, t):
-    return graph.depths(_edges(t), "src", "dst", 60)
+_TREE_EDGES = "(select distinct p_partkey // 2 as src, p_partkey as dst from part where p_partkey > 1 union select p_partkey * 2 // 3, p_partkey from part where p_partkey > 1)"
 
 
-@query(f"with e as (select * from {_EDGES}) select src as node, count(*) as unlocks, ln(1 + count(*)) as gain from e group by 1")
-def g4_unlock_counts(spark, t):
-    return _edges(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"), F.log1p(F.count("*")).alias("gain"))
+def _tree_edges(t):
+    """Every part asks for the parts at half and at two thirds of its number: paths are long, but no longer than the logarithm of the table."""
+    p = t("part").where("p_partkey > 1")
+    return p.select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst")).union(p.select(F.expr("p_partkey * 2 div 3"), "p_partkey")).distinct()
 
 
 @query(f"""
-with recursive r as (select p_partkey as root, p_partkey as node, 0 as distance from part where p_partkey % 50 = 0 union select root, dst, distance + 1 from r join {_ALL_EDGES} e on e.src = r.node where distance < 3)
-select root, node, min(distance)::bigint as distance from r group by all
+with recursive e as (select * from {_TREE_EDGES}), r as (select n as node, 0 as depth from (select src as n from e union select dst from e) union select dst, depth + 1 from r join e on e.src = r.node)
+select node, max(depth)::bigint as depth from r group by 1
 """)
-def g7_neighbourhood_all(spark, t):
-    """``g7_neighbourhood`` over the edges of all parts."""
-    roots = t("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("root"))
-    return graph.reach(_all_edges(t), roots, "src", "dst", 3)
+def g5_depths_all(spark, t):
+    return graph.depths(_tree_edges(t), "src", "dst")
 
 
 @query(f"""
-with recursive e as (select * from {_ALL_EDGES}), r as (select n as node, 0 as depth from (select src as n from e union select dst from e) union select dst, depth + 1 from r join e on e.src = r.node where depth < 60)
-select node, max(depth)::bigint as depth from r group by 1
+with recursive e as (select * from {_TREE_EDGES}), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst),
+d as (select src as node, count(*) as descendants from r group by 1), a as (select dst as node, count(*) as ancestors from r group by 1)
+select node, coalesce(descendants, 0)::bigint as descendants, coalesce(ancestors, 0)::bigint as ancestors from d full join a using (node)
 """)
-def g5_depths_all(spark, t):
-    """``g5_depths`` over the edges of all parts; as there, depths end at 60."""
-    return graph.depths(_all_edges(t), "src", "dst", 60)
+def g6_reach_counts(spark, t):
+    """How many parts each part leads to, and how many lead to it, over paths of any length."""
+    pairs = graph.closure(_tree_edges(t), "src", "dst")
+    down = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("descendants"))
+    up = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ancestors"))
+    return down.join(up, "node", "full").select("node", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"))
 
 
 @query(f"with e as (select * from {_ALL_EDGES}) select src as node, count(*) as unlocks, ln(1 + count(*)) as gain from e group by 1")
 def g4_unlock_counts_all(spark, t):
-    """``g4_unlock_counts`` over the edges of all parts."""
     return _all_edges(t).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"), F.log1p(F.count("*")).alias("gain"))
 
 

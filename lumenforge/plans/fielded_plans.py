@@ -74,21 +74,6 @@ def x23_overlaid(spark, t):
     return fielded.overlaid(fielded.scored(post, totals, _PARSED), {"open_seats": seats, "reputation": rep}).withColumn("score", F.round("score", 6))
 
 
-@query("""
-with v(q, grp, variant, weight, prefix, fuzzy) as (values ('CS 77 of Widg', 0, 'cs', 1.0, false, false), ('CS 77 of Widg', 0, 'part', 0.85, false, false), ('CS 77 of Widg', 1, '77', 1.0, false, false), ('CS 77 of Widg', 2, 'of', 0.25, false, false),
- ('CS 77 of Widg', 3, 'widg', 1.0, true, true), ('Dél w1234 ml ', 0, 'del', 1.0, false, false), ('Dél w1234 ml ', 1, 'w1234', 1.0, false, true), ('Dél w1234 ml ', 2, 'w', 1.0, false, false), ('Dél w1234 ml ', 3, '1234', 1.0, false, false),
- ('Dél w1234 ml ', 4, 'ml', 1.0, false, false), ('Dél w1234 ml ', 4, 'machine', 0.7, false, false), ('Dél w1234 ml ', 4, 'learning', 0.7, false, false))
-select q, grp::bigint as grp, variant, weight::double as weight, prefix, fuzzy from v
-""")
-def x4_parsed_query(spark, t):
-    """Two typed queries as groups of weighted variants."""
-    rows = []
-    for q in ("CS 77 of Widg", "Dél w1234 ml "):
-        parsed = fielded.parse_query(q, {"cs": ["part"]}, {"ml": ["machine", "learning"]})
-        rows += [(q, g, v, w, x.prefix, x.fuzzy) for g, x in enumerate(parsed.groups) for v, w in x.variants]
-    return spark.createDataFrame(rows, "q string, grp long, variant string, weight double, prefix boolean, fuzzy boolean")
-
-
 @query("""
 with d as (select doc_id, regexp_extract_all(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '\\b[a-z]{2,4}\\s?[a-z]?\\s?[0-9]{3,4}\\b') as hits from documents)
 select doc_id, coalesce(len(hits), 0)::bigint as n_codes from d

@@ -94,12 +94,6 @@ def f24_array_duplicates(spark, t):
     return a.select("l_orderkey", (F.size("a") != F.size(F.array_distinct("a"))).alias("repeats"))
 
 
-@query("select doc_id, trim(regexp_replace(lower(translate(lower(left(text, 200)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
-def x1_fold(spark, t):
-    """The first 200 characters folded: the feature is a search title's length."""
-    return t("documents").select("doc_id", scalar.fold(F.left("text", F.lit(200))).alias("folded"))
-
-
 @query("select doc_id, trim(regexp_replace(lower(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
 def x1_fold_all(spark, t):
     """Whole texts folded."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenforge.operators import search
+from lumenforge.operators import lsa, search
 from lumenforge.plans.registry import query
 
 _WORDS = "list_filter(string_split(trim(regexp_replace(translate(lower(p_name || ' ' || p_brand), 'é', 'e'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -132,3 +132,52 @@ def x17_fold_in(spark, t):
     docs = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
     got = search.fold_in(search.postings(docs, "p_partkey", "text"), t("embeddings"), "vec_id", "embedding", ["red", "green", "12", "brand", "red", "zzzz"])
     return got.select("pos", F.round("value", 6).alias("value"))
+
+
+@query("""
+with e as (select vec_id, embedding::double[] as v, list_max(list_transform(embedding::double[], lambda x: abs(x))) as top from embeddings)
+select vec_id, case when top > 0 then top / 127 else 1.0 end as scale, list_sum(list_transform(v, lambda x: greatest(-127, least(127, floor(x / (case when top > 0 then top / 127 else 1.0 end) + 0.5)))))::bigint as total,
+ list_max(list_transform(v, lambda x: abs(greatest(-127, least(127, floor(x / (case when top > 0 then top / 127 else 1.0 end) + 0.5))))))::bigint as largest from e
+""")
+def x16_byte_codes(spark, t):
+    e = t("embeddings").select("vec_id", search.byte_code(F.col("embedding")).alias("c"))
+    total = F.aggregate("c.values", F.lit(0).cast("long"), lambda s, v: s + v)
+    return e.select("vec_id", "c.scale", total.alias("total"), F.array_max(F.transform("c.values", lambda v: F.abs(v.cast("long")))).alias("largest"))
+
+
+@query("""
+with e as (select vec_id, embedding::double[] as v, list_max(list_transform(embedding::double[], lambda x: abs(x))) / 127 as scale from embeddings where len(embedding) = 64),
+c as (select vec_id, v, list_transform(v, lambda x: greatest(-127, least(127, floor(x / scale + 0.5)))) as b, list_transform(v, lambda x: x > 0) as s from e), q as (select vec_id as query, v as qv, s as qs from c where vec_id % 50 = 0),
+f as (select query, vec_id as id, b, qv, 1 - 2 * list_sum(list_transform(range(1, 65), lambda i: case when s[i] <> qs[i] then 1 else 0 end)) / 64.0 as first from c, q),
+n as (select * from (select *, row_number() over (partition by query order by first desc, id) as place from f) where place <= 200),
+r as (select query, id, list_dot_product(b, qv) / sqrt(list_dot_product(b, b)) as sim from n)
+select query, id, round(sim, 9) as sim from (select *, row_number() over (partition by query order by sim desc, id) as place from r) where place <= 10
+""")
+def x15_rescored(spark, t):
+    """The ten nearest rows to every fiftieth row, by sign codes and then by byte codes."""
+    e = t("embeddings")
+    return search.nearest_by_codes(e, e.where("vec_id % 50 = 0"), "vec_id", "vec_id", "embedding", 64, 10).withColumn("sim", F.round("sim", 9))
+
+
+_FOLDED = "list_filter(string_split(trim(regexp_replace(lower(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_DOC_WORDS = f"flatten(list_transform({_FOLDED}, lambda w: case when regexp_matches(w, '[a-z]') and regexp_matches(w, '[0-9]') then list_prepend(w, regexp_extract_all(w, '[a-z]+|[0-9]+')) else [w] end))"
+
+
+@query(f"""
+with w as (select doc_id as doc, unnest({_DOC_WORDS}) as term from documents), p as (select doc, term, count(*) as tf from w group by all), n as (select count(*) as n from documents),
+d as (select term, count(*) as df from p group by 1 having count(*) between 3 and greatest(3, (select floor(n * 0.4) from n))),
+x as (select doc, term, (1 + ln(tf)) * ln(1 + n::double / (1 + df)) as w from p join d using (term), n)
+select doc, count(*) as terms, round(max(w) / sqrt(sum(w * w)), 9) as largest, round(sum(w) / sqrt(sum(w * w)), 6) as total from x group by 1
+""")
+def x18_term_weights(spark, t):
+    """What latent semantic vectors are made of: the weighted terms of each document, summed up."""
+    docs = t("documents")
+    w = lsa.term_weights(search.postings(docs, "doc_id", "text"), docs.count())
+    return w.groupBy("doc").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 9).alias("largest"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+@query()
+def x18_lsa_vectors(spark, t):
+    """Latent semantic vectors of all documents; tests hold their cosines against a full decomposition."""
+    docs = t("documents")
+    return lsa.lsa_vectors(search.postings(docs, "doc_id", "text"), docs, "doc_id", dims=64)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenforge.functions.scalar import recency_weight, round_half_up
-from lumenforge.operators import history, relational
+from lumenforge.operators import history, relational, windows
 from lumenforge.plans.registry import query
 
 SINCE = "2024-01-10 00:00:00"
@@ -127,6 +127,20 @@ def t11_fixed_window(spark, t):
     return t("events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("w")).agg(n.alias("n"), (n > 3).alias("limited"))
 
 
+@query("""
+with recursive e as (select distinct user_id, ts from events where user_id is not null and ts is not null), a as (select user_id, ts, ts + interval 12 hours as until from e),
+n as materialized (select a.user_id, a.ts, (select min(e.ts) from e where e.user_id = a.user_id and e.ts >= a.until) as next from a),
+s as (select user_id, min(ts) as ts from e group by 1 union all select s.user_id, n.next from s join n on n.user_id = s.user_id and n.ts = s.ts where n.next is not null),
+h as (select event_id, v.user_id, v.ts, (select max(s.ts) from s where s.user_id = v.user_id and s.ts <= v.ts) as window_start from events v where v.user_id is not null and v.ts is not null)
+select event_id, user_id, window_start, place, place <= 3 as allowed, greatest(0, 3 - place) as remaining,
+ greatest(1, ceil((epoch_us(window_start) + 43200000000 - epoch_us(ts)) / 1000000.0))::bigint as retry_after_s
+from (select *, row_number() over (partition by user_id, window_start order by ts, event_id) as place from h)
+""")
+def t11_first_hit_windows(spark, t):
+    """At most three hits in the twelve hours from the first one."""
+    return windows.first_hit_windows(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 12 * 3600, 3).drop("ts")
+
+
 @query("""
 select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 6 hours preceding and current row) as used from events
 """)

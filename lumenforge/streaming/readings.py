@@ -13,9 +13,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Keys that a user may watch at once, a fixed value.
+WATCHED = 60
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors both see: under ``spark.checkpoint.dir``, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors both see: under ``spark.checkpoint.dir``; where that is unset, the warehouse on a local master, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -68,8 +75,11 @@ def captured(readings: DataFrame, key: str, ts: str, value: str, within: str | N
 
 
 def watched_latest(readings: DataFrame, watched: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """Complete-mode stream with the last reading of each watched key; ``watched`` has at most 60 keys, so it is broadcast."""
-    mine = readings.join(F.broadcast(watched.select(key).distinct().limit(60)), key, "left_semi")
+    """Complete-mode stream with the last reading of each watched key; more than WATCHED keys are an error, so that ``watched`` may be broadcast."""
+    keys = watched.select(key).distinct().limit(WATCHED + 1)
+    if keys.count() > WATCHED:
+        raise ValueError(f"more than {WATCHED} keys are watched")
+    mine = readings.join(F.broadcast(keys), key, "left_semi")
     return mine.groupBy(key).agg(F.max_by(F.struct(*[c for c in mine.columns if c != key]), F.struct(ts, tie)).alias("_r")).select(key, "_r.*")
 
 
