@@ -217,19 +217,26 @@ def evaluate(pairs: DataFrame, tree: DataFrame, completed: DataFrame, person: st
     """
     ask = pairs.select(person, item).distinct()
     done = completed.select(person, F.col(course).alias("value")).distinct().withColumn("_done", F.lit(True))
-    rows = ask.join(tree, item).join(done, [person, "value"], "left").repartition(person, item)
+    rows = ask.join(tree, item).join(done, [person, "value"], "left")
+    out = ask.join(folded(rows.withColumn("_done", F.coalesce("_done", F.lit(False))), [person, item], max_depth), [person, item], "left")
+    return out.select(person, item, F.coalesce("status", F.lit(MET)).alias("status"), F.coalesce("outstanding", F.array().cast("array<array<string>>")).alias("outstanding"))
+
+
+def folded(rows: DataFrame, keys: list[str], max_depth: int = 6) -> DataFrame:
+    """(keys, status, outstanding) of the trees in ``rows``: node rows under ``keys``, whose ``_done`` says which courses are met. See ``evaluate``."""
+    rows = rows.repartition(*keys)
     leaf = F.when(F.col("kind") == "advisory", UNKNOWN).when(F.col("kind") == "course", F.when(F.col("_done"), MET).otherwise(UNMET))
     none = F.array().cast("array<array<string>>")
     rows = rows.withColumn("status", leaf).withColumn("outstanding", F.when(F.col("status") == UNMET, F.array(F.array("value"))).otherwise(none))
     deep = F.when(F.col("depth") > max_depth, F.raise_error(F.lit("a prerequisite tree is deeper than max_depth"))).otherwise(F.col("depth"))
-    rows = rows.withColumn("depth", deep).select(person, item, "node", "parent", "depth", "kind", "status", "outstanding")
+    rows = rows.withColumn("depth", deep).select(*keys, "node", "parent", "depth", "kind", "status", "outstanding")
     for level in range(max_depth, 0, -1):
         # Children of this level fold into their parents; every other row passes through under its own number.
         down = F.col("depth") == level
         folded = rows.withColumn("_to", F.when(down, F.col("parent")).otherwise(F.col("node"))).withColumn("_child", down)
         own = [F.max(F.when(~F.col("_child"), F.col(c))).alias(c) for c in ("parent", "depth", "kind", "status")]
         kids = F.array_sort(F.collect_list(F.when(F.col("_child"), F.struct("node", "status", "outstanding"))))
-        rows = folded.groupBy(person, item, F.col("_to").alias("_node")).agg(*own, F.first(F.when(~F.col("_child"), F.col("outstanding")), ignorenulls=True).alias("outstanding"), kids.alias("_kids"))
+        rows = folded.groupBy(*keys, F.col("_to").alias("_node")).agg(*own, F.first(F.when(~F.col("_child"), F.col("outstanding")), ignorenulls=True).alias("outstanding"), kids.alias("_kids"))
         states = F.transform("_kids", lambda k: k["status"])
         state = F.when(F.size("_kids") == 0, F.col("status")).when(F.col("kind") == "all", F.array_min(states)).otherwise(F.array_max(states))
         short = F.flatten(F.transform(F.filter("_kids", lambda k: k["status"] == UNMET), lambda k: k["outstanding"]))
@@ -239,9 +246,8 @@ def evaluate(pairs: DataFrame, tree: DataFrame, completed: DataFrame, person: st
             "outstanding",
             F.when(F.size("_kids") == 0, F.col("outstanding")).when(F.col("kind") == "all", F.when(F.col("_s") == UNMET, short).otherwise(none)).otherwise(F.when(F.col("_s") == MET, none).otherwise(choice)),
         )
-        rows = rows.select(person, item, F.col("_node").alias("node"), "parent", "depth", "kind", F.col("_s").alias("status"), "outstanding")
-    out = ask.join(rows.select(person, item, "status", "outstanding"), [person, item], "left")
-    return out.select(person, item, F.coalesce("status", F.lit(MET)).alias("status"), F.coalesce("outstanding", none).alias("outstanding"))
+        rows = rows.select(*keys, F.col("_node").alias("node"), "parent", "depth", "kind", F.col("_s").alias("status"), "outstanding")
+    return rows.select(*keys, "status", "outstanding")
 
 
 def gate(evaluated: DataFrame, parsed: DataFrame, item: str) -> DataFrame:

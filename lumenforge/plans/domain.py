@@ -92,16 +92,6 @@ def g15_taste_vectors(spark, t):
     return f.groupBy("label", (F.col("p") + 1).cast("long").alias("i")).agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 5).alias("taste"))
 
 
-@query("""
-with r as (select p_partkey, (p_size > 25)::bigint * 1.0 + 0.3 * ln(1 + p_size) + 0.2 * (p_type = 'PROMO')::bigint - 0.6 * (p_brand = 'Brand#7')::bigint as score from part where p_partkey % 11 <> 0)
-select p_partkey, round(score, 6) as score from r order by round(score, 6) desc, p_partkey limit 40
-""")
-def g13_recommendations(spark, t):
-    one = lambda c: c.cast("double")
-    score = one(F.col("p_size") > 25) + 0.3 * F.log1p("p_size") + 0.2 * one(F.col("p_type") == "PROMO") - 0.6 * one(F.col("p_brand") == "Brand#7")
-    return t("part").where("p_partkey % 11 <> 0").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(40)
-
-
 @query("""
 with f as (select o_custkey, o_orderkey, (8 * (o_orderstatus <> 'F')::bigint + 4 * coalesce((o_totalprice < 200000), true)::bigint + 2 * (o_orderpriority < '3')::bigint + (o_orderkey % 2 = 0)::bigint) as fit from orders)
 select o_custkey, o_orderkey, round(fit / 15.0, 6) as fit from (select *, row_number() over (partition by o_custkey order by fit desc, o_orderkey) r from f) where r = 1
