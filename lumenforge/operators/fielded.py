@@ -18,6 +18,8 @@ FIELDS = {"title": 4.0, "code": 6.0, "instructor": 2.5, "body": 1.0}
 ALIAS_WEIGHT, ABBREVIATION_WEIGHT, LOW_WEIGHT = 0.85, 0.7, 0.25
 MIN_PREFIX, MIN_FUZZY = 2, 4
 MAX_TF = 255
+#: Words of a body that the other fields do not have, of which the first so many are indexed.
+BODY_TERMS = 140
 #: Words that say little in a query; fixed values.
 LOW_SIGNAL = frozenset("a an and the of to in for on with or at by from as is are be this that it its will i ii iii iv".split())
 #: The written shapes of a course code in folded text; fixed pattern.
@@ -77,15 +79,22 @@ def parse_query(text: str, aliases: Mapping[str, Sequence[str]] | None = None, a
 def fielded_postings(docs: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
     """(doc, term, tf, mask, doc_length) of documents with text columns for some of ``FIELDS``; null fields are empty.
 
-    ``mask`` has a bit for each field that the term stands in. Write it bucketed by term, beside ``totals``, to answer many queries.
+    ``mask`` has a bit for each field that the term stands in. A body adds its first BODY_TERMS new words, as defined; words that other
+    fields have count in it as well. ``search_index`` writes what this gives and answers queries from it.
     """
     bits = {name: 1 << i for i, name in enumerate(FIELDS)}
-
-    def marked(text: Column, bit: int) -> Column:
-        words = F.coalesce(tokens(text), F.array().cast("array<string>"))
-        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(bit).cast("long").alias("bit")))
-
-    each = [marked(c, bits[f]) for f, c in fields.items()]
+    words = {f: F.coalesce(tokens(c), F.array().cast("array<string>")) for f, c in fields.items()}
+    docs = docs.select(F.col(id_col), *(w.alias(f"_{f}") for f, w in words.items()))
+    if "body" in words:
+        other = F.flatten(F.array(F.array().cast("array<string>"), *(F.col(f"_{f}") for f in words if f != "body")))
+        kept = F.slice(F.array_except("_body", other), 1, BODY_TERMS)  # distinct, in the order of the text
+        long = F.size("_body") > BODY_TERMS
+        docs = docs.withColumn("_kept", F.when(long, F.concat(kept, other))).withColumn("_body", F.when(long, F.filter("_body", lambda w: F.array_contains("_kept", w))).otherwise(F.col("_body")))
+
+    def marked(field: str) -> Column:
+        return F.transform(F.col(f"_{field}"), lambda w: F.struct(w.alias("term"), F.lit(bits[field]).cast("long").alias("bit")))
+
+    each = [marked(f) for f in words]
     words = docs.select(F.col(id_col).alias("doc"), F.explode(F.concat(*each)).alias("w")).select("doc", "w.*")
     post = words.groupBy("doc", "term").agg(F.least(F.count("*"), F.lit(MAX_TF)).cast("long").alias("tf"), F.bit_or("bit").alias("mask"))
     length = post.groupBy("doc").agg(F.sum("tf").alias("doc_length"))

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master, as in tests, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    return f"{_shared(spark)}/{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at files in the folder of spark.checkpoint.dir (a temporary one only on a local master that has none)."""
+    """Cut the lineage at files in the folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumenforge-"))
+        sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 

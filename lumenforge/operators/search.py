@@ -69,18 +69,25 @@ def prefix_terms(vocabulary: DataFrame, prefix: str) -> DataFrame:
     return vocabulary.where(F.col("term").startswith(prefix)).orderBy(F.desc("df"), "term").limit(PREFIX_TERMS).select("term", "df", own.alias("weight"))
 
 
-def fuzzy_terms(vocabulary: DataFrame, word: str) -> DataFrame:
-    """The nearest terms by edit distance (1 up to five letters, else 2) that share enough padded trigrams."""
+def near(term: Column, word: str) -> tuple[Column, Column, Column]:
+    """Whether a term is a near miss of a word, by edit distance (1 up to five letters, else 2) and enough shared padded trigrams; the distance and its weight."""
     budget = 0 if len(word) < 4 else 1 if len(word) <= 5 else 2
     padded = f"  {word} "
     grams = sorted({padded[i : i + 3] for i in range(len(padded) - 2)})
     need = max(1, len(grams) - 3 * budget)
-    pad = F.concat(F.lit("  "), F.col("term"), F.lit(" "))
+    pad = F.concat(F.lit("  "), term, F.lit(" "))
     shared = sum((pad.contains(g).cast("int") for g in grams), F.lit(0))
-    near = vocabulary.where(F.abs(F.length("term") - len(word)) <= budget).where(shared >= need)
-    near = near.withColumn("distance", F.levenshtein(F.col("term"), F.lit(word), budget)).where((F.col("distance") > 0) & (F.col("distance") <= budget))
-    weight = F.element_at(F.array(*[F.lit(x) for x in FUZZY_WEIGHTS]), F.col("distance") + 1)
-    return near.orderBy("distance", F.desc("df"), "term").limit(FUZZY_TERMS).select("term", "df", F.col("distance").cast("long").alias("distance"), weight.alias("weight"))
+    alike = (F.abs(F.length(term) - len(word)) <= budget) & (shared >= need)
+    distance = F.when(alike, F.levenshtein(term, F.lit(word), budget)).otherwise(-1)
+    weight = F.element_at(F.array(*[F.lit(x) for x in FUZZY_WEIGHTS]), distance + 1)
+    return (distance > 0) & (distance <= budget), distance, weight
+
+
+def fuzzy_terms(vocabulary: DataFrame, word: str) -> DataFrame:
+    """The FUZZY_TERMS nearest terms, see ``near``."""
+    is_near, distance, weight = near(F.col("term"), word)
+    found = vocabulary.where(is_near).withColumn("distance", distance.cast("long"))
+    return found.orderBy("distance", F.desc("df"), "term").limit(FUZZY_TERMS).select("term", "df", "distance", weight.alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -92,7 +99,7 @@ class Group:
     fuzzy: bool = False
 
 
-def _checked(groups: Sequence[Group]) -> list[Group]:
+def checked(groups: Sequence[Group]) -> list[Group]:
     groups = list(groups)
     if len(groups) > GROUPS:
         raise ValueError(f"a query has {len(groups)} groups; at most {GROUPS} can be told apart")
@@ -104,7 +111,7 @@ def resolved_terms(vocabulary: DataFrame, groups: Sequence[Group]) -> DataFrame:
 
     A term named twice in a group keeps its first weight. The result has a bounded number of terms a group, whatever the vocabulary's size.
     """
-    spark, groups = vocabulary.sparkSession, _checked(groups)
+    spark, groups = vocabulary.sparkSession, checked(groups)
     named = spark.createDataFrame([(g, i, t, float(w)) for g, x in enumerate(groups) for i, (t, w) in enumerate(x.variants)], "grp int, place int, term string, weight double")
     out = vocabulary.join(F.broadcast(named), "term").select("grp", "place", "term", "df", "weight")
     place = max((len(x.variants) for x in groups), default=0)
@@ -125,7 +132,7 @@ def ranked(post: DataFrame, groups: Sequence[Group], codes: Sequence[str] = ())
     Every group whose literal weighs 1 and that found a term must hit, unless a code does; a query that finds nothing has no rows. The index is
     read for its term counts, its lengths and the hits; only resolved terms and two totals are broadcast.
     """
-    groups = _checked(groups)
+    groups = checked(groups)
     vocabulary = post.groupBy("term").agg(F.count("*").alias("df"))
     terms = resolved_terms(vocabulary, groups)
     totals = post.groupBy("doc").agg(F.first("doc_length").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenforge.operators import fielded, search
+from lumenforge.operators import fielded, search, search_index
 from lumenforge.plans.registry import query
 
 _SPLIT = "list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -27,10 +27,15 @@ hits as (select doc, sum(s) as score from h group by doc having bit_or(bit) & (s
 
 
 def _index(t):
+    """The stored index of parts: the first query over a table writes it, later ones read it."""
     parts = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
     code = F.concat_ws(" ", F.concat(F.lit("part"), F.col("p_partkey")))
-    post = fielded.fielded_postings(parts, "p_partkey", {"title": F.col("p_name"), "code": code, "instructor": F.col("p_brand"), "body": F.col("p_type")})
-    return post, fielded.totals(parts, post)
+    fields = {"title": F.col("p_name"), "code": code, "instructor": F.col("p_brand"), "body": F.col("p_type")}
+    return search_index.stored_index(parts, "p_partkey", fields, t.folder("search"), "parts")
+
+
+def _answer(t):
+    return search_index.answer(_index(t), _PARSED.groups, _PARSED.codes)
 
 
 _PARSED = fielded.Parsed("crimson the widg", (search.Group([("crimson", 1.0), ("red", 0.7)]), search.Group([("the", 0.25)]), search.Group([("widg", 1.0)], prefix=True)), ("part77",))
@@ -39,14 +44,13 @@ _PARSED = fielded.Parsed("crimson the widg", (search.Group([("crimson", 1.0), ("
 @query(f"with {_INDEX} select doc, term, tf, mask::bigint as mask, dl::bigint as doc_length from p join l using (doc)")
 def x5_fielded_postings(spark, t):
     """Postings with a bit for each field."""
-    return _index(t)[0].select("doc", "term", "tf", "mask", "doc_length")
+    return _index(t).postings.select("doc", "term", "tf", "mask", "doc_length")
 
 
 @query(f"with {_INDEX}, {_HITS} select doc, round(score, 6) as score from hits")
 def x8_fielded(spark, t):
     """Boosted BM25 over fields, variants, a prefix and a code."""
-    post, totals = _index(t)
-    return fielded.scored(post, totals, _PARSED).select("doc", F.round("score", 6).alias("score"))
+    return _answer(t).select("doc", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -56,10 +60,9 @@ select doc, round(score + 12 * coalesce(sim, 0), 6) as score from hits left join
 """)
 def x15_fused(spark, t):
     """Similarity of sign codes added to what the words found."""
-    post, totals = _index(t)
     codes = t("embeddings").select(F.col("vec_id").alias("doc"), search.sign_code(F.col("embedding"), 64).alias("code"))
     own = codes.where("doc = 1").select("code").first()  # the query's one vector
-    return fielded.fused(fielded.scored(post, totals, _PARSED), codes, own.code if own else [0], 64).select("doc", F.round("score", 6).alias("score"))
+    return fielded.fused(_answer(t), codes, own.code if own else [0], 64).select("doc", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -68,10 +71,9 @@ select doc, round(score, 6) as score, seats.value as open_seats, rep.value::doub
 """)
 def x23_overlaid(spark, t):
     """Seats and reputation laid over what was found."""
-    post, totals = _index(t)
     seats = t("lineitem").groupBy(F.col("l_partkey").alias("doc")).agg(F.bool_or(F.col("l_returnflag") == "N").alias("value"))
     rep = t("labels").groupBy(F.col("doc_id").alias("doc")).agg(F.max("quality").cast("double").alias("value"))
-    return fielded.overlaid(fielded.scored(post, totals, _PARSED), {"open_seats": seats, "reputation": rep}).withColumn("score", F.round("score", 6))
+    return fielded.overlaid(_answer(t), {"open_seats": seats, "reputation": rep}).withColumn("score", F.round("score", 6))
 
 
 @query("""

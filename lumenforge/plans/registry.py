@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenforge.operators.graph import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
+    def folder(self, name: str) -> str:
+        """A folder below ``spark.checkpoint.dir`` for what later queries read again, the same for all queries of an application."""
+        return shared_folder(self._spark, name)
+
     def stream(self, name: str, files_per_batch: int = 64) -> DataFrame:
         reader = self._spark.readStream.schema(self(name).schema).option("maxFilesPerTrigger", files_per_batch)
         return reader.parquet(f"{self._dir}/{name}.parque[t]")  # a pattern, as a stream's source is a directory or a glob

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenforge.operators import lsa, search
+from lumenforge.operators import lsa, search, search_index
 from lumenforge.plans.registry import query
 
 _WORDS = "list_filter(string_split(trim(regexp_replace(translate(lower(p_name || ' ' || p_brand), 'é', 'e'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -115,9 +115,9 @@ h as (select doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * wt * tf * 2.2 / (tf + 1.
 select doc, round(sum(s), 6) as score from h group by doc having bit_or(bit) & (select need from need) = (select need from need)
 """)
 def x9_ranked(spark, t):
-    docs = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    index = search_index.stored_index(t("part").select("p_partkey", "p_name", "p_brand"), "p_partkey", {"title": F.concat_ws(" ", "p_name", "p_brand")}, t.folder("search"), "titles")
     groups = [search.Group([("red", 1.0), ("green", 0.85)]), search.Group([("widg", 1.0)], prefix=True, fuzzy=True), search.Group([("golb", 0.25)], fuzzy=True), search.Group([("zzzzzzzz", 1.0)], prefix=True, fuzzy=True)]
-    return search.ranked(search.postings(docs, "p_partkey", "text"), groups, ["12"]).select("doc", F.round("score", 6).alias("score"))
+    return search_index.answer(index, groups, ["12"], boosted=False).select("doc", F.round("score", 6).alias("score"))
 
 
 @query(f"""
