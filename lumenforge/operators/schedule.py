@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -16,6 +16,16 @@ def grid_load(items: DataFrame, day: str, start: str, end: str, amount: str, ste
     return at.groupBy(day, "minute").agg(F.sum(amount).alias("load"))
 
 
+def idle_days(items: DataFrame, key: str, day: Column, first: str, last: str) -> DataFrame:
+    """(key, idle_days): for every key of ``items`` how many days from ``first`` to ``last`` have no item of it.
+
+    Days outside are not counted, so that a key whose items all lie outside has every day idle. Null days are none.
+    """
+    span = F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date")) + 1
+    inside = F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), day)
+    return items.groupBy(key).agg((span - F.count_distinct(inside)).cast("long").alias("idle_days"))
+
+
 def consecutive(items: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Every item with the next one of its key (``next_`` columns), where there is one."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -125,8 +125,7 @@ with d as (select unnest(generate_series(date '2024-01-01', date '2024-01-30', i
 select user_id, count(*) as idle_days from u, d where not exists (select 1 from events e where e.user_id = u.user_id and cast(e.ts as date) = d.day) group by 1
 """)
 def a17_days_without(spark, t):
-    days = t("events").groupBy("user_id").agg(F.count_distinct(F.col("ts").cast("date")).alias("busy"))
-    return days.where("busy < 30").select("user_id", (30 - F.col("busy")).alias("idle_days"))
+    return schedule.idle_days(t("events"), "user_id", F.col("ts").cast("date"), "2024-01-01", "2024-01-30").where("idle_days > 0")
 
 
 @query("select l_orderkey, l_partkey, count(*) as n from lineitem group by all having count(*) > 1")

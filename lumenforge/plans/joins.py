@@ -23,7 +23,8 @@ select o_orderkey, o_custkey, count(*) as n_lines, list_sort(list(l_linenumber))
 """)
 def s1_term_scan(spark, t):
     o = t("orders").where((F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
-    l = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
+    mine = t("lineitem").select("l_orderkey", "l_linenumber").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    l = mine.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
     return o.join(l, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "n_lines", "lines")
 
 
@@ -239,7 +240,7 @@ select distinct o_orderkey, s_suppkey from orders join lineitem on l_orderkey =
 """)
 def h3_bridge_join(spark, t):
     s = t("supplier").where("s_name = 'Supplier#000000007'").select("s_suppkey")
-    o = t("orders").where(F.year("o_orderdate") == 1998).select("o_orderkey")
+    o = t("orders").where((F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))).select("o_orderkey")
     l = t("lineitem").select("l_orderkey", "l_suppkey").join(F.broadcast(s), F.col("l_suppkey") == F.col("s_suppkey"))
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "s_suppkey").distinct()
 

@@ -133,7 +133,9 @@ def j22_contains_both_ways(spark, t):
 
 @query("select o_custkey, list(distinct year(o_orderdate)::bigint order by year(o_orderdate)::bigint) as terms from orders where year(o_orderdate) in (1996, 1998) group by 1")
 def h4_across_terms(spark, t):
-    o = t("orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("y")).where(F.col("y").isin(1996, 1998))
+    at = lambda y: F.lit(f"{y}-01-01").cast("timestamp_ntz")
+    d = F.col("o_orderdate")
+    o = t("orders").where(((d >= at(1996)) & (d < at(1997))) | ((d >= at(1998)) & (d < at(1999)))).select("o_custkey", F.year(d).cast("long").alias("y"))
     return o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("y")).alias("terms"))
 
 

@@ -57,6 +57,27 @@ def test_lanes_do_not_overlap(spark):
         assert (g.lane < g.lane_count).all()
 
 
+def test_lanes_are_the_first_free_ones(spark):
+    """Every item, in order, takes the lowest lane whose last item has ended; a cluster counts the lanes it needs."""
+    got = catalog.QUERIES["w4_lanes"](spark, DATA).toPandas()
+    for _, g in got.groupby(["user_id", "day"]):
+        taken, members, reach = {}, [], None
+
+        def close(members=None):
+            assert all(r.lane_count == 1 + max(m.lane for m in members) for r in members)
+
+        for r in g.sort_values(["s", "e", "event_id"]).itertuples():
+            if reach is None or r.s >= reach:  # nothing before lasts until here: a new cluster with all lanes free
+                if members:
+                    close(members)
+                taken, members = {}, []
+            assert r.lane == next(k for k in range(len(g) + 1) if taken.get(k, r.s) <= r.s)
+            taken[r.lane] = r.e
+            members.append(r)
+            reach = r.e if reach is None else max(reach, r.e)
+        close(members)
+
+
 def test_fold_decomposes_latin_letters(spark):
     from pyspark.sql import functions as F
 
