@@ -178,23 +178,20 @@ class Vectors(dict):
     def __init__(self, dim: int, limit: int = 60_000):
         super().__init__()
         self.dim, self.limit = dim, limit
-        self.rows: list[np.ndarray] = []
-        self.table = np.zeros((0, dim), np.float32)
+        self.table = np.zeros((1024, dim), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.rows.append(_hashed(word, self.dim))
+        if n == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        self.table[n] = _hashed(word, self.dim)
         return n
 
     def sums(self, lists: list[list[str]]) -> np.ndarray:
         """The sum of each list's vectors."""
         if len(self) > self.limit:
             self.clear()
-            self.rows, self.table = [], np.zeros((0, self.dim), np.float32)
         at = np.fromiter((self[w] for x in lists for w in x), np.int64)
-        if len(self.rows):
-            self.table = np.vstack([self.table, np.stack(self.rows)])
-            self.rows = []
         out = np.zeros((len(lists), self.dim), np.float32)
         sizes = np.array([len(x) for x in lists])
         full = np.flatnonzero(sizes)
