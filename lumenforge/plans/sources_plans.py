@@ -93,5 +93,5 @@ select subject_code, min(subject_name) as subject_name, array_to_string(list_sor
 """)
 def s13_subject_index(spark, t):
     code = F.upper(F.replace(F.left("p_type", F.lit(4)), F.lit(" "), F.lit("_")))
-    page = F.concat(F.lit("<table><tr><td>The "), "p_type", F.lit("  &amp; more</td><td><a class=x href='/cu/bulletin/uwb/sel/"), code, F.lit("_Fall"), 2000 + F.col("p_size"), F.lit(".html'>Fall</a><tr><td>no link</td><td>-</td></table>"))
+    page = F.concat(F.lit("<table><tr><td>The "), "p_type", F.lit("  &amp; more</td><td><a class=x href='/listing/"), code, F.lit("_Fall"), 2000 + F.col("p_size"), F.lit(".html'>Fall</a><tr><td>no link</td><td>-</td></table>"))
     return html_tables.subject_index(t("part").select(page.alias("html")), "html").withColumn("terms", F.array_join("terms", ","))
