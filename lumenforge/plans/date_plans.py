@@ -18,8 +18,8 @@ def d_clock_minutes(spark, t):
     half = F.when(F.hour("ts") < 12, "am").otherwise("pm")
     kind = F.col("event_id") % 4
     text = F.when(kind == 0, F.concat(h, half)).when(kind == 1, F.date_format("ts", "HHmm")).when(kind == 2, F.concat(h, F.lit("  "), F.when(half == "am", "A.M.").otherwise("p.m."))).otherwise("TBA")
-    span = F.when(kind == 0, F.concat(h, F.lit(" - "), h, half))
-    return t("events").select("event_id", dates.clock_minute(text).cast("long").alias("minute"), F.when(F.hour("ts") < 12, dates.time_range(span)["start"]).otherwise(dates.time_range(F.concat(h, half, F.lit(" to "), h, half))["start"]).cast("long").alias("range_start")).withColumn("range_start", F.when(F.col("event_id") % 4 == 0, F.col("range_start")))
+    span = F.when(kind == 0, F.concat(h, half, F.lit(" to "), h, half))
+    return t("events").select("event_id", dates.clock_minute(text).cast("long").alias("minute"), dates.time_range(span)["start"].cast("long").alias("range_start"))
 
 
 @query("""
