@@ -308,7 +308,7 @@ def test_chat(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     a, b = queries.QUERIES[name](spark, DATA).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     key = sorted(a.columns)
