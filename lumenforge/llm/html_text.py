@@ -52,6 +52,8 @@ PHRASES = [
     "We use cookies", "Share this", "Related posts", "Leave a reply", "Read more", "Advertisement", "Sponsored", "Search", "Next", "Previous", "Follow us", "Comments", "Menu",
 ]
 BOILERPLATE_TAGS = set("nav header footer aside form menu dialog".split())
+_TOLD = BOILERPLATE_TAGS | {"." + n for n in BOILERPLATE_NAMES}
+_DOUBTFUL = {"~" + n for n in BOILERPLATE_NAMES}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -155,14 +157,29 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
 
 def article_labels(blocks: list[Block]) -> np.ndarray | None:
-    """Labels by HTML's own elements alone, for training: within ``article`` (else ``main``), outside of boilerplate elements in it; None without either."""
+    """Labels by HTML's own elements, for training: within ``article`` (else ``main``), outside of boilerplate in it, told by element or by a name of one word.
+
+    None without either element, and where a compound name in it mentions boilerplate: ``post-comments`` may be the post or its comments.
+    """
     for name in ("article", "main"):
-        inside = [len(b.path) - b.path[::-1].index(name) if name in b.path else 0 for b in blocks]
-        if any(inside):
-            return np.array([i > 0 and BOILERPLATE_TAGS.isdisjoint(b.path[i:]) for b, i in zip(blocks, inside, strict=True)], np.float32)
+        inside = [_within(b.path, name) for b in blocks]
+        if any(x is not None for x in inside):
+            if any(x is not None and not _DOUBTFUL.isdisjoint(x) for x in inside):
+                return None
+            return np.array([x is not None and _TOLD.isdisjoint(x) for x in inside], np.float32)
     return None
 
 
+def _within(path: tuple[str, ...], name: str) -> tuple[str, ...] | None:
+    """The path below its last element ``name``, whose own names are left out; None where there is none."""
+    if name not in path:
+        return None
+    i = len(path) - path[::-1].index(name)
+    while i < len(path) and path[i][0] in ".~":
+        i += 1
+    return path[i:]
+
+
 def _hashed(word: str, dim: int) -> np.ndarray:
     """A fixed vector of four signed entries for a word."""
     v = np.zeros(dim, np.float32)

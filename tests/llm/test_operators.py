@@ -381,6 +381,14 @@ def test_html_reads_whole_blocks_and_open_heads():
     assert html_text.leaf_blocks("<html><head>\n<title>t</title> <link href=x><script>s</script></head><body></body></html>") == []
 
 
+def test_html_labels_of_named_boxes():
+    label = lambda page: (y if (y := html_text.article_labels(html_text.leaf_blocks(page))) is None else y.tolist())
+    assert label('<article class="post-comments-on"><p>a</p><div class="comments"><p>c</p></div><form>f</form></article><p>z</p>') == [1, 0, 0, 0]
+    assert label('<article><p>a</p><div class="user-comments">c</div></article>') is None  # may be either
+    assert label('<main class="menu"><p>a</p></main><div class="user-comments">c</div>') == [1, 0]
+    assert label("<p>a</p>") is None
+
+
 def test_html_edge_pages(spark):
     long = "<article>" + "".join(f"<p>{PARAGRAPH} {i}</p>" for i in range(3000)) + "</article>"
     rows = [(1, "u", long, "clash", 5), (2, None, None, None, 5), (3, "v", "<p>Just one paragraph.</p>", "t", 5), (3, "v", "<p>Just one paragraph.</p>", "t", 5), (None, "w", "", "", 5)]
