@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -42,18 +45,37 @@ def clusters(items: DataFrame, keys: list[str], start: str, end: str, tie: str)
 
 
 def lanes(items: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """Adds ``cluster``, ``lane`` (the first one free) and ``lane_count`` of the cluster, each cluster on its own."""
-    rows = clusters(items, keys, start, end, tie)
+    """Adds ``cluster``, ``lane`` (the first one free) and ``lane_count`` of the cluster, each cluster on its own.
+
+    A task walks its keys' items in order and holds the open lanes of one cluster, so the number of clusters costs nothing. Items without a start
+    come last in their cluster; one without an end keeps its lane.
+    """
+    rows = clusters(items.repartition(*keys), keys, start, end, tie)
+    order = [F.asc_nulls_last(c) for c in (start, end, tie)]
+    first = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy(*order)) == 1
+    rows = rows.withColumn("_first", first).sortWithinPartitions(*keys, "cluster", *order)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, tie])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        busy: list[tuple] = []  # (end, lane) of items that may end, and the lanes free again
         free: list[int] = []
-        lane = []
-        for a, b in zip(pdf[start], pdf[end], strict=True):
-            k = next((i for i, t in enumerate(free) if t <= a), len(free))
-            free[k : k + 1] = [b]
-            lane.append(k)
-        return pdf.assign(lane=lane, lane_count=len(free))
-
-    schema = StructType([*rows.schema.fields, StructField("lane", LongType()), StructField("lane_count", LongType())])
-    return rows.groupBy(*keys, "cluster").applyInPandas(place, schema)
+        used = 0
+        for batch in batches:
+            lane = []
+            for fresh, a, b in zip(*(batch.column(c).to_pylist() for c in ("_first", start, end)), strict=True):
+                if fresh:
+                    busy, free, used = [], [], 0
+                while a is not None and busy and busy[0][0] <= a:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if a is not None and free:
+                    k = heapq.heappop(free)
+                else:
+                    k, used = used, used + 1
+                if b is not None:
+                    heapq.heappush(busy, (b, k))
+                lane.append(k)
+            kept = batch.drop_columns(["_first"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lane, pa.int64())], names=[*kept.schema.names, "lane"])
+
+    schema = StructType([*rows.drop("_first").schema.fields, StructField("lane", LongType())])
+    count = F.max("lane").over(Window.partitionBy(*keys, "cluster")) + 1
+    return rows.mapInArrow(place, schema).withColumn("lane_count", count)

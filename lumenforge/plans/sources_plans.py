@@ -37,7 +37,7 @@ def s20_link_listing(spark, t):
 
 
 @query("""
-with s as (select year(o_orderdate) || '1' as term_code, 'PART' || (l_partkey % 100000) || 'W' as course_id, l_linenumber::varchar as section_code, l_orderkey::varchar as call_number, o_orderdate as seen, row_number() over (partition by l_orderkey order by l_linenumber, 'part' || l_partkey || 'w') as i,
+with s as (select year(o_orderdate) || '1' as term_code, 'PART' || (l_partkey % 100000) || 'W' as course_id, l_linenumber::varchar as section_code, l_orderkey::varchar as call_number, o_orderdate as seen, row_number() over (partition by l_orderkey order by l_linenumber, 'part' || (l_partkey % 100000) || 'w') as i,
 (case when (l_quantity * 30)::int + 75 <= 1440 then 1 else 0 end)::bigint as n_meetings from lineitem join orders on o_orderkey = l_orderkey)
 select term_code || course_id || section_code as section_key, arg_max(call_number, (n_meetings, seen, i, call_number)) as call_number, max(n_meetings) as n_meetings from s group by 1
 """)

@@ -85,3 +85,39 @@ def test_fold_decomposes_latin_letters(spark):
 
     row = spark.createDataFrame([("ő ž İ naïve ñandú Ệ e\u0301x",)], "x string").select(scalar.fold(F.col("x"))).first()
     assert row[0] == "o z i naive nandu e ex"
+
+
+def test_lanes_walk_clusters_in_batches(spark):
+    """Clusters longer than an Arrow batch, and many of one item: no group of its own for each."""
+    from pyspark.sql import functions as F
+
+    from lumenforge.operators import schedule
+
+    items = spark.range(600).select((F.col("id") % 3).alias("k"), F.when(F.col("id") < 300, F.col("id") % 40 * 5).otherwise(F.col("id") * 10).alias("s"), F.col("id").alias("n"))
+    items = items.withColumn("e", F.col("s") + F.when(F.col("n") < 300, 1 + F.col("n") % 17).otherwise(4))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = schedule.lanes(items, ["k"], "s", "e", "n")
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+        got = df.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 600
+    for _, g in got.groupby(["k", "cluster"]):
+        free = []
+        for r in g.sort_values(["s", "e", "n"]).itertuples():
+            k = next((i for i, t in enumerate(free) if t <= r.s), len(free))
+            free[k : k + 1] = [r.e]
+            assert r.lane == k
+        assert (g.lane_count == len(free)).all()
+
+
+def test_captured_sections_of_large_part_numbers(spark, tmp_path):
+    """Lines with one number are laid out by the identifier that the payload has, which is the part's number modulo 100,000."""
+    day = pd.Timestamp("1997-03-01")
+    spark.createDataFrame([(1, day), (2, day)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7, 1, 10.0), (1, 100009, 1, 10.0), (2, 7, 1, 10.0)], "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(catalog.QUERIES["s21_captured_sections"](spark, str(tmp_path)).toPandas()) == rows(c.sql(catalog.ORACLE_SQL["s21_captured_sections"]).df())
