@@ -15,9 +15,10 @@ def _unmet(placed: DataFrame, first: DataFrame, parsed: DataFrame, clause: str,
     """(person, course, term, options): each open choice of a placed course's clause. A leaf is met by the first term of its course: earlier, or for what may stand beside, not later."""
     tree = pre.nodes(parsed, course, clause)
     ask = placed.select(person, course, term).distinct()
-    rows = ask.join(tree, course).join(first.withColumnRenamed(course, "value"), [person, "value"], "left")
-    met = F.col("_first") < F.col(term) if clause == "before" else F.col("_first") <= F.col(term)
-    roots = pre.folded(rows.withColumn("_done", F.coalesce(met, F.lit(False))), [person, course, term], max_depth)
+    due = F.col("_first") < F.col(term) if clause == "before" else F.col("_first") <= F.col(term)
+    keys = [person, course, term]
+    met = pre.met_leaves(ask, tree, first.withColumnRenamed(course, "value"), [*keys, "_first"], course, [person, "value"])
+    roots = pre.folded(ask, tree, met.where(due).select(*keys, "value"), keys, course, max_depth)
     return roots.where(F.col("status") == pre.UNMET).select(person, course, term, F.explode("outstanding").alias("options"))
 
 

@@ -114,7 +114,7 @@ def test_lanes_walk_clusters_in_batches(spark):
 
 def test_captured_sections_of_large_part_numbers(spark, tmp_path):
     """Lines with one number are laid out by the identifier that the payload has, which is the part's number modulo 100,000."""
-    day = pd.Timestamp("1997-03-01")
+    day = pd.Timestamp("1997-03-01").to_pydatetime()
     spark.createDataFrame([(1, day), (2, day)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 7, 1, 10.0), (1, 100009, 1, 10.0), (2, 7, 1, 10.0)], "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     c = duckdb.connect()
