@@ -14,6 +14,14 @@ from lumenforge.operators.search import cosine
 WEIGHTS = {"requirement": 1.0, "taste": 0.5, "unlock": 0.3, "offering": 0.2, "rejection": 0.6}
 LOVED, NEUTRAL, DISLIKED = 3.0, 1.0, 0.25
 TASTE_REASON, UNLOCK_REASON, NAMED = 0.15, 2, 3
+#: Vectors of this many components in all, 16 MB as doubles, go to every task.
+BROADCAST_COMPONENTS = 1 << 21
+
+
+def _handy(vectors: DataFrame) -> DataFrame:
+    """``vectors``, broadcast where they are small, so that rows that meet them need not carry them through shuffles."""
+    n = vectors.agg(F.sum(F.size("vec"))).first()[0] or 0
+    return F.broadcast(vectors) if n <= BROADCAST_COMPONENTS else vectors
 
 
 def taste_vectors(taken: DataFrame, vectors: DataFrame, person: str, course: str, liked: str = "liked") -> DataFrame:
@@ -41,8 +49,9 @@ def credited_groups(outstanding: DataFrame, person: str, course: str) -> DataFra
 
 def _similar(ask: DataFrame, taken: DataFrame, vectors: DataFrame, person: str, course: str) -> DataFrame:
     """(person, course, similar): up to NAMED courses that a person took and that are nearest to a candidate, of those on its side."""
-    own = taken.select(person, F.col(course).alias("_t")).distinct().join(vectors.select(F.col(course).alias("_t"), F.col("vec").alias("_tv")), "_t")
-    near = ask.join(own, person).withColumn("_s", cosine(F.col("vec"), F.col("_tv"))).where("_s > 0")
+    own = taken.select(person, F.col(course).alias("_t")).distinct()
+    pairs = ask.join(own, person).join(vectors, course).join(vectors.select(F.col(course).alias("_t"), F.col("vec").alias("_tv")), "_t")
+    near = pairs.withColumn("_s", cosine(F.col("vec"), F.col("_tv"))).where("_s > 0")
     w = Window.partitionBy(person, course).orderBy(F.desc("_s"), "_t")
     top = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= NAMED)
     return top.groupBy(person, course).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_l")).select(person, course, F.col("_l._t").alias("similar"))
@@ -90,15 +99,17 @@ def recommend(
     w = Window.partitionBy(person).orderBy(F.col("reason") != "prereq_unmet_but_permission", course)
     withheld = held.withColumn("place", F.row_number().over(w)).where(F.col("place") <= withheld_limit).select(*pair, "place", "reason", "missing", "advisories")
 
-    rows = checkpointed(state.where("not withheld").join(vectors, course, "left").join(taste_vectors(taken, vectors, person, course), person, "left"))
+    vectors = _handy(vectors.select(course, "vec"))
+    rows = state.where("not withheld").join(taste_vectors(taken, vectors, person, course), person, "left").join(vectors, course, "left")
     rows = rows.withColumn("taste_similarity", F.when(F.col("vec").isNotNull() & F.col("taste").isNotNull(), cosine(F.col("vec"), F.col("taste"))).otherwise(0.0))
-    seen = rows.where("vec is not null").select(*pair, "vec")
+    rows = checkpointed(rows.withColumn("_seen", F.col("vec").isNotNull()).drop("vec", "taste"))  # vectors are joined again where they are used
+    seen = rows.where("_seen").select(*pair).join(vectors, course)
     refused = rejected.select(person, F.col(course).alias("_r")).distinct().join(vectors.select(F.col(course).alias("_r"), F.col("vec").alias("_rv")), "_r")
     away = seen.join(refused, person).groupBy(*pair).agg(F.greatest(F.lit(0.0), F.max(cosine(F.col("vec"), F.col("_rv")))).alias("rejection"))
     groups = credited_groups(outstanding, person, course).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "grp"))).alias("_g"))
     unlocked = pre.newly_unlocked(rows.select(person, F.col(course).alias("added")), parsed.withColumnRenamed(course, "_item"), completed.withColumnRenamed(course, "_done"), person, "_item", "_done", max_depth)
     opened = unlocked.groupBy(person, F.col("added").alias(course)).agg(F.array_sort(F.collect_set("_item")).alias("unlocked"))
-    similar = _similar(rows.where(F.col("taste_similarity") >= TASTE_REASON).where("vec is not null").select(*pair, "vec"), taken, vectors, person, course)
+    similar = _similar(rows.where(F.col("_seen") & (F.col("taste_similarity") >= TASTE_REASON)).select(*pair), taken, vectors, person, course)
     kind = taken.schema[course].dataType
     none = F.array().cast(f"array<{kind.simpleString()}>")
     some = taken.select(person).distinct().withColumn("_some", F.lit(True))
@@ -124,4 +135,4 @@ def _reasons() -> Column:
 
 
 def _caveats() -> Column:
-    return F.array_compact(F.array(F.when(F.col("status") == pre.UNKNOWN, "prereq_unknown"), F.when(F.col("vec").isNull(), "no_vector")))
+    return F.array_compact(F.array(F.when(F.col("status") == pre.UNKNOWN, "prereq_unknown"), F.when(~F.col("_seen"), "no_vector")))

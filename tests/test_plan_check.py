@@ -129,3 +129,19 @@ def test_recommendations_of_a_small_record(spark, parsed):
     assert withheld[2, "ART2W"] == ("prereq_unmet", [["ART1W"]])
     empty, held = recommend.recommend(none, taken, planned, none, vectors, outstanding, coded, "person", "course", 10, 10)
     assert empty.count() == 0 and held.count() == 0
+
+
+def test_rows_kept_between_steps_hold_no_vectors(spark, monkeypatch):
+    """Candidates lie on disk without vectors; taste and likeness come out all the same."""
+    kept, own = [], recommend.checkpointed
+    monkeypatch.setattr(recommend, "checkpointed", lambda df: kept.append(df.columns) or own(df))
+    parsed = pre.parse(spark.createDataFrame([("ART1W", None), ("ART2W", None), ("ART3W", "ART W0001.")], "course string, text string"), "text", pre.F.lit("ART"))
+    pairs = lambda *rows: spark.createDataFrame(rows, "person long, course string")
+    taken = spark.createDataFrame([(1, "ART1W", True)], "person long, course string, liked boolean")
+    vectors = spark.createDataFrame([("ART1W", [1.0, 0.0]), ("ART3W", [3.0, 4.0])], "course string, vec array<double>")
+    none = pairs((0, "x")).where("false")
+    groups = spark.createDataFrame([], "person long, course string, grp long, place int, cluster string")
+    best, _ = recommend.recommend(pairs((1, "ART2W"), (1, "ART3W")), taken, none, none, vectors, groups, parsed, "person", "course", 5, 5, max_depth=1)
+    got = {r.course: (round(r.taste_fit, 6), r.similar, r.caveats) for r in best.collect()}
+    assert got == {"ART3W": (0.3, ["ART1W"], []), "ART2W": (0.0, [], ["no_vector"])}
+    assert kept and not any({"vec", "taste"} & set(columns) for columns in kept)
