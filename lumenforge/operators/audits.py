@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,47 +41,78 @@ def exclusion_keys(groups: DataFrame, exclusions: DataFrame) -> DataFrame:
     return named.select("n.program", "n.grp", F.concat_ws(":", "c.program", "c.grp").alias("key"))
 
 
-def _open(nodes: list, held: set[str]) -> bool:
-    """Whether a tree, its nodes in reading order, is not unmet; advisories never stand in the way."""
-    good: dict[int, list[bool]] = {}
-    for n in reversed(nodes):
-        kids = good.pop(n["node"], [])
-        ok = n["value"] in held if n["kind"] == "course" else True if n["kind"] == "advisory" else all(kids) if n["kind"] == "all" else any(kids)
-        if n["parent"] is None or n["parent"] != n["parent"]:
+def packed_tree(nodes: Column) -> Column:
+    """A tree's nodes in reading order as one string, a line each: number, parent (empty at the root), first letter of the kind, value. Null stays null."""
+    line = lambda n: F.concat(n["node"], F.lit("\t"), F.coalesce(n["parent"].cast("string"), F.lit("")), F.lit("\t"), F.left(n["kind"], F.lit(2)), F.lit("\t"), F.coalesce(n["value"], F.lit("")))
+    return F.array_join(F.transform(nodes, line), "\n")
+
+
+@lru_cache(maxsize=1 << 14)
+def _unpacked(tree: str) -> list[tuple]:
+    """(node, parent, kind, value) of a packed tree, children before their parents; values hold no line ends or tabs, as ``parse`` makes them."""
+    return [tuple(line.split("\t", 3)) for line in reversed(tree.split("\n"))]
+
+
+def _open(tree: str | None, held: set[str]) -> bool:
+    """Whether a packed tree is not unmet; advisories never stand in the way."""
+    good: dict[str, list[bool]] = {}
+    for node, parent, kind, value in _unpacked(tree) if tree else []:
+        kids = good.pop(node, [])
+        ok = value in held if kind == "co" else True if kind == "ad" else all(kids) if kind == "al" else any(kids)
+        if not parent:
             return ok
-        good.setdefault(int(n["parent"]), []).append(ok)
+        good.setdefault(parent, []).append(ok)
     return True
 
 
-def suggest_plan(wanted: DataFrame, person: str, terms: int = 8, points_per_term: float = 15.0) -> DataFrame:
+def _plan(courses: list[tuple], held: set[str], terms: int, points_per_term: float) -> list[tuple]:
+    """(course, term, place) of one person's courses (course, points, depth, fan_out, tree), those that fit nowhere at the end."""
+    last = lambda v: (v is None, v or 0)
+    once = {c[0]: c for c in reversed(courses) if c[0] not in held}
+    order = sorted(once.values(), key=lambda c: (last(None if c[3] is None else -c[3]), last(c[2]), c[0]))
+    left = {c[0]: (3.0 if c[1] is None or c[1] != c[1] else c[1], c[4]) for c in order}
+    rows = []
+    for term in range(1, terms + 1):
+        points, chosen = 0.0, []
+        for course, (cost, tree) in left.items():
+            if points + cost <= points_per_term and _open(tree, held):
+                points += cost
+                chosen.append(course)
+                rows.append((course, term, len(chosen)))
+        held.update(chosen)
+        for course in chosen:
+            del left[course]
+    return rows + [(course, None, None) for course in left]
+
+
+def suggest_plan(wanted: DataFrame, person: str, terms: int = 8, points_per_term: float = 15.0, completed: DataFrame | None = None) -> DataFrame:
     """(person, course, term, place): a greedy plan; courses that fit nowhere have a null term and place.
 
-    ``wanted`` has a row a person and course: (person, course, points, depth, fan_out, nodes, completed). In each term, while points last,
-    the ready course with most fan-out, then least depth, then least name is taken; a course is ready when its tree is not unmet by what was
-    completed before the term. Null points count 3. The choice depends on all choices before it, so a person's courses, a few dozen, go
-    through one Arrow group; nothing else is grouped.
+    ``wanted`` has a row a person and course: (person, course, points, depth, fan_out, nodes, completed), or what ``packed_tree`` makes of the nodes as
+    ``tree``; the courses a person has completed may also stand in a table ``completed`` (person, completed), so that rows need not carry them. In each
+    term, while points last, the ready course with most fan-out, then least depth, then least name is taken; a course is ready when its tree is not
+    unmet by what was completed before the term. Null points count 3. The choice depends on all choices before it, so a person's courses, a few
+    dozen, are gathered in one row; a batch of Arrow holds many people.
     """
-    out = T.StructType([wanted.schema[person], T.StructField("course", T.StringType()), T.StructField("term", T.IntegerType()), T.StructField("place", T.IntegerType())])
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("course")
-        held = {c for x in g["completed"] if x is not None for c in x}
-        left = {r.course: r for r in g.sort_values(["fan_out", "depth", "course"], ascending=[False, True, True]).itertuples() if r.course not in held}
-        rows = []
-        for term in range(1, terms + 1):
-            points, place = 0.0, 0
-            for r in [r for r in left.values() if _open([] if r.nodes is None else list(r.nodes), held)]:
-                cost = 3.0 if r.points is None or r.points != r.points else float(r.points)
-                if points + cost <= points_per_term:
-                    points, place = points + cost, place + 1
-                    rows.append((r.course, term, place))
-            for c, t, _ in rows:
-                if t == term:
-                    held.add(c)
-                    del left[c]
-        rows += [(c, None, None) for c in left]
-        frame = pd.DataFrame(rows, columns=["course", "term", "place"]).astype({"term": "Int32", "place": "Int32"})
-        frame.insert(0, person, g[person].iloc[0])
-        return frame
-
-    return wanted.where(F.col("course").isNotNull()).groupBy(person).applyInPandas(one, out)
+    tree = F.col("tree") if "tree" in wanted.columns else packed_tree(F.col("nodes"))
+    parts = [F.collect_list(F.struct("course", F.col("points").cast("double").alias("points"), "depth", "fan_out", tree.alias("tree"))).alias("_w")]
+    if completed is None:
+        people = wanted.where(F.col("course").isNotNull()).groupBy(person).agg(*parts, F.flatten(F.collect_set("completed")).alias("_held"))
+    else:
+        gathered = wanted.where(F.col("course").isNotNull()).groupBy(person).agg(*parts)
+        people = gathered.join(completed.select(person, F.col("completed").alias("_held")).hint("merge"), person, "left")
+    kind = people.schema[person].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, courses, place, rows, at = b.column(0), b.column(1), [], [], 0
+            fields = list(zip(*(f.to_pylist() for f in courses.flatten().flatten()), strict=True))
+            for i, (n, held) in enumerate(zip(courses.value_lengths().to_pylist(), b.column(2).to_pylist(), strict=True)):
+                got = _plan(fields[at : at + n], set(held or []), terms, points_per_term)
+                at += n
+                place += [i] * len(got)
+                rows += got
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(place, pa.int64())), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], [person, "course", "term", "place"])
+
+    return people.select(person, "_w", "_held").mapInArrow(run, f"`{person}` {kind}, course string, term int, place int")

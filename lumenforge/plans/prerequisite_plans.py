@@ -13,7 +13,7 @@ _CODES = "'COMS' || (1000 + p_partkey % 50) || 'W' as a, 'MATH' || (1000 + p_siz
 _DONE = "select distinct o_custkey, (case when o_orderkey % 100 < 50 then 'COMS' || (1000 + o_orderkey % 50) || 'W' else 'MATH' || (1000 + o_orderkey % 50) || 'V' end) as code from orders"
 
 
-def _parsed(t):
+def _parsed(t, *more):
     a, b, c = F.format_string("COMS W%d", 1000 + F.col("p_partkey") % 50), F.format_string("math V%d", 1000 + F.col("p_size") % 50), F.format_string("W%d", 1000 + (F.col("p_partkey") + 7) % 50)
     kind = F.col("p_size") % 3
     text = (
@@ -21,7 +21,7 @@ def _parsed(t):
         .when(kind == 1, F.concat(a, F.lit(", "), b, F.lit(" or permission of the instructor.")))
         .otherwise(F.concat(a, F.lit(" and ("), b, F.lit(") and knowledge of Java, as said")))
     )
-    return pre.parse(t("part").select("p_partkey", text.alias("text")), "text", F.lit("COMS"))
+    return pre.parse(t("part").select("p_partkey", text.alias("text"), *more), "text", F.lit("COMS"))
 
 
 def _done(t):
@@ -91,8 +91,9 @@ def g3_equivalent_courses(spark, t):
 @query()
 def g23_suggested_plan(spark, t):
     """Every customer's parts planned over eight terms; sequential choices, so tests hold the operator against recomputation."""
-    facts = _parsed(t).join(t("part").select("p_partkey", (F.col("p_size") % 5 + 1).cast("double").alias("points"), (F.col("p_partkey") % 4).alias("depth"), F.col("p_retailprice").cast("int").alias("fan_out")), "p_partkey")
-    done = _done(t).groupBy("o_custkey").agg(F.array_sort(F.collect_list("code")).alias("completed"))
+    more = (F.col("p_size") % 5 + 1).cast("double").alias("points"), (F.col("p_partkey") % 4).alias("depth"), F.col("p_retailprice").cast("int").alias("fan_out")
+    facts = _parsed(t, *more).select("p_partkey", "points", "depth", "fan_out", audits.packed_tree(F.col("nodes")).alias("tree"))
+    done = _done(t).groupBy("o_custkey").agg(F.collect_list("code").alias("completed"))
     ask = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
-    wanted = ask.join(facts, "p_partkey").join(done, "o_custkey", "left").withColumn("course", F.concat(F.lit("P"), "p_partkey"))
-    return audits.suggest_plan(wanted.select("o_custkey", "course", "points", "depth", "fan_out", "nodes", "completed"), "o_custkey")
+    wanted = ask.join(facts.hint("merge"), "p_partkey").withColumn("course", F.concat(F.lit("P"), "p_partkey"))
+    return audits.suggest_plan(wanted, "o_custkey", completed=done)

@@ -52,3 +52,23 @@ def test_greedy_plans(spark):
         want = _greedy({c: v for c, v in courses.items() if c not in held}, after, held)
         assert sorted(((r.course, r.term, r.place) for r in rows), key=str) == want
     assert audits.suggest_plan(wanted.limit(0), "person").count() == 0
+
+
+def test_plans_carry_trees_as_strings_and_completed_by_table(spark):
+    """Trees reach a person's courses as strings, and what people completed once a person; the plans are those of rows that carry all."""
+    texts = spark.createDataFrame([("a", None), ("b", "COMS W1001 or COMS W1002"), ("c", "(COMS W1001 or COMS W1002) and COMS W1003"), ("d", "COMS W1001 and knowledge of Java")], "course string, text string")
+    facts = pre.parse(texts, "text", F.lit("COMS")).selectExpr("*", "3.0 as points", "1 as depth", "if(course = 'a', null, 2) as fan_out")
+    people = spark.createDataFrame([(1, ["COMS1001W"]), (2, ["COMS1002W", "COMS1003W"]), (3, None), (None, ["COMS1003W"])], "person long, completed array<string>")
+    wanted = facts.crossJoin(people)
+    packed = wanted.select("person", "course", "points", "depth", "fan_out", audits.packed_tree(F.col("nodes")).alias("tree"))
+    whole = sorted(map(tuple, audits.suggest_plan(wanted, "person", terms=2, points_per_term=6).collect()), key=str)
+    assert sorted(map(tuple, audits.suggest_plan(packed, "person", terms=2, points_per_term=6, completed=people.where("person is not null")).collect()), key=str) == whole
+    assert (1, "b", 1, 1) in whole and (1, "c", None, None) in whole and (2, "c", 1, 2) in whole and (3, "a", 1, 1) in whole
+
+
+def test_plans_read_parts_once(spark):
+    """Trees were joined to the parts they came from, and for that sent through the driver."""
+    from lumenforge.plans import catalog
+
+    plan = catalog.QUERIES["g23_suggested_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [p_partkey") == 1
