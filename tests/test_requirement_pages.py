@@ -84,3 +84,12 @@ def test_names_keep_their_letters(spark):
     page = "<table><tr><td>Section key</td><td>20263COMS4115W001</td></tr><tr><td>Instructors</td><td>0tto Lee0, 1da Ray1 and Bo Li2</td></tr></table>"
     got = html_tables.section_details(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html").first()
     assert got.instructors == ["0tto Lee0", "1da Ray1", "Bo Li2"]
+
+
+def test_patterns_are_not_worked_out_again_in_filters(spark):
+    """Filters on marks, texts and kinds were pushed below their columns, with all the patterns that make them."""
+    from lumenforge.plans import catalog
+
+    plan = catalog.QUERIES["s16_requirement_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("filter ")]
+    assert filters and not any("rlike" in f or "regexp" in f for f in filters)
