@@ -54,7 +54,7 @@ def _milestones(t):
         row(F.lit("Nov 15"), F.concat(F.lit("Registration for Spring "), y + 1, F.lit(" opens"))),
         F.lit("</table><dl><dt>Sept "), 1 + k % 28, F.lit("</dt><dd>Classes begin</dd><dt>Sept 30</dt><dd>Classes begin</dd></dl>"),
     )
-    return calendars.milestones(calendars.calendar_rows(t("customer").select("c_custkey", page.alias("html")), "c_custkey", "html"), "c_custkey")
+    return calendars.milestones(calendars.calendar_rows(t.dealt("customer").select("c_custkey", page.alias("html")), "c_custkey", "html"), "c_custkey")
 
 
 @query(_MILESTONES)

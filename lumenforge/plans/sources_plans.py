@@ -82,7 +82,7 @@ def s11_section_details(spark, t):
         row("Enrollment", F.concat(F.col("o_custkey") % 60, F.lit(" students (40 max) as of 9:14AM Monday"))),
         row("Status", F.when(F.col("o_orderkey") % 5 == 0, "Wait List").otherwise("")), F.lit("</table>"),
     )
-    pages = t("orders").select("o_orderkey", body.alias("html"))
+    pages = t.dealt("orders").select("o_orderkey", body.alias("html"))
     got = html_tables.section_details(pages, "o_orderkey", "html").join(html_tables.labelled_fields(pages, "o_orderkey", "html"), "o_orderkey")
     return got.select("o_orderkey", "section_key", "course_id", "call_number", F.size("instructors").cast("long").alias("n_instructors"), F.col("fields")["note"].alias("first_name"), "enrollment_count", "status")
 

@@ -62,3 +62,12 @@ def test_html_tables_with_odd_pages(spark):
     assert {r.k: r.fields for r in html_tables.labelled_fields(pages, "k", "html").collect()} == {3: {"a": "b <c>"}}
     assert html_tables.section_details(pages, "k", "html").count() == 0
     assert html_tables.subject_index(pages, "html").count() == 0
+
+
+def test_pages_of_one_file_are_dealt_to_all_cores(spark):
+    """Customers and orders fit one split of a file for long: their pages were laid out and read by one task."""
+    from lumenforge.plans import catalog
+
+    for name in ("s11_section_details", "s14_milestones", "s14_term_bounds"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan, name
