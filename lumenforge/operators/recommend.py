@@ -70,6 +70,25 @@ def gated(ask: DataFrame, parsed: DataFrame, completed: DataFrame, person: str,
     return out.withColumn("withheld", held)
 
 
+def _judged(candidates: DataFrame, taken: DataFrame, planned: DataFrame, rejected: DataFrame, parsed: DataFrame, person: str, course: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(completed, state): taken and planned courses, and the candidates beyond them and rejected ones as ``gated`` judges them."""
+    pair = [person, course]
+    completed = taken.select(*pair).unionByName(planned.select(*pair)).distinct()
+    ask = candidates.select(*pair).distinct().join(completed, pair, "left_anti").join(rejected.select(*pair), pair, "left_anti")
+    return completed, gated(ask, parsed, completed.withColumnRenamed(course, "_done"), person, course, "_done", max_depth)
+
+
+def _withheld(state: DataFrame, person: str, course: str, limit: int) -> DataFrame:
+    held = state.where("withheld").withColumn("reason", F.when(F.col("status") == pre.UNKNOWN, "prereq_unmet_but_permission").otherwise("prereq_unmet"))
+    w = Window.partitionBy(person).orderBy(F.col("reason") != "prereq_unmet_but_permission", course)
+    return held.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(person, course, "place", "reason", "missing", "advisories")
+
+
+def held_back(candidates: DataFrame, taken: DataFrame, planned: DataFrame, rejected: DataFrame, parsed: DataFrame, person: str, course: str, limit: int, max_depth: int = 6) -> DataFrame:
+    """The withheld rows of ``recommend`` alone, without a score for anything that passes the gate."""
+    return _withheld(_judged(candidates, taken, planned, rejected, parsed, person, course, max_depth)[1], person, course, limit)
+
+
 def recommend(
     candidates: DataFrame,
     taken: DataFrame,
@@ -92,12 +111,9 @@ def recommend(
     reason and missing. A person's candidates stay rows throughout; only a person's own courses meet them.
     """
     pair = [person, course]
-    completed = taken.select(*pair).unionByName(planned.select(*pair)).distinct()
-    ask = candidates.select(*pair).distinct().join(completed, pair, "left_anti").join(rejected.select(*pair), pair, "left_anti")
-    state = checkpointed(gated(ask, parsed, completed.withColumnRenamed(course, "_done"), person, course, "_done", max_depth))
-    held = state.where("withheld").withColumn("reason", F.when(F.col("status") == pre.UNKNOWN, "prereq_unmet_but_permission").otherwise("prereq_unmet"))
-    w = Window.partitionBy(person).orderBy(F.col("reason") != "prereq_unmet_but_permission", course)
-    withheld = held.withColumn("place", F.row_number().over(w)).where(F.col("place") <= withheld_limit).select(*pair, "place", "reason", "missing", "advisories")
+    completed, state = _judged(candidates, taken, planned, rejected, parsed, person, course, max_depth)
+    state = checkpointed(state)
+    withheld = _withheld(state, person, course, withheld_limit)
 
     vectors = _handy(vectors.select(course, "vec"))
     rows = state.where("not withheld").join(taste_vectors(taken, vectors, person, course), person, "left").join(vectors, course, "left")

@@ -92,7 +92,8 @@ with {_SQL} select * from (select cust, 'PART' || (1000 + c) || 'W' as course, c
 """)
 def g13_withheld(spark, t):
     """Candidates that the gate holds back, with why and how many choices are open, those that a permission could open first."""
-    _, held = _recommended(t)
+    taken, planned, refused, _, candidates = _records(t)
+    held = recommend.held_back(candidates, taken, planned, refused, _parsed(t), "cust", "course", 20, max_depth=2)
     return held.select("cust", "course", "place", "reason", F.size("missing").cast("long").alias("open_choices"))
 
 

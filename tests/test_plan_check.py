@@ -145,3 +145,11 @@ def test_rows_kept_between_steps_hold_no_vectors(spark, monkeypatch):
     got = {r.course: (round(r.taste_fit, 6), r.similar, r.caveats) for r in best.collect()}
     assert got == {"ART3W": (0.3, ["ART1W"], []), "ART2W": (0.0, [], ["no_vector"])}
     assert kept and not any({"vec", "taste"} & set(columns) for columns in kept)
+
+
+def test_withheld_courses_need_no_scores(spark):
+    """What the gate holds back was found only after all that passes it was scored; building its query now runs no job."""
+    from lumenforge.plans import catalog
+
+    plan = catalog.QUERIES["g13_withheld"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
