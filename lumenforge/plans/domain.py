@@ -48,10 +48,7 @@ select node, coalesce(descendants, 0)::bigint as descendants, coalesce(ancestors
 """)
 def g6_reach_counts(spark, t):
     """How many parts each part leads to, and how many lead to it, over paths of any length."""
-    pairs = graph.closure(_tree_edges(t), "src", "dst")
-    down = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("descendants"))
-    up = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ancestors"))
-    return down.join(up, "node", "full").select("node", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("ancestors", F.lit(0)).alias("ancestors"))
+    return graph.reach_counts(_tree_edges(t), "src", "dst")
 
 
 @query(f"with e as (select * from {_ALL_EDGES}) select src as node, count(*) as unlocks, ln(1 + count(*)) as gain from e group by 1")
