@@ -58,7 +58,7 @@ def _records(t):
     planned = lines.where("o_orderstatus = 'P'").select("cust", "c").distinct()
     refused = lines.where("o_orderstatus = 'O' and l_linenumber = 5").select("cust", "c").distinct()
     courses = t("part").select((F.col("p_partkey") % 2000).alias("c")).distinct()
-    people = t("customer").select(F.col("c_custkey").alias("cust"))
+    people = t.dealt("customer").select(F.col("c_custkey").alias("cust"))  # a customer becomes some twenty rows
 
     def group(n: int, every: int, cluster):
         own = people.withColumn("_m", F.col("cust") % every).join(courses.withColumn("_m", F.col("c") % every), "_m")

@@ -121,3 +121,19 @@ def test_captured_sections_of_large_part_numbers(spark, tmp_path):
     for t in ("orders", "lineitem"):
         c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert rows(catalog.QUERIES["s21_captured_sections"](spark, str(tmp_path)).toPandas()) == rows(c.sql(catalog.ORACLE_SQL["s21_captured_sections"]).df())
+
+
+def test_customers_are_dealt_before_they_become_many_rows(spark):
+    """One split of a file holds all customers: what each becomes is not made and deduplicated by one task."""
+    assert "RoundRobinPartitioning" in catalog.QUERIES["g16_credited_groups"](spark, DATA)._jdf.queryExecution().toString()
+
+
+def test_parts_are_dealt_before_they_become_postings(spark, monkeypatch):
+    from lumenforge.operators import search_index
+    from lumenforge.plans import fielded_plans
+    from lumenforge.plans.registry import Tables
+
+    asked = []
+    monkeypatch.setattr(search_index, "stored_index", lambda docs, *rest: asked.append(docs))
+    fielded_plans._index(Tables(spark, DATA))
+    assert "RoundRobinPartitioning" in asked[0]._jdf.queryExecution().toString() and len(asked[0].inputFiles()) == 1
