@@ -28,7 +28,7 @@ hits as (select doc, sum(s) as score from h group by doc having bit_or(bit) & (s
 
 def _index(t):
     """The stored index of parts: the first query over a table writes it, later ones read it."""
-    parts = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
+    parts = t.dealt("part").select("p_partkey", "p_name", "p_brand", "p_type")  # a part becomes some fifteen postings
     code = F.concat_ws(" ", F.concat(F.lit("part"), F.col("p_partkey")))
     fields = {"title": F.col("p_name"), "code": code, "instructor": F.col("p_brand"), "body": F.col("p_type")}
     return search_index.stored_index(parts, "p_partkey", fields, t.folder("search"), "parts")
