@@ -59,17 +59,15 @@ def slug(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """Folded words, and behind each mixed word its runs of letters and of digits."""
-    words = F.filter(F.split(fold(x), " "), lambda w: w != "")
+    words = F.array_remove(F.split(fold(x), " "), "")
+    mixed = "[a-z][0-9]|[0-9][a-z]"  # splitting compiles its pattern at each call, so only mixed words are split
 
     def parts(w):
-        runs = F.split(w, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
-        return F.when(F.size(runs) > 1, F.concat(F.array(w), runs)).otherwise(F.array(w))
+        return F.when(w.rlike(mixed), F.concat(F.array(w), F.split(w, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])"))).otherwise(F.array(w))
 
     return F.flatten(F.transform(words, parts))
 
 
-
-
 def open_seat_by_status(status: Column, count: Column, cap: Column) -> Column:
     """Closed and full are never open, open always is; else the counts decide, unknown counts as not open."""
     return F.when(status.isin("closed", "full"), False).when(status == "open", True).otherwise(F.coalesce(count < cap, F.lit(False)))
