@@ -7,6 +7,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -180,13 +181,11 @@ def _within(path: tuple[str, ...], name: str) -> tuple[str, ...] | None:
     return path[i:]
 
 
-def _hashed(word: str, dim: int) -> np.ndarray:
-    """A fixed vector of four signed entries for a word."""
-    v = np.zeros(dim, np.float32)
-    for k in range(4):
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), k)
-        v[h % dim] += 0.5 if h >> 63 else -0.5
-    return v
+def _hashed(words: list[bytes], dim: int) -> np.ndarray:
+    """A fixed vector of four signed entries for each word."""
+    h = np.array([xxhash.xxh64_intdigest(w, k) for w in words for k in range(4)], np.uint64)
+    at = np.repeat(np.arange(len(words)), 4) * dim + (h % np.uint64(dim)).astype(np.int64)
+    return np.bincount(at, np.where(h >> np.uint64(63), 0.5, -0.5), len(words) * dim).reshape(-1, dim).astype(np.float32)
 
 
 class Vectors(dict):
@@ -196,19 +195,23 @@ class Vectors(dict):
         super().__init__()
         self.dim, self.limit = dim, limit
         self.table = np.zeros((1024, dim), np.float32)
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        if n == len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[n] = _hashed(word, self.dim)
+        self.fresh.append(word.encode("utf-8", "surrogatepass"))
         return n
 
     def sums(self, lists: list[list[str]]) -> np.ndarray:
         """The sum of each list's vectors."""
         if len(self) > self.limit:
             self.clear()
-        at = np.fromiter((self[w] for x in lists for w in x), np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
+        if self.fresh:  # a page's new words at once
+            while len(self) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            self.table[len(self) - len(self.fresh) : len(self)] = _hashed(self.fresh, self.dim)
+            self.fresh = []
         out = np.zeros((len(lists), self.dim), np.float32)
         sizes = np.array([len(x) for x in lists])
         full = np.flatnonzero(sizes)

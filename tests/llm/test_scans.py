@@ -239,3 +239,24 @@ def test_bounds_filter():
     low = ((mean[:, None] - of[0][None]) ** 2).sum(axis=2) + (rest[:, None] - of[1][None]) ** 2
     exact = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
     assert (low <= exact + 1e-6 * exact.max()).all() and (low <= exact.min(axis=1)[:, None]).mean() < 0.5
+
+
+def test_new_words_of_a_page_are_hashed_together(monkeypatch):
+    """One call for all new words of a page, with the vectors that each word has alone, whatever was met before and after a start anew."""
+    import xxhash
+
+    from lumenforge.llm import html_text
+
+    calls, real = [], html_text._hashed
+    monkeypatch.setattr(html_text, "_hashed", lambda words, dim: calls.append(words) or real(words, dim))
+    v = html_text.Vectors(8, limit=1500)
+    for page in range(4):
+        lists = [[f"w{page}-{i}" for i in range(1100)], [], ["w0-1", "\ud800", "é"]]
+        want = np.zeros((3, 8))
+        for row, words in enumerate(lists):
+            for word in words:
+                for k in range(4):
+                    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), k)
+                    want[row, h % 8] += 0.5 if h >> 63 else -0.5
+        assert np.array_equal(v.sums(lists), want.astype(np.float32))
+    assert len(calls) == 4
