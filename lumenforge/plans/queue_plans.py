@@ -25,7 +25,7 @@ case when has_spec is null then nf when due then coalesce(given, timestamp '1997
 case when has_spec = 1 then has_job is null end as inserted from n where has_job = 1 or has_spec = 1
 """)
 def oq2_enqueued(spark, t):
-    o = t("orders")
+    o = t("orders").repartition(t.parts("orders"), "o_orderkey")
     jobs = o.where("o_orderkey % 4 <> 3").select("o_orderkey", F.lit("job").alias("url"), F.expr(_TIER.format("o_custkey % 4")).alias("tier"), _at("o_custkey % 9").alias("next_fetch_at"))
     specs = o.where("o_custkey % 5 > 0").select("o_orderkey", F.lit("spec").alias("url"), F.expr(_TIER.format("o_custkey % 3")).alias("tier"), (F.col("o_custkey") % 7 == 0).alias("due_now"), F.expr("case when o_custkey % 2 = 0 then timestamp_ntz '1999-01-01' end").alias("next_at"))
     return queue.enqueued(jobs, specs, "o_orderkey", F.expr("timestamp_ntz '1997-01-01'"), (F.col("o_orderkey") % 1000) / 1000)
@@ -40,8 +40,9 @@ case when acc and o[1] then timestamp '1997-01-01' end as last_ok_at, case when
 case when acc and not o[1] then o[2] end as last_error, case when coalesce(acc, false) then null else token end::bigint as lease_token, acc as accepted from j left join b using (o_orderkey)
 """)
 def oq2_completed(spark, t):
-    o = t("orders")
+    n = t.parts("lineitem")
+    o = t("orders").repartition(n, "o_orderkey")
     jobs = o.select("o_orderkey", F.expr(_TIER.format("o_custkey % 4")).alias("tier"), F.col("o_orderdate").alias("next_fetch_at"), F.expr("cast(null as timestamp_ntz)").alias("last_ok_at"), (F.col("o_custkey") % 9).alias("failures"), F.lit(None).cast("string").alias("last_error"), (F.col("o_custkey") % 5).alias("lease_token"))
     line = F.col("l_linenumber")
-    outcomes = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (line % 3 == 0).alias("ok"), (line % 5).alias("lease_token"), F.concat(F.lit("line "), line).alias("error"), F.expr("cast(null as timestamp_ntz)").alias("next_at"))
+    outcomes = t("lineitem").repartition(n, "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), (line % 3 == 0).alias("ok"), (line % 5).alias("lease_token"), F.concat(F.lit("line "), line).alias("error"), F.expr("cast(null as timestamp_ntz)").alias("next_at"))
     return queue.completed(jobs, outcomes, "o_orderkey", F.expr("timestamp_ntz '1997-01-01'"), (F.col("o_orderkey") % 1000) / 1000)

@@ -25,6 +25,10 @@ class Tables:
         """A table's rows on all cores, for work that costs far more than moving a row: millions of rows fit one split of a file."""
         return self(name).repartition(4 * self._spark.sparkContext.defaultParallelism)
 
+    def parts(self, name: str) -> int:
+        """Into how many parts to deal what grows with a table, so that a part stays small however large the table: eight for each split of its files."""
+        return max(8 * self(name).rdd.getNumPartitions(), int(self._spark.conf.get("spark.sql.shuffle.partitions")))
+
     def folder(self, name: str) -> str:
         """A folder below ``spark.checkpoint.dir`` for what later queries read again, the same for all queries of an application."""
         return shared_folder(self._spark, name)
