@@ -40,8 +40,9 @@ def _catalog(t):
     long = lambda x: F.lit(x).cast("long")
     p, c = t("part"), t("customer").select("c_custkey")
     people = c.withColumn("program", long(1)).unionByName(c.where("c_custkey % 3 = 0").withColumn("program", long(2)))
-    lines = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    taken = lines.groupBy(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("course")).agg(F.min(F.col("o_orderstatus") == "P").alias("planned"), (1 + F.max("l_linenumber") % 4).cast("double").alias("points"))
+    n = t.parts("lineitem")
+    lines = t("lineitem").repartition(n, "l_orderkey").join(t("orders").repartition(n, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    taken = lines.repartition(n, "o_custkey").groupBy(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("course")).agg(F.min(F.col("o_orderstatus") == "P").alias("planned"), (1 + F.max("l_linenumber") % 4).cast("double").alias("points"))
     groups = p.sparkSession.createDataFrame(_KINDS, "program long, grp long, kind string, need double")
 
     def rows(where: str, program: int, grp: int, seq="0"):
@@ -68,24 +69,24 @@ def _selected(s: rules.Selector):
 @query(f"with {_BASE} select c_custkey, program::bigint as program, grp::bigint as grp, kind, completed, required, status from audit")
 def g10_audit_rules(spark, t):
     """All six kinds of rules, every group of everyone's programs."""
-    return rules.evaluate(*_catalog(t), "c_custkey")
+    return rules.evaluate(*_catalog(t), "c_custkey", t.parts("lineitem"))
 
 
 @query(f"with {_BASE} select c_custkey, program::bigint as program, grp::bigint as grp, course, points, planned from matched")
 def g10_counted_courses(spark, t):
-    return rules.matched(*_catalog(t)[:5], "c_custkey").select("c_custkey", "program", "grp", "course", "points", "planned")
+    return rules.matched(*_catalog(t)[:5], "c_custkey", t.parts("lineitem")).select("c_custkey", "program", "grp", "course", "points", "planned")
 
 
 @query(f"""
 with {_BASE} select c_custkey, program::bigint as program, count(*) as n_groups, count_if(status = 'satisfied')::bigint as satisfied, round(avg(case when required > 0 then least(1.0, completed / required) else 1.0 end), 9) as progress from audit group by all
 """)
 def g12_program_progress(spark, t):
-    return rules.roll_up(rules.evaluate(*_catalog(t), "c_custkey"), "c_custkey").withColumn("progress", F.round("progress", 9))
+    return rules.roll_up(rules.evaluate(*_catalog(t), "c_custkey", t.parts("lineitem")), "c_custkey").withColumn("progress", F.round("progress", 9))
 
 
 @query(f"with {_BASE} select c_custkey, program::bigint as program, course, count(distinct grp) as n_groups from matched group by all having count(distinct grp) > 1")
 def a20_cross_counted(spark, t):
-    return rules.cross_counted(rules.matched(*_catalog(t)[:5], "c_custkey"), "c_custkey")
+    return rules.cross_counted(rules.matched(*_catalog(t)[:5], "c_custkey", t.parts("lineitem")), "c_custkey")
 
 
 @query(f"""
@@ -94,7 +95,7 @@ select c_custkey, program::bigint as program, grp::bigint as grp, row_number() o
 """)
 def o11_remaining_requirements(spark, t):
     """What is left, by how surely it can be checked, then by how much is outstanding, then by label."""
-    left = rules.evaluate(*_catalog(t), "c_custkey").where("status <> 'satisfied'")
+    left = rules.evaluate(*_catalog(t), "c_custkey", t.parts("lineitem")).where("status <> 'satisfied'")
     rank = F.when(F.col("kind") == "attested", 2).when(F.col("kind").isin("n_matching", "points_matching"), 1).otherwise(0)
     place = F.row_number().over(Window.partitionBy("c_custkey").orderBy(rank, F.col("required") - F.col("completed"), "program", "grp"))
     return left.select("c_custkey", "program", "grp", place.cast("long").alias("place"))

@@ -59,3 +59,19 @@ def test_quarantine(spark, now, before, reason):
     shape = "k long, records long, filled long"
     old = spark.createDataFrame([(1, *before)] if before else [], shape)
     assert writers.quarantined(spark.createDataFrame([(1, *now)], shape), old, ["k"]).first().reason == reason
+
+
+def test_parts_grow_with_the_table(spark):
+    """More splits of the files make more parts, so that one task's share does not grow; rows stay the same."""
+    from lumenforge.plans.catalog import QUERIES
+
+    names = ("oq2_completed", "oq2_enqueued", "g10_counted_courses")
+    want = {n: sorted(map(str, QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for name in names:
+            got = QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert got.rdd.getNumPartitions() > 4
+            assert sorted(map(str, got.collect())) == want[name]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
