@@ -63,7 +63,7 @@ def gated(ask: DataFrame, parsed: DataFrame, completed: DataFrame, person: str,
     Withheld is what is surely unmet, and what is unknown only because a permission softened it: there a choice is still open. What is unknown
     with nothing open stays.
     """
-    done = pre.gate(pre.evaluate(ask, pre.nodes(parsed, item), completed, person, item, course, max_depth), parsed, item)
+    done = pre.judged(ask, parsed, completed, person, item, course, max_depth)
     told = parsed.select(item, F.coalesce("advisories", F.array().cast("array<string>")).alias("advisories"))
     out = done.withColumnRenamed("outstanding", "missing").join(told, item, "left")
     held = (F.col("status") == pre.UNMET) | ((F.col("status") == pre.UNKNOWN) & (F.size("missing") > 0))

@@ -21,7 +21,7 @@ def _parsed(t, *more):
         .when(kind == 1, F.concat(a, F.lit(", "), b, F.lit(" or permission of the instructor.")))
         .otherwise(F.concat(a, F.lit(" and ("), b, F.lit(") and knowledge of Java, as said")))
     )
-    return pre.parse(t("part").select("p_partkey", text.alias("text"), *more), "text", F.lit("COMS"))
+    return pre.parse(t.dealt("part").select("p_partkey", text.alias("text"), *more), "text", F.lit("COMS"))  # writing the texts costs more than moving a row
 
 
 def _done(t):
@@ -56,9 +56,8 @@ select o_custkey, p_partkey,
 (case k when 0 then (not (ha or hb))::int + (not hc)::int when 1 then (not (ha or hb))::int else (not (ha and hb))::int end)::bigint as open_choices from x
 """)
 def g8_evaluated(spark, t):
-    p = _parsed(t)
     ask = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
-    got = pre.gate(pre.evaluate(ask, pre.nodes(p, "p_partkey"), _done(t), "o_custkey", "p_partkey", "code", max_depth=2), p, "p_partkey")
+    got = pre.judged(ask, _parsed(t), _done(t), "o_custkey", "p_partkey", "code", max_depth=2)
     return got.select("o_custkey", "p_partkey", F.col("status").cast("long").alias("status"), F.size("outstanding").cast("long").alias("open_choices"))
 
 
