@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lumenforge.operators import prerequisites as pre
 from lumenforge.operators.graph import checkpointed
 from lumenforge.operators.lsa import normalised
-from lumenforge.operators.search import cosine
 
 #: Weights of a score's parts, of courses that were liked, disliked or neither, and what a reason asks for; fixed values.
 WEIGHTS = {"requirement": 1.0, "taste": 0.5, "unlock": 0.3, "offering": 0.2, "rejection": 0.6}
@@ -24,6 +23,17 @@ def _handy(vectors: DataFrame) -> DataFrame:
     return F.broadcast(vectors) if n <= BROADCAST_COMPONENTS else vectors
 
 
+def _dot(a: Column, b: Column) -> Column:
+    """The cosine of unit vectors, so that a pair costs one sum of products; 0 for vectors of different sizes and zero vectors."""
+    return F.coalesce(F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)), F.lit(0.0))
+
+
+def _parts(df: DataFrame) -> int:
+    """Into how many parts rows are dealt by person."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def taste_vectors(taken: DataFrame, vectors: DataFrame, person: str, course: str, liked: str = "liked") -> DataFrame:
     """(person, taste): the unit vector of the weighted mean of what a person took; people whose courses have no vectors give no row.
 
@@ -31,7 +41,8 @@ def taste_vectors(taken: DataFrame, vectors: DataFrame, person: str, course: str
     person's list of vectors is gathered.
     """
     weight = F.when(F.col(liked), LOVED).when(~F.col(liked), DISLIKED).otherwise(NEUTRAL)
-    parts = taken.select(person, course, weight.alias("_w")).join(vectors, course).select(person, "_w", F.posexplode("vec").alias("_i", "_x"))
+    own = taken.select(person, course, weight.alias("_w")).repartition(_parts(taken), person)  # dealt before vectors are unfolded: where these are broadcast, sums need no shuffle
+    parts = own.join(vectors, course).select(person, "_w", F.posexplode("vec").alias("_i", "_x"))
     sums = parts.groupBy(person, "_i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("_v"))
     whole = sums.groupBy(person).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p"))
     return whole.select(person, normalised(F.col("_p._v")).alias("taste"))
@@ -48,34 +59,37 @@ def credited_groups(outstanding: DataFrame, person: str, course: str) -> DataFra
 
 
 def _similar(ask: DataFrame, taken: DataFrame, vectors: DataFrame, person: str, course: str) -> DataFrame:
-    """(person, course, similar): up to NAMED courses that a person took and that are nearest to a candidate, of those on its side."""
+    """(person, course, similar): up to NAMED courses that a person took and that are nearest to a candidate, of those on its side; vectors of length one."""
     own = taken.select(person, F.col(course).alias("_t")).distinct()
-    pairs = ask.join(own, person).join(vectors, course).join(vectors.select(F.col(course).alias("_t"), F.col("vec").alias("_tv")), "_t")
-    near = pairs.withColumn("_s", cosine(F.col("vec"), F.col("_tv"))).where("_s > 0")
+    pairs = ask.repartition(_parts(ask), person).join(own.hint("merge"), person).join(vectors, course).join(vectors.select(F.col(course).alias("_t"), F.col("vec").alias("_tv")), "_t")
+    near = pairs.withColumn("_s", _dot(F.col("vec"), F.col("_tv"))).where("_s > 0")
     w = Window.partitionBy(person, course).orderBy(F.desc("_s"), "_t")
     top = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= NAMED)
     return top.groupBy(person, course).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_l")).select(person, course, F.col("_l._t").alias("similar"))
 
 
-def gated(ask: DataFrame, parsed: DataFrame, completed: DataFrame, person: str, item: str, course: str, max_depth: int = 6) -> DataFrame:
+def gated(ask: DataFrame, parsed: DataFrame, completed: DataFrame, person: str, item: str, course: str, max_depth: int = 6, shapes: bool = True) -> DataFrame:
     """``ask`` (person, item) with status, missing (open choices), advisories and withheld.
 
     Withheld is what is surely unmet, and what is unknown only because a permission softened it: there a choice is still open. What is unknown
-    with nothing open stays.
+    with nothing open stays. By ``shapes`` of trees, which a job finds at once, or pair by pair without one.
     """
-    done = pre.judged(ask, parsed, completed, person, item, course, max_depth)
+    if shapes:
+        done = pre.judged(ask, parsed, completed, person, item, course, max_depth)
+    else:
+        done = pre.gate(pre.evaluate(ask, pre.nodes(parsed, item), completed, person, item, course, max_depth), parsed, item)
     told = parsed.select(item, F.coalesce("advisories", F.array().cast("array<string>")).alias("advisories"))
     out = done.withColumnRenamed("outstanding", "missing").join(told, item, "left")
     held = (F.col("status") == pre.UNMET) | ((F.col("status") == pre.UNKNOWN) & (F.size("missing") > 0))
     return out.withColumn("withheld", held)
 
 
-def _judged(candidates: DataFrame, taken: DataFrame, planned: DataFrame, rejected: DataFrame, parsed: DataFrame, person: str, course: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def _judged(candidates: DataFrame, taken: DataFrame, planned: DataFrame, rejected: DataFrame, parsed: DataFrame, person: str, course: str, max_depth: int, shapes: bool = True) -> tuple[DataFrame, DataFrame]:
     """(completed, state): taken and planned courses, and the candidates beyond them and rejected ones as ``gated`` judges them."""
     pair = [person, course]
     completed = taken.select(*pair).unionByName(planned.select(*pair)).distinct()
     ask = candidates.select(*pair).distinct().join(completed, pair, "left_anti").join(rejected.select(*pair), pair, "left_anti")
-    return completed, gated(ask, parsed, completed.withColumnRenamed(course, "_done"), person, course, "_done", max_depth)
+    return completed, gated(ask, parsed, completed.withColumnRenamed(course, "_done"), person, course, "_done", max_depth, shapes)
 
 
 def _withheld(state: DataFrame, person: str, course: str, limit: int) -> DataFrame:
@@ -86,7 +100,7 @@ def _withheld(state: DataFrame, person: str, course: str, limit: int) -> DataFra
 
 def held_back(candidates: DataFrame, taken: DataFrame, planned: DataFrame, rejected: DataFrame, parsed: DataFrame, person: str, course: str, limit: int, max_depth: int = 6) -> DataFrame:
     """The withheld rows of ``recommend`` alone, without a score for anything that passes the gate."""
-    return _withheld(_judged(candidates, taken, planned, rejected, parsed, person, course, max_depth)[1], person, course, limit)
+    return _withheld(_judged(candidates, taken, planned, rejected, parsed, person, course, max_depth, shapes=False)[1], person, course, limit)
 
 
 def recommend(
@@ -115,13 +129,15 @@ def recommend(
     state = checkpointed(state)
     withheld = _withheld(state, person, course, withheld_limit)
 
-    vectors = _handy(vectors.select(course, "vec"))
-    rows = state.where("not withheld").join(taste_vectors(taken, vectors, person, course), person, "left").join(vectors, course, "left")
-    rows = rows.withColumn("taste_similarity", F.when(F.col("vec").isNotNull() & F.col("taste").isNotNull(), cosine(F.col("vec"), F.col("taste"))).otherwise(0.0))
+    taste = taste_vectors(taken, _handy(vectors.select(course, "vec")), person, course)
+    vectors = _handy(vectors.select(course, normalised(F.col("vec")).alias("vec")))
+    rows = state.where("not withheld").join(taste, person, "left").join(vectors, course, "left")
+    rows = rows.withColumn("taste_similarity", F.when(F.col("vec").isNotNull() & F.col("taste").isNotNull(), _dot(F.col("vec"), F.col("taste"))).otherwise(0.0))
     rows = checkpointed(rows.withColumn("_seen", F.col("vec").isNotNull()).drop("vec", "taste"))  # vectors are joined again where they are used
-    seen = rows.where("_seen").select(*pair).join(vectors, course)
-    refused = rejected.select(person, F.col(course).alias("_r")).distinct().join(vectors.select(F.col(course).alias("_r"), F.col("vec").alias("_rv")), "_r")
-    away = seen.join(refused, person).groupBy(*pair).agg(F.greatest(F.lit(0.0), F.max(cosine(F.col("vec"), F.col("_rv")))).alias("rejection"))
+    # candidates meet refused courses by name, and vectors only then: none travels with a person's rows, and what is summed by candidate lies together
+    seen = rows.where("_seen").select(*pair).repartition(_parts(rows), person)
+    met = seen.join(rejected.select(person, F.col(course).alias("_r")).distinct().hint("merge"), person).join(vectors, course).join(vectors.select(F.col(course).alias("_r"), F.col("vec").alias("_rv")), "_r")
+    away = met.groupBy(*pair).agg(F.greatest(F.lit(0.0), F.max(_dot(F.col("vec"), F.col("_rv")))).alias("rejection"))
     groups = credited_groups(outstanding, person, course).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "grp"))).alias("_g"))
     unlocked = pre.newly_unlocked(rows.select(person, F.col(course).alias("added")), parsed.withColumnRenamed(course, "_item"), completed.withColumnRenamed(course, "_done"), person, "_item", "_done", max_depth)
     opened = unlocked.groupBy(person, F.col("added").alias(course)).agg(F.array_sort(F.collect_set("_item")).alias("unlocked"))

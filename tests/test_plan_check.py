@@ -153,3 +153,14 @@ def test_withheld_courses_need_no_scores(spark):
 
     plan = catalog.QUERIES["g13_withheld"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_tastes_are_summed_without_moving_components(spark):
+    """Every component of every taken course was shuffled, and candidates with their vectors to what was turned down."""
+    taken = spark.createDataFrame([(1, "a", True), (1, "b", None), (2, "a", False)], "person long, course string, liked boolean")
+    vectors = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 1.0])], "course string, vec array<float>")
+    got = recommend.taste_vectors(taken, pre.F.broadcast(vectors), "person", "course")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate")[0]
+    tastes = {r.person: [round(x, 6) for x in r.taste] for r in got.collect()}
+    assert tastes == {1: [round(9 / 82**0.5, 6), round(1 / 82**0.5, 6)], 2: [1.0, 0.0]}
