@@ -93,3 +93,18 @@ def test_patterns_are_not_worked_out_again_in_filters(spark):
     plan = catalog.QUERIES["s16_requirement_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("filter ")]
     assert filters and not any("rlike" in f or "regexp" in f for f in filters)
+
+
+def test_rules_are_read_from_pages_once(spark):
+    """Every use of the groups and of what they ask for read all pages again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    pages = spark.createDataFrame([(i, "<h2>Core</h2>" + listed(course("COMS W1004"), course("COMS W1007"))) for i in range(3)], "id long, html string")
+    groups, wanted = tables.as_rules(tables.areas(pages.mapInPandas(counted, pages.schema), "id", "html"), "id")
+    assert groups.count() == 3 and wanted.count() == 6 and wanted.join(groups, ["program", "grp"]).count() == 6
+    assert read.value == 3
